@@ -89,12 +89,13 @@ def risk_report(
         F.count_if(F.col("score") >= F.lit(float(threshold))).alias("buggy_files_predicted"),
     )
     ranked = rows.agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in rows.columns if c != "rank"])))).scalar()
+    counted = totals.withColumn("__changes", change_count)
     notes = F.array(
-        F.when(change_count < FEW_CHANGES, F.lit("Few changes found; results may be unreliable.")),
+        F.when(F.col("__changes") < FEW_CHANGES, F.lit("Few changes found; results may be unreliable.")),
         F.when(F.col("buggy_files_predicted") == 0, F.lit("No file is above the threshold.")),
         F.lit("Vectors unavailable - using the tabular model." if wanted_model != model_used else None).cast("string"),
     )
-    return totals.select(
+    return counted.select(
         F.lit(report_id).alias("report_id"),
         F.lit("completed").alias("status"),
         F.lit(model_used).alias("model_used"),

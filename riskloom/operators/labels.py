@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +32,35 @@ STRICT_RATE_CAPS = {
 }
 
 
-def date_span(log: DataFrame, date: str = "commit_date") -> Column:
-    """First and last date as a scalar subquery with fields ``lo`` and ``hi``."""
-    return log.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi")).alias("s")).scalar()
+@dataclass(frozen=True)
+class Span:
+    """First and last date of a log; two values, so they enter plans as literals."""
+
+    lo: datetime
+    hi: datetime
+
+    @staticmethod
+    def _micros(at: datetime) -> int:
+        return (at - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+
+    @property
+    def lo_us(self) -> int:
+        return self._micros(self.lo)
+
+    @property
+    def length_us(self) -> int:
+        return self._micros(self.hi) - self.lo_us
+
+    def at(self, days: Column) -> Column:
+        """The date ``days`` after the first one."""
+        return plus_days(F.lit(self.lo).cast("timestamp_ntz"), days)
+
+
+def date_span(log: DataFrame, date: str = "commit_date") -> Span:
+    """One aggregate job; a log without dates gives an empty span."""
+    row = log.agg(F.min(date), F.max(date)).first()
+    epoch = datetime(1970, 1, 1)
+    return Span(row[0] or epoch, row[1] or epoch)
 
 
 def label_windows(log: DataFrame, window_days: int = 90) -> DataFrame:
@@ -55,6 +83,7 @@ def windowed_labels(
     window_days: int = 90,
     horizon_days: int = 90,
     min_changes: int = MIN_CHANGES_IN_WINDOW,
+    span: Span | None = None,
 ) -> DataFrame:
     """Per (repo, file, window): changes, fixes, and whether a fix follows.
 
@@ -64,49 +93,49 @@ def windowed_labels(
     aggregation, combined before the shuffle, then gives counts and label.
     """
     require_columns(log, ["commit_date", "file_path", "is_bug_fix", "repo_name"], "change log")
-    span = date_span(log)
+    span = span or date_span(log)
     width = window_days * DAY_MICROS
-    horizon = horizon_days * DAY_MICROS
-    lo = micros(span.getField("lo"))
-    rows = log.filter(F.col("commit_date").isNotNull()).select(
-        "repo_name",
-        "file_path",
-        F.coalesce(F.col("is_bug_fix"), F.lit(False)).alias("fix"),
-        (micros(F.col("commit_date")) - lo).alias("d"),
-        (micros(span.getField("hi")) - lo).alias("length"),
-    )
-    own = F.floor(F.col("d") / F.lit(width))
-    first = F.greatest(F.floor((F.col("d") - horizon) / F.lit(width)), F.lit(0).cast("bigint"))
-    last = own - 1
-    kind = "struct<w:bigint,n:bigint,f:bigint,y:bigint>"
-    fix_number = F.col("fix").cast("bigint")
-    mine = F.array(
-        F.struct(own.alias("w"), F.lit(1).alias("n"), fix_number.alias("f"), F.lit(0).alias("y")).cast(kind)
-    )
-    served = F.when(
-        F.col("fix") & (last >= first),
-        F.transform(
-            F.sequence(first, last),
-            lambda w: F.struct(
-                w.alias("w"), F.lit(0).alias("n"), F.lit(0).alias("f"), F.lit(1).alias("y")
-            ).cast(kind),
-        ),
-    ).otherwise(F.array().cast(f"array<{kind}>"))
-    emitted = rows.select(
-        "repo_name", "file_path", "length", F.explode(F.concat(mine, served)).alias("e")
-    ).filter((F.col("e.w") + 1) * width < F.col("length"))
-    grouped = emitted.groupBy("repo_name", "file_path", F.col("e.w").alias("window_no")).agg(
-        F.sum("e.n").alias("commits_in_window"),
-        F.sum("e.f").alias("bug_fix_commits_in_window"),
-        (F.max("e.y") > 0).alias("is_buggy"),
-    )
-    start = span.getField("lo")
+    d = F.col("d")
+    rows = (
+        log.filter(F.col("commit_date").isNotNull())
+        .select(
+            "repo_name",
+            "file_path",
+            F.coalesce(F.col("is_bug_fix"), F.lit(False)).alias("fix"),
+            (micros(F.col("commit_date")) - span.lo_us).alias("d"),
+        )
+        .select(
+            "repo_name",
+            "file_path",
+            "fix",
+            F.floor(d / F.lit(width)).alias("own"),
+            F.floor((d - horizon_days * DAY_MICROS) / F.lit(width)).alias("first"),
+        )
+    )
+    # Step 0 is the change's own window; step j the window j before it, whose
+    # horizon can reach this far for j up to horizon / window (rounded up).
+    steps = range(0, -(-horizon_days // window_days) + 1)
+    emitted = (
+        rows.select("*", F.explode(F.array(*[F.lit(j) for j in steps])).alias("step"))
+        .withColumn("w", F.col("own") - F.col("step"))
+        .filter(
+            (F.col("w") >= 0)
+            & ((F.col("w") + 1) * width < span.length_us)
+            & ((F.col("step") == 0) | (F.col("fix") & (F.col("w") >= F.col("first"))))
+        )
+    )
+    own_row = F.col("step") == 0
+    grouped = emitted.groupBy("repo_name", "file_path", F.col("w").alias("window_no")).agg(
+        F.count_if(own_row).alias("commits_in_window"),
+        F.count_if(own_row & F.col("fix")).alias("bug_fix_commits_in_window"),
+        F.max(~own_row).alias("is_buggy"),
+    )
     return grouped.filter(F.col("commits_in_window") >= min_changes).select(
         "repo_name",
         "file_path",
         "window_no",
-        plus_days(start, F.col("window_no") * window_days).alias("window_start"),
-        plus_days(start, (F.col("window_no") + 1) * window_days).alias("window_end"),
+        span.at(F.col("window_no") * window_days).alias("window_start"),
+        span.at((F.col("window_no") + 1) * window_days).alias("window_end"),
         "is_buggy",
         "commits_in_window",
         "bug_fix_commits_in_window",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.timing import DAY_MICROS, micros, plus_days, whole_days
+from riskloom.operators.labels import Span
 
 SHORT_DAYS = 30
 LONG_DAYS = 90
@@ -79,7 +81,9 @@ def trailing_metrics(served: DataFrame) -> DataFrame:
     )
 
 
-def lifetime_metrics(refs: DataFrame, slotted: DataFrame) -> DataFrame:
+def lifetime_metrics(
+    refs: DataFrame, slotted: DataFrame, carry: Sequence[str] = ()
+) -> DataFrame:
     """Rows, fixes, newest date and the top author's rows up to each ref.
 
     ``slotted`` holds ``rows, fixes, newest`` per (file, author, slot), where a
@@ -99,7 +103,7 @@ def lifetime_metrics(refs: DataFrame, slotted: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     author_rows = F.when(F.col("author_email").isNotNull(), F.sum("rows").over(by_author))
-    asked = refs.select(*KEYS, "ref", F.lit(1).alias("wanted"))
+    asked = refs.select(*KEYS, "ref", F.lit(1).alias("wanted"), *carry)
     merged = (
         slotted.withColumn("author_rows", author_rows)
         .drop("author_email")
@@ -112,6 +116,7 @@ def lifetime_metrics(refs: DataFrame, slotted: DataFrame) -> DataFrame:
             F.max("newest").alias("newest"),
             F.max("author_rows").alias("author_rows"),
             F.max("wanted").alias("wanted"),
+            *[F.max(c).alias(c) for c in carry],
         )
     )
     return (
@@ -119,6 +124,7 @@ def lifetime_metrics(refs: DataFrame, slotted: DataFrame) -> DataFrame:
             *KEYS,
             "ref",
             "wanted",
+            *carry,
             F.sum("rows").over(so_far).alias("rows"),
             F.sum("fixes").over(so_far).alias("fixes"),
             F.max("newest").over(so_far).alias("newest"),
@@ -138,7 +144,9 @@ def _per_author_and_slot(rows: DataFrame, slot: Column) -> DataFrame:
     )
 
 
-def _finish(lifetime: DataFrame, trailing: DataFrame, ref_date: Column) -> DataFrame:
+def _finish(
+    lifetime: DataFrame, trailing: DataFrame, ref_date: Column, carry: Sequence[str] = ()
+) -> DataFrame:
     counts = {
         c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
         for c in (
@@ -158,6 +166,7 @@ def _finish(lifetime: DataFrame, trailing: DataFrame, ref_date: Column) -> DataF
     return lifetime.join(trailing, [*KEYS, "ref"], "left").select(
         *KEYS,
         "ref",
+        *carry,
         F.coalesce("rows_ever", F.lit(0)).alias("rows_ever"),
         ref_date.alias("window_end"),
         *[column.alias(name) for name, column in counts.items()],
@@ -171,34 +180,37 @@ def _finish(lifetime: DataFrame, trailing: DataFrame, ref_date: Column) -> DataF
 def metrics_on_grid(
     refs: DataFrame,
     log: DataFrame,
-    start: Column,
+    span: Span,
     window_days: int = 90,
     short_days: int = SHORT_DAYS,
     long_days: int = LONG_DAYS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """All metrics for refs on a grid: ``start + window_days * (window_no + 1)``.
+    """All metrics for refs on a grid: ``span.lo + window_days * (window_no + 1)``.
 
-    ``refs`` holds distinct ``(repo_name, file_path, window_no)``. A change finds
-    the refs it serves by arithmetic (both ends of a window are closed), so
-    changes and refs are never joined.
+    ``refs`` holds distinct ``(repo_name, file_path, window_no)`` and any ``carry``
+    columns; ``span`` comes from ``date_span``. A change finds the refs it serves
+    by arithmetic (both ends of a window are closed), so changes and refs are
+    never joined.
     """
     width = window_days * DAY_MICROS
     d = F.col("d")
     rows = (
         _rows(log)
-        .withColumn("d", micros(F.col("commit_date")) - micros(start))
+        .withColumn("d", micros(F.col("commit_date")) - span.lo_us)
         .withColumn("first", F.greatest(F.ceil(d / F.lit(width)) - 1, F.lit(0).cast("bigint")))
-        .withColumn("last", F.floor((d + long_days * DAY_MICROS) / F.lit(width)) - 1)
     )
+    last = F.floor((d + long_days * DAY_MICROS) / F.lit(width)) - 1
     served = (
-        rows.filter(F.col("last") >= F.col("first"))
-        .withColumn("ref", F.explode(F.sequence("first", "last")))
+        rows.withColumn("last", last)
+        .filter(F.col("last") >= F.col("first"))
+        .select("*", F.explode(F.sequence("first", "last")).alias("ref"))
         .withColumn("in_short", (F.col("ref") + 1) * width - d <= short_days * DAY_MICROS)
     )
-    asked = refs.select(*KEYS, F.col("window_no").alias("ref"))
-    lifetime = lifetime_metrics(asked, _per_author_and_slot(rows, F.col("first")))
-    ref_date = plus_days(start, (F.col("ref") + 1) * window_days)
-    return _finish(lifetime, trailing_metrics(served), ref_date).withColumnRenamed(
+    asked = refs.select(*KEYS, F.col("window_no").alias("ref"), *carry)
+    lifetime = lifetime_metrics(asked, _per_author_and_slot(rows, F.col("first")), carry)
+    ref_date = span.at((F.col("ref") + 1) * window_days)
+    return _finish(lifetime, trailing_metrics(served), ref_date, carry).withColumnRenamed(
         "ref", "window_no"
     )
 
@@ -269,15 +281,21 @@ def metrics_as_of(
 
 
 def process_features(
-    labels: DataFrame, log: DataFrame, start: Column, window_days: int = 90
+    labels: DataFrame,
+    log: DataFrame,
+    span: Span,
+    window_days: int = 90,
+    carry: Sequence[str] = ("is_buggy",),
 ) -> DataFrame:
-    """Metrics per label row; files with fewer than two changes are left out."""
-    refs = labels.select(*KEYS, "window_no").distinct()
-    metrics = metrics_on_grid(refs, log, start, window_days).filter(
-        F.col("rows_ever") >= MIN_ROWS_FOR_FEATURES
+    """Metrics per label row; files with fewer than two changes are left out.
+
+    ``labels`` holds one row per (file, window); its ``carry`` columns are kept.
+    """
+    return (
+        metrics_on_grid(labels, log, span, window_days, carry=carry)
+        .filter(F.col("rows_ever") >= MIN_ROWS_FOR_FEATURES)
+        .drop("rows_ever")
     )
-    carried = labels.select(*KEYS, "window_no", F.col("is_buggy").cast("int").alias("is_buggy"))
-    return carried.join(metrics, [*KEYS, "window_no"]).drop("rows_ever")
 
 
 def process_features_pairs(pairs: DataFrame, log: DataFrame) -> DataFrame:

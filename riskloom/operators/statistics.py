@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.ordering import exact_quantiles, melt, null_safe_join
@@ -139,9 +139,8 @@ def mutual_information(
     Bin edges are exact quantiles that occur in the data; a value belongs to the
     bin given by the number of edges below it.
     """
-    long = melt(df, [F.col(label).cast("int").alias("label")], features).filter(
-        F.col("value").isNotNull()
-    )
+    labeled = df.withColumn("label", F.col(label).cast("int"))
+    long = melt(labeled, ["label"], features).filter(F.col("value").isNotNull())
     edges = exact_quantiles(
         long, ["feature"], [i / bins for i in range(1, bins)], mode="disc"
     )
@@ -154,18 +153,21 @@ def mutual_information(
         .groupBy("feature", "label", bin_no.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    by_bin = cells.groupBy("feature", "bin").agg(F.sum("n").alias("n_bin"))
-    by_label = cells.groupBy("feature", "label").agg(F.sum("n").alias("n_label"))
-    totals = cells.groupBy("feature").agg(F.sum("n").alias("n_all"))
-    p = F.col("n") / F.col("n_all")
-    term = p * F.log((F.col("n") * F.col("n_all")) / (F.col("n_bin") * F.col("n_label")))
-    return (
-        cells.join(by_bin, ["feature", "bin"])
-        .join(by_label, ["feature", "label"])
-        .join(totals, "feature")
-        .groupBy("feature")
-        .agg(F.round(F.sum(term), 6).alias("mutual_information"))
+    # At most bins x classes rows per feature from here on.
+    def total(*keys: str):
+        return F.sum("n").over(Window.partitionBy(*keys))
+
+    sized = cells.select(
+        "feature",
+        "n",
+        total("feature", "bin").alias("n_bin"),
+        total("feature", "label").alias("n_label"),
+        total("feature").alias("n_all"),
+    )
+    term = (F.col("n") / F.col("n_all")) * F.log(
+        F.col("n").cast("double") * F.col("n_all") / (F.col("n_bin").cast("double") * F.col("n_label"))
     )
+    return sized.groupBy("feature").agg(F.round(F.sum(term), 6).alias("mutual_information"))
 
 
 def class_balance(df: DataFrame, label: str = "is_buggy") -> DataFrame:

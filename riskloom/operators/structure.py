@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,13 @@ NODE_SCHEMA = (
     "digest string, idx int, parent_idx int, type string, depth int, nesting int, "
     "n_children int, lineno int, end_lineno int, n_args int, n_plain_args int"
 )
+ARROW_SCHEMA = pa.schema(
+    [
+        (part.split()[0], pa.string() if part.endswith("string") else pa.int32())
+        for part in NODE_SCHEMA.split(", ")
+    ]
+)
+ROWS_PER_BATCH = 50_000
 
 
 def _arguments(node: ast.AST) -> tuple[int | None, int | None]:
@@ -71,14 +78,22 @@ def _node_rows(digest: str, text: str) -> list[tuple]:
     return rows
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [part.split()[0] for part in NODE_SCHEMA.split(", ")]
-    whole = ["idx", "parent_idx", "depth", "nesting", "n_children", "lineno", "end_lineno", "n_args", "n_plain_args"]
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), ARROW_SCHEMA.types)]
+    return pa.RecordBatch.from_arrays(columns, schema=ARROW_SCHEMA)
+
+
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node rows, handed back in batches of bounded size."""
+    rows: list[tuple] = []
     for batch in batches:
-        for digest, text in zip(batch["digest"], batch["source_code"]):
-            rows = _node_rows(digest, text)
-            if rows:
-                yield pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in whole})
+        for digest, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+            rows += _node_rows(digest, text)
+            if len(rows) >= ROWS_PER_BATCH:
+                yield _as_batch(rows)
+                rows = []
+    if rows:
+        yield _as_batch(rows)
 
 
 def distinct_sources(sources: DataFrame, text: str = "source_code") -> DataFrame:
@@ -92,7 +107,7 @@ def distinct_sources(sources: DataFrame, text: str = "source_code") -> DataFrame
 
 def ast_nodes(distinct: DataFrame) -> DataFrame:
     """Node rows of every text that parses."""
-    return distinct.select("digest", "source_code").mapInPandas(_parse_batches, NODE_SCHEMA)
+    return distinct.select("digest", "source_code").mapInArrow(_parse_batches, NODE_SCHEMA)
 
 
 def structure_metrics(nodes: DataFrame, variant: str = "nesting") -> DataFrame:

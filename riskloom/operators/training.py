@@ -261,8 +261,10 @@ def feature_importance(
 
 def loss_table(spark: SparkSession, model: GBTClassificationModel, vectors: DataFrame) -> DataFrame:
     """Loss after each tree, one row per step."""
-    labeled = vectors.select("features", F.col("is_buggy").cast("double").alias("label"))
-    losses = model.setLabelCol("label").evaluateEachIteration(labeled)
+    labeled = class_weights(vectors).select(
+        "features", "weight", F.col("is_buggy").cast("double").alias("label")
+    )
+    losses = model.evaluateEachIteration(labeled)
     return spark.createDataFrame(
         [(i, float(x)) for i, x in enumerate(losses)], "step int, loss double"
     )

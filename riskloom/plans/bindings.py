@@ -119,13 +119,18 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    """Windowed labels with all activity metrics as of the window end."""
+    """Windowed labels with all activity metrics as of the window end.
+
+    Every labeled file has two changes in its window, so no label row is lost.
+    """
     log = change_log(spark, folder)
-    marked = windowed_labels(log)
-    metrics = process_features(marked, log, date_span(log).getField("lo"))
-    return marked.withColumn("is_buggy", F.col("is_buggy").cast("int")).join(
-        metrics.drop("is_buggy", "window_end"), ["repo_name", "file_path", "window_no"], "left"
+    span = date_span(log)
+    marked = windowed_labels(log, span=span).withColumn(
+        "is_buggy", F.col("is_buggy").cast("int")
     )
+    carried = ["is_buggy", "commits_in_window", "bug_fix_commits_in_window"]
+    metrics = process_features(marked, log, span, carry=carried)
+    return metrics.withColumn("window_start", span.at(F.col("window_no") * 90))
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:

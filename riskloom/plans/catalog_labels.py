@@ -207,8 +207,9 @@ def _metric_query(name, columns):
     @query(name, statement)
     def run(spark, folder):
         log = bind.change_log(spark, folder)
-        refs = labels.windowed_labels(log).select("repo_name", "file_path", "window_no")
-        metrics = process.metrics_on_grid(refs, log, date_span(log).getField("lo"))
+        span = date_span(log)
+        refs = labels.windowed_labels(log, span=span).select("repo_name", "file_path", "window_no")
+        metrics = process.metrics_on_grid(refs, log, span)
         return metrics.select("repo_name", "file_path", "window_end", *columns)
 
     return run
@@ -224,9 +225,10 @@ for _name, _columns in _METRICS.items():
 )
 def process_features(spark, folder):
     log = bind.change_log(spark, folder)
-    return process.process_features(
-        labels.windowed_labels(log), log, date_span(log).getField("lo")
-    )
+    span = date_span(log)
+    marked = labels.windowed_labels(log, span=span)
+    marked = marked.withColumn("is_buggy", F.col("is_buggy").cast("int"))
+    return process.process_features(marked, log, span)
 
 
 @query(
@@ -261,7 +263,7 @@ def process_features_pairs(spark, folder):
     count(DISTINCT author_email) FILTER (commit_date >= ref - INTERVAL 90 DAY) AS author_count_90d,
     count(*) FILTER (is_bug_fix AND commit_date >= ref - INTERVAL 90 DAY) AS bug_fix_count_90d,
     greatest(date_sub('day', max(commit_date), ref), 0) AS days_since_last_change
-    FROM cl, r GROUP BY ALL HAVING count(*) >= 3)""",
+    FROM cl, r GROUP BY repo_name, file_path, ref HAVING count(*) >= 3)""",
         """SELECT g.*, round(bug_fix_count_90d / CAST(greatest(commit_count_90d, 1) AS DOUBLE), 4) AS fix_density,
   round(commit_count_30d / CAST(greatest(commit_count_90d, 1) AS DOUBLE), 4) AS commit_burst_30d,
   round(top / CAST(greatest(total_commits, 1) AS DOUBLE), 4) AS ownership_score FROM g JOIN tp USING (repo_name, file_path)""",

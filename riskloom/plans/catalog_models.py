@@ -562,7 +562,7 @@ def loss_smoothing(spark, folder):
 # --- structure ------------------------------------------------------------------------
 
 # Closed forms of the metrics of the generated program texts.
-_PARTS = """k AS (SELECT DISTINCT source_code, repo_name, file_path, commit_hash, line_no,
+_PARTS = """k AS (SELECT source_code, repo_name, file_path, commit_hash, line_no,
     CAST(round(l_discount * 100) AS BIGINT) % 3 AS i, CAST(l_quantity AS BIGINT) % 4 AS f,
     CAST(round(l_tax * 100) AS BIGINT) % 3 AS c, CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END AS t,
     source_code IS NOT NULL AND trim(source_code) <> '' AS has_text, coalesce(source_code, '') LIKE 'import%' AS parses FROM src)"""
@@ -587,15 +587,15 @@ def _closed_form(nesting: str, arguments: str, places: int, usable: str) -> str:
     return ", ".join(f"{value(e)} AS {n}" for n, e in columns.items())
 
 
-_NESTING = "CASE WHEN c > 0 THEN 5 WHEN f > 0 THEN 2 ELSE t END"
-_ALL_ARGS = "CASE WHEN f > 0 THEN 3 WHEN c > 0 THEN 2 ELSE 0 END"
-_PLAIN_ARGS = "CASE WHEN f > 0 OR c > 0 THEN 2 ELSE 0 END"
+_NESTING = "CAST(CASE WHEN c > 0 THEN 5 WHEN f > 0 THEN 2 ELSE t END AS BIGINT)"
+_ALL_ARGS = "CAST(CASE WHEN f > 0 THEN 3 WHEN c > 0 THEN 2 ELSE 0 END AS BIGINT)"
+_PLAIN_ARGS = "CAST(CASE WHEN f > 0 OR c > 0 THEN 2 ELSE 0 END AS BIGINT)"
 _REVISION = ["repo_name", "file_path", "commit_hash", "line_no"]
 
 
 def _structure(spark, folder, variant, missing):
     log = bind.log_with_source(spark, folder).select(*_REVISION, "source_code")
-    rows = structure.structure_for(log.distinct(), "source_code", variant, missing)
+    rows = structure.structure_for(log, "source_code", variant, missing)
     return rows.select(
         *_REVISION, *[n for n in structure.METRIC_NAMES if n != "ast_node_count"]
     )
@@ -712,10 +712,12 @@ FROM fm LEFT JOIN st USING (repo_name, file_path)""",
 )
 def assemble_matrix(spark, folder):
     log = bind.log_with_source(spark, folder)
-    marked = labels.windowed_labels(log).withColumn("is_buggy", F.col("is_buggy").cast("int"))
-    activity = process.process_features(
-        marked, log, labels.date_span(log).getField("lo")
-    ).withColumn("is_buggy", F.lit(-1))
+    span = labels.date_span(log)
+    marked = labels.windowed_labels(log, span=span)
+    marked = marked.withColumn("is_buggy", F.col("is_buggy").cast("int"))
+    activity = process.process_features(marked, log, span).withColumn(
+        "is_buggy", F.lit(-1)
+    )
     shapes = joins.rename_structure_columns(
         structure.structure_for(latest_source_snapshot(log)).drop("source_code")
     )
@@ -836,7 +838,7 @@ _MEANS = "mn AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in COEFFICIENTS
 _BASE = " + ".join(f"CAST({w} AS DOUBLE) * m_{c}" for c, w in COEFFICIENTS.items())
 _LINEAR = (
     _MEANS
-    + ",\n  at AS ("
+    + ",\n  att AS ("
     + union_all(
         f"SELECT repo_name, file_path, window_no, {_BASE} AS base_value, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, CAST({w} AS DOUBLE) * (coalesce({c}, m_{c}) - m_{c}) AS attribution FROM fm, mn"
         for c, w in COEFFICIENTS.items()
@@ -856,7 +858,7 @@ def _linear(spark, folder):
     more(
         "fm",
         _LINEAR,
-        "SELECT repo_name, file_path, window_no, feature, value, round(attribution, 6) AS attribution, round(base_value, 6) AS base_value FROM at",
+        "SELECT repo_name, file_path, window_no, feature, value, round(attribution, 6) AS attribution, round(base_value, 6) AS base_value FROM att",
     ),
 )
 def attributions(spark, folder):
@@ -879,7 +881,7 @@ def tree_attributions(spark, folder):
         _LINEAR,
         """SELECT repo_name, file_path, window_no, feature, round(value, 4) AS value, round(attribution, 6) AS attribution,
   CASE WHEN attribution > 0 THEN 'increases_risk' ELSE 'decreases_risk' END AS direction, CAST(rn AS INTEGER) AS feature_rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY repo_name, file_path, window_no ORDER BY abs(round(attribution, 9)) DESC, feature) AS rn FROM at) WHERE rn <= 3""",
+  SELECT *, row_number() OVER (PARTITION BY repo_name, file_path, window_no ORDER BY abs(round(attribution, 9)) DESC, feature) AS rn FROM att) WHERE rn <= 3""",
     ),
 )
 def top_features_per_row(spark, folder):
@@ -889,7 +891,7 @@ def top_features_per_row(spark, folder):
 
 @query(
     "global_importance",
-    more("fm", _LINEAR, "SELECT feature, round(avg(abs(attribution)), 6) AS importance FROM at GROUP BY ALL"),
+    more("fm", _LINEAR, "SELECT feature, round(avg(abs(attribution)), 6) AS importance FROM att GROUP BY ALL"),
 )
 def global_importance(spark, folder):
     return attribution.global_importance(_linear(spark, folder))
@@ -903,11 +905,11 @@ def global_importance(spark, folder):
         + """,
   pk AS (SELECT file_path, window_no FROM fm ORDER BY fix_density DESC, commit_count_90d DESC, file_path, window_no LIMIT 1)""",
         """SELECT repo_name, file_path, window_no, feature, round(attribution, 6) AS attribution, round(base_value, 6) AS base_value,
-  round(sum(attribution) OVER (), 6) AS attribution_sum FROM at SEMI JOIN pk USING (file_path, window_no)""",
+  round(sum(attribution) OVER (), 6) AS attribution_sum FROM att SEMI JOIN pk USING (file_path, window_no)""",
     ),
 )
 def explain_row(spark, folder):
-    matrix = bind.feature_matrix(spark, folder)
+    matrix = write_table(bind.feature_matrix(spark, folder), fresh_path(spark, "matrix"))
     row = (
         matrix.orderBy(
             F.desc("fix_density"), F.desc("commit_count_90d"), "file_path", "window_no"
@@ -916,7 +918,8 @@ def explain_row(spark, folder):
         .first()
     )
     where = (F.col("file_path") == row["file_path"]) & (F.col("window_no") == row["window_no"])
-    return attribution.explain_row(_linear(spark, folder), where, ROW_KEYS)
+    stored = attribution.linear_attributions(matrix, COEFFICIENTS, ROW_KEYS)
+    return attribution.explain_row(stored, where, ROW_KEYS)
 
 
 @query(
@@ -926,7 +929,7 @@ def explain_row(spark, folder):
         _LINEAR,
         "SELECT repo_name, file_path, window_no, "
         + ", ".join(f"round(max(attribution) FILTER (feature = '{c}'), 6) AS {c}" for c in COEFFICIENTS)
-        + " FROM at GROUP BY ALL",
+        + " FROM att GROUP BY ALL",
     ),
 )
 def wide_attributions(spark, folder):
@@ -939,13 +942,15 @@ def _scored_attributions(spark, folder):
     """Rows with an id, a score squeezed to 0..1 and their attributions."""
     ident = F.concat_ws("#", "file_path", F.col("window_no").cast("string"))
     long = _linear(spark, folder).withColumn("id", ident).drop(*ROW_KEYS)
-    scored = long.groupBy("id", "base_value").agg(F.sum("attribution").alias("total")).select(
-        "id", F.round(1 / (1 + F.exp(-(F.col("base_value") + F.col("total")))), 6).alias("score")
+    stored = write_table(long, fresh_path(spark, "attributions"))
+    total = F.col("base_value") + F.sum("attribution")
+    scored = stored.groupBy("id", "base_value").agg(
+        F.round(1 / (1 + F.exp(-total)), 6).alias("score")
     )
-    return scored, long
+    return scored.drop("base_value"), stored
 
 
-_SCORED_AT = """ri AS (SELECT file_path || '#' || CAST(window_no AS VARCHAR) AS id, feature, attribution, base_value FROM at),
+_SCORED_AT = """ri AS (SELECT file_path || '#' || CAST(window_no AS VARCHAR) AS id, feature, attribution, base_value FROM att),
   rs AS (SELECT id, round(1 / (1 + exp(-(base_value + sum(attribution)))), 6) AS score FROM ri GROUP BY id, base_value)"""
 
 
@@ -979,7 +984,7 @@ def at_risk_with_attributions(spark, folder):
         + _SCORED_AT
         + """,
   o AS (SELECT file_path || '#' || CAST(window_no AS VARCHAR) AS id, feature, round(value, 4) AS value, round(round(attribution, 9), 6) AS a,
-    row_number() OVER (PARTITION BY file_path, window_no ORDER BY abs(round(attribution, 9)) DESC, feature) AS rn FROM at),
+    row_number() OVER (PARTITION BY file_path, window_no ORDER BY abs(round(attribution, 9)) DESC, feature) AS rn FROM att),
   p AS (SELECT id, string_agg(CASE WHEN a > 0 THEN 'high ' ELSE 'low ' END || feature || ' (' || printf('%.2f', value) || ', SHAP=' || printf('%+.3f', a) || ')', '; ' ORDER BY rn) AS parts
     FROM o WHERE rn <= 3 GROUP BY id)""",
         """SELECT id, 'This file has ' || CASE WHEN score >= CAST(0.7 AS DOUBLE) THEN 'HIGH' WHEN score >= CAST(0.4 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END
@@ -992,9 +997,10 @@ def risk_summary_text(spark, folder):
 
 
 def _report_rows(spark, folder, k):
+    """Report rows as a finished report holds them: stored, then read back."""
     scored, long = _scored_attributions(spark, folder)
     rounded = long.withColumn("attribution", F.round("attribution", 9))
-    return explain.report_rows(scored, rounded, k)
+    return write_table(explain.report_rows(scored, rounded, k), fresh_path(spark, "report-rows"))
 
 
 @query("risk_report")
