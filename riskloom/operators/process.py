@@ -441,7 +441,8 @@ def process_report(
 
     one = F.lit(1)
     ratio_burst = count_of("n30") / F.greatest(count_of("n90") / F.lit(3.0), F.lit(1.0))
-    days = F.greatest(whole_days(at, F.col("last_date")), F.lit(0).cast("bigint"))
+    age = whole_days(at, F.col("last_date"))
+    days = F.when(age.isNotNull(), F.greatest(age, F.lit(0).cast("bigint")))
     return files.select(*KEYS).distinct().join(per_file, list(KEYS), "left").select(
         *KEYS,
         count_of("n30").alias("commit_count_30d"),

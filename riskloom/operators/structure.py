@@ -97,11 +97,21 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def distinct_sources(sources: DataFrame, text: str = "source_code") -> DataFrame:
-    """Each distinct non-blank text once: ``digest, source_code``."""
+    """Each distinct non-blank text once: ``digest, source_code``.
+
+    Copies collapse before the first shuffle. The distinct texts are then spread
+    by count, because parsing is far slower than reading: partitions merged by
+    their bytes would leave most cores idle.
+    """
+    spark = sources.sparkSession
+    wide = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
     return (
         sources.filter(not_blank(F.col(text)))
         .select(F.sha2(text, 256).alias("digest"), F.col(text).alias("source_code"))
         .dropDuplicates(["digest"])
+        .repartition(wide, "digest")
     )
 
 
