@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import fresh_path
+from riskloom.sources.tables import write_table
+
 # Node types that get their own feature column.
 NODE_TYPES = (
     "Module", "FunctionDef", "AsyncFunctionDef", "ClassDef",
@@ -26,15 +29,23 @@ HOPS = 3
 def graph_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes of usable graphs with depth and child count scaled to their graph.
 
-    Graphs outside ``MIN_NODES..MAX_NODES`` are not embedded, which also bounds every per-graph step below.
+    Graphs outside ``MIN_NODES..MAX_NODES`` are not embedded, which also bounds
+    every per-graph step. All steps from here on partition by ``digest`` alone, so
+    they share one shuffle.
     """
-    sizes = nodes.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("n_nodes"),
-        F.max("depth").alias("deepest"),
-        F.max("n_children").alias("widest"),
+    whole = Window.partitionBy("digest")
+    sized = nodes.select(
+        "digest",
+        "idx",
+        "parent_idx",
+        "type",
+        "depth",
+        "n_children",
+        F.count(F.lit(1)).over(whole).alias("n_nodes"),
+        F.max("depth").over(whole).alias("deepest"),
+        F.max("n_children").over(whole).alias("widest"),
     )
-    usable = sizes.filter(F.col("n_nodes").between(MIN_NODES, MAX_NODES))
-    return nodes.join(usable, "digest").select(
+    return sized.filter(F.col("n_nodes").between(MIN_NODES, MAX_NODES)).select(
         "digest",
         "idx",
         "parent_idx",
@@ -66,60 +77,63 @@ def graph_edges(graph: DataFrame) -> DataFrame:
 
 
 def hop_weights(graph: DataFrame, hops: int = HOPS) -> DataFrame:
-    """Share of every node in its graph's mean-pooled, ``hops``-times smoothed features.
+    """Add ``weight``: each node's share in its graph's pooled, smoothed features.
+
+    Smoothing multiplies ``hops`` times by the symmetric normalized adjacency with
+    self-loops and pooling is a mean, both linear. So one number per node is
+    propagated instead of its whole feature vector.
 
-    Smoothing multiplies by the symmetric normalized adjacency with self-loops and
-    pooling is a mean, both linear. So one number per node is propagated instead
-    of its whole feature vector; a node's inbox is summed per (graph, node).
+    A node is the centre of its own family and a member of its parent's. Within a
+    family the centre receives from all members and each member from the centre:
+    one window per hop, then the two roles of a node are added up. Families lie
+    inside a graph, so no hop shuffles again.
     """
-    scale = F.sqrt(F.col("degree") + 1)
-    state = graph.select(
-        "digest", "idx", "parent_idx", scale.alias("root"), F.lit(1.0).alias("weight")
-    )
+    nodes = [c for c in graph.columns if c != "weight"]
+    family = Window.partitionBy("digest", "family")
+    root = F.sqrt(F.col("degree") + 1)
+    state = graph.withColumn("weight", F.lit(1.0))
     for _ in range(hops):
-        sent = F.col("weight") / F.col("root")
-        outbox = state.select("digest", "idx", "parent_idx", sent.alias("sent"))
-        to_parent = outbox.filter(F.col("parent_idx").isNotNull()).select(
-            "digest", F.col("parent_idx").alias("idx"), "sent"
-        )
-        from_parent = (
-            state.select("digest", "idx", F.col("parent_idx").alias("p"))
-            .filter(F.col("p").isNotNull())
-            .join(
-                outbox.select("digest", F.col("idx").alias("p"), "sent"),
-                ["digest", "p"],
-            )
-            .select("digest", "idx", "sent")
+        sent = F.col("weight") / root
+        roles = F.array(
+            F.struct(F.lit(True).alias("centre"), F.col("idx").alias("family")),
+            F.struct(F.lit(False).alias("centre"), F.col("parent_idx").alias("family")),
         )
-        inbox = (
-            to_parent.unionAll(from_parent)
-            .unionAll(outbox.select("digest", "idx", "sent"))
-            .groupBy("digest", "idx")
-            .agg(F.sum("sent").alias("received"))
+        placed = state.select(*nodes, sent.alias("sent"), F.inline(roles)).filter(
+            F.col("family").isNotNull()
         )
-        state = state.join(inbox, ["digest", "idx"]).select(
-            "digest", "idx", "parent_idx", "root", (F.col("received") / F.col("root")).alias("weight")
+        from_members = F.sum(F.when(F.col("centre"), 0.0).otherwise(F.col("sent"))).over(family)
+        from_centre = F.max(F.when(F.col("centre"), F.col("sent"))).over(family)
+        got = F.when(F.col("centre"), F.col("sent") + from_members).otherwise(from_centre)
+        state = (
+            placed.withColumn("got", got)
+            .groupBy(*nodes)
+            .agg(F.sum("got").alias("received"))
+            .select(*nodes, (F.col("received") / root).alias("weight"))
         )
-    return state.select("digest", "idx", "weight")
+    return state
 
 
 def pooled_features(graph: DataFrame, hops: int = HOPS) -> DataFrame:
     """Mean over nodes of the smoothed features, one column per feature."""
-    weighted = graph.join(hop_weights(graph, hops), ["digest", "idx"])
     w = F.col("weight")
     columns = [F.sum(F.when(F.col("type") == t, w).otherwise(0.0)).alias(f"t_{t}") for t in NODE_TYPES]
     columns += [
         F.sum(w * F.col("depth_share")).alias("t_depth_share"),
         F.sum(w * F.col("child_share")).alias("t_child_share"),
     ]
-    sums = weighted.groupBy("digest", "n_nodes").agg(*columns)
+    sums = hop_weights(graph, hops).groupBy("digest", "n_nodes").agg(*columns)
     names = [c for c in sums.columns if c.startswith("t_")]
     return sums.select("digest", *[(F.col(c) / F.col("n_nodes")).alias(c) for c in names])
 
 
 def graph_embedding(nodes: DataFrame, hops: int = HOPS, dim: int = EMBEDDING_DIM) -> DataFrame:
-    """``digest, embedding``: pooled graph features projected to ``dim`` numbers."""
-    pooled = pooled_features(graph_nodes(nodes), hops)
+    """``digest, embedding``: pooled graph features projected to ``dim`` numbers.
+
+    The pooled table is stored once, because fitting and projecting both read it.
+    """
+    pooled = write_table(
+        pooled_features(graph_nodes(nodes), hops), fresh_path(nodes.sparkSession, "pooled")
+    )
     names = [c for c in pooled.columns if c != "digest"]
     vectors = VectorAssembler(inputCols=names, outputCol="pooled").transform(pooled)
     model = PCA(k=min(dim, len(names)), inputCol="pooled", outputCol="projected").fit(vectors)

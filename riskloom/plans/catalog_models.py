@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from riskloom.functions.timing import plus_days
 from riskloom.operators import (
     attribution,
     explain,
@@ -23,8 +22,8 @@ from riskloom.operators import (
     topk,
     training,
 )
-from riskloom.operators.predicates import align_features
 from riskloom.plans import bindings as bind
+from riskloom.plans import flows
 from riskloom.plans.registry import query
 from riskloom.plans.sqltext import sql
 from riskloom.session import fresh_path
@@ -1005,46 +1004,24 @@ def _report_rows(spark, folder, k):
 
 @query("risk_report")
 def risk_report(spark, folder):
-    """On-demand report: metrics and structure, scored by a stored model."""
-    ref = datetime(2001, 6, 1)
-    log = bind.log_with_source(spark, folder)
-    matrix = _stored_matrix(spark, folder)
+    """On-demand report: activity and structure, scored by a stored model."""
     path = fresh_path(spark, "model")
-    model = training.refit_final(matrix, bind.FEATURES, SMALL_TREES, 5, path)
-    _, names = training.load_model(spark, path)
-    sources = latest_source_snapshot(log.filter(F.col("commit_date") <= F.lit(ref)))
-    activity = process.process_report(sources, log.filter(F.col("commit_date") <= F.lit(ref)), ref)
-    shapes = joins.rename_structure_columns(
-        structure.structure_for(sources, variant="tree", missing="zero")
-    )
-    from riskloom.functions.text import line_count
-
-    files = write_table(
-        activity.join(shapes, FILE_KEYS)
-        .withColumn("lines_of_code", line_count(F.col("source_code")))
-        .drop("source_code"),
-        fresh_path(spark, "report-features"),
-    )
-    details = ["lines_of_code", "ast_cyclomatic_complexity", "days_since_last_change"]
-    aligned = align_features(files, names, keep=FILE_KEYS)
-    scores = training.score_batch(model, aligned, names).select(*FILE_KEYS, "score")
-    scored = scores.join(files.select(*FILE_KEYS, *details[:2], F.col(details[2]).alias("last_modified_days_ago")), FILE_KEYS)
-    with_id = scored.withColumnRenamed("file_path", "id").drop("repo_name")
-    stored = write_table(with_id, fresh_path(spark, "report-scores"))
-    long = attribution.tree_attributions(aligned, model, names, FILE_KEYS).withColumnRenamed(
-        "file_path", "id"
-    )
-    rows = explain.report_rows(
-        stored,
-        long,
-        20,
-        details=["lines_of_code", "ast_cyclomatic_complexity", "last_modified_days_ago"],
-    )
-    recent = log.filter(F.col("commit_date") > plus_days(F.lit(ref).cast("timestamp_ntz"), -365))
-    few = recent.limit(10).agg(F.count(F.lit(1))).scalar()
-    return explain.risk_report(
-        stored, rows, few, 0.5, "baseline", F.lit(None).cast("double"), "report-1"
-    )
+    matrix = _stored_matrix(spark, folder)
+    training.refit_final(matrix, bind.FEATURES, SMALL_TREES, 5, path)
+    model, names = training.load_model(spark, path)
+    log = bind.log_with_source(spark, folder)
+    return flows.analyze(log, model, names, datetime(2001, 6, 1))[0]
+
+
+@query("training_flow")
+def training_flow(spark, folder):
+    """Matrix with structure, training matrix, cross-validated model, evaluation."""
+    matrix = flows.windowed_matrix(bind.log_with_source(spark, folder))
+    stored = write_table(matrix, fresh_path(spark, "flow-matrix"))
+    ready, names = flows.training_matrix(stored, {}, 0.3, ROW_KEYS)
+    kept = write_table(ready, fresh_path(spark, "flow-training"))
+    done = flows.train(kept, names, SMALL_TREES, fresh_path(spark, "flow-model"), ROW_KEYS, k=2)
+    return flows.evaluation_tables(done.oof, done.threshold)["summary"]
 
 
 @query("file_explanation")

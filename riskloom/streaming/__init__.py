@@ -1,0 +1 @@
+"""Intentionally empty: none of the covered operators works on streams."""
