@@ -102,4 +102,4 @@ def line_count(text: Column) -> Column:
 
 
 def not_blank(text: Column) -> Column:
-    return text.isNotNull() & (F.regexp_replace(text, r"\s+", "") != "")
+    return text.isNotNull() & text.rlike(r"\S")

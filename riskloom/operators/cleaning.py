@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.ordering import exact_quantiles, melt, null_safe_join
 from riskloom.schema import require_columns
+from riskloom.session import fresh_path
+from riskloom.sources.tables import write_table
 
 MAX_NULL_SHARE = 0.50
 OUTLIER_RATIO = 10
@@ -47,16 +49,26 @@ def impute_global_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def impute_group_median(
     df: DataFrame, columns: Sequence[str], group: str = "repo_name"
 ) -> DataFrame:
-    """Group median first, then the median of the partly filled column."""
+    """Group median first, then the median of the partly filled column.
+
+    The group medians are stored once: the fill joins them, and only a column for
+    which some group has no median needs the second, global pass.
+    """
+    spark = df.sparkSession
     medians = exact_quantiles(melt(df, [group], columns), [group, "feature"], [0.5])
-    wide = medians.groupBy(group).agg(
+    listed = medians.groupBy(group).agg(
         *[F.max(F.when(F.col("feature") == c, F.col("quantile"))).alias(f"__m_{c}") for c in columns]
     )
+    every = df.select(group).distinct()
+    wide = write_table(
+        null_safe_join(every, listed, [group], "left"), fresh_path(spark, "group-medians")
+    )
+    lacking = wide.agg(*[F.count_if(F.col(f"__m_{c}").isNull()).alias(c) for c in columns]).first()
     filled = null_safe_join(df, wide, [group], "left")
     filled = filled.withColumns(
         {c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")) for c in columns}
     ).drop(*[f"__m_{c}" for c in columns])
-    return impute_global_median(filled, columns)
+    return impute_global_median(filled, [c for c in columns if lacking[c]])
 
 
 def null_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:

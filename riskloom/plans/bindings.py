@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.labels import date_span, windowed_labels
 from riskloom.operators.process import process_features
-from riskloom.sources.tables import table
+from riskloom.session import fresh_path
+from riskloom.sources.tables import table, write_table
 
 # Messages by order number mod 8; the odd ones separate substring from word matches.
 MESSAGES = (
@@ -133,6 +134,15 @@ def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.withColumn("window_start", span.at(F.col("window_no") * 90))
 
 
+def stored_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """The matrix written once, for steps that read it several times."""
+    matrix = feature_matrix(spark, folder).withColumnRenamed("window_end", "commit_date")
+    kept = matrix.select(
+        "repo_name", "file_path", "window_no", "is_buggy", "commit_date", *FEATURES
+    )
+    return write_table(kept, fresh_path(spark, "matrix"))
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Scored rows ``id, y, score`` with many tied scores."""
     customer, order = F.col("o_custkey"), F.col("o_orderkey")

@@ -128,7 +128,7 @@ _CAPS = {"repo_11": 0.2, "repo_22": 0.25, "repo_33": 0.9}
     ),
 )
 def cap_positive_rate(spark, folder):
-    matrix = bind.feature_matrix(spark, folder).select(
+    matrix = bind.stored_matrix(spark, folder).select(
         "repo_name", "file_path", "window_no", "fix_density", "is_buggy"
     )
     return labels.cap_positive_rate(

@@ -221,7 +221,7 @@ _RANKED = "SELECT " + ", ".join(
     ),
 )
 def spearman_pairs(spark, folder):
-    return statistics.spearman_pairs(bind.feature_matrix(spark, folder), STAT_COLUMNS)
+    return statistics.spearman_pairs(bind.stored_matrix(spark, folder), STAT_COLUMNS)
 
 
 @query(
@@ -284,7 +284,7 @@ _MI_FEATURES = ["code_churn_90d", "commit_count_90d", "fix_density"]
     ),
 )
 def mutual_information(spark, folder):
-    return statistics.mutual_information(bind.feature_matrix(spark, folder), _MI_FEATURES)
+    return statistics.mutual_information(bind.stored_matrix(spark, folder), _MI_FEATURES)
 
 
 @query(
@@ -736,16 +736,9 @@ def assemble_matrix(spark, folder):
 SMALL_TREES = training.TreeParams(n_estimators=5, max_depth=4, learning_rate=0.2)
 
 
-def _stored_matrix(spark, folder):
-    """The matrix, written once: a fit reads it many times."""
-    matrix = bind.feature_matrix(spark, folder).withColumnRenamed("window_end", "commit_date")
-    kept = matrix.select(*ROW_KEYS, "is_buggy", "commit_date", *bind.FEATURES)
-    return write_table(kept, fresh_path(spark, "matrix"))
-
-
 @query("train_boosted_trees")
 def train_boosted_trees(spark, folder):
-    matrix = _stored_matrix(spark, folder)
+    matrix = bind.stored_matrix(spark, folder)
     marked = splits.stratified_holdout(matrix, ROW_KEYS, splits.text_hash(*ROW_KEYS)).withColumn(
         "held_out", F.col("split") == "test"
     )
@@ -757,7 +750,7 @@ def train_boosted_trees(spark, folder):
 
 @query("score_batch")
 def score_batch(spark, folder):
-    matrix = _stored_matrix(spark, folder)
+    matrix = bind.stored_matrix(spark, folder)
     path = fresh_path(spark, "model")
     training.refit_final(matrix, bind.FEATURES, SMALL_TREES, 5, path)
     model, names = training.load_model(spark, path)
@@ -765,7 +758,7 @@ def score_batch(spark, folder):
 
 
 def _oof(spark, folder):
-    matrix = _stored_matrix(spark, folder)
+    matrix = bind.stored_matrix(spark, folder)
     folded = splits.stratified_kfold(matrix, ROW_KEYS, splits.text_hash(*ROW_KEYS), k=3)
     return training.cv_oof_scores(folded, bind.FEATURES, SMALL_TREES, ROW_KEYS, k=3)
 
@@ -782,7 +775,7 @@ def cv_fold_metrics(spark, folder):
 
 @query("hybrid_train")
 def hybrid_train(spark, folder):
-    matrix = _stored_matrix(spark, folder)
+    matrix = bind.stored_matrix(spark, folder)
     vectors = _file_embeddings(spark, folder).select("file_path", "embedding")
     stored = write_table(vectors, fresh_path(spark, "embeddings"))
     return training.hybrid_train(
@@ -792,7 +785,7 @@ def hybrid_train(spark, folder):
 
 @query("three_way_comparison")
 def three_way_comparison(spark, folder):
-    matrix = _stored_matrix(spark, folder)
+    matrix = bind.stored_matrix(spark, folder)
     vectors = _file_embeddings(spark, folder).select("file_path", "embedding")
     stored = write_table(vectors, fresh_path(spark, "embeddings"))
     return training.three_way_comparison(
@@ -818,7 +811,7 @@ def calibrate_isotonic(spark, folder):
 
 @query("training_loss")
 def training_loss(spark, folder):
-    matrix = _stored_matrix(spark, folder)
+    matrix = bind.stored_matrix(spark, folder)
     vectors = training.assemble(matrix, bind.FEATURES)
     model = training.fit_trees(vectors, SMALL_TREES)
     return training.loss_smoothing(training.loss_table(spark, model, vectors), below=1.2)
@@ -848,7 +841,7 @@ _LINEAR = (
 
 def _linear(spark, folder):
     return attribution.linear_attributions(
-        bind.feature_matrix(spark, folder), COEFFICIENTS, ROW_KEYS
+        bind.stored_matrix(spark, folder), COEFFICIENTS, ROW_KEYS
     )
 
 
@@ -868,7 +861,7 @@ def attributions(spark, folder):
 
 @query("tree_attributions")
 def tree_attributions(spark, folder):
-    matrix = _stored_matrix(spark, folder)
+    matrix = bind.stored_matrix(spark, folder)
     model = training.train_boosted_trees(matrix, bind.FEATURES, SMALL_TREES)
     return attribution.tree_attributions(matrix, model, bind.FEATURES, ROW_KEYS)
 
@@ -1006,7 +999,7 @@ def _report_rows(spark, folder, k):
 def risk_report(spark, folder):
     """On-demand report: activity and structure, scored by a stored model."""
     path = fresh_path(spark, "model")
-    matrix = _stored_matrix(spark, folder)
+    matrix = bind.stored_matrix(spark, folder)
     training.refit_final(matrix, bind.FEATURES, SMALL_TREES, 5, path)
     model, names = training.load_model(spark, path)
     log = bind.log_with_source(spark, folder)
