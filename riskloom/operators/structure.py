@@ -122,7 +122,7 @@ def distinct_sources(sources: DataFrame, text: str = "source_code") -> DataFrame
         sources.filter(not_blank(F.col(text)))
         .select(F.sha2(text, 256).alias("digest"), F.col(text).alias("source_code"))
         .dropDuplicates(["digest"])
-        .repartition(wide, "digest")
+        .repartition(wide)
     )
 
 
