@@ -9,9 +9,10 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.ordering import rank_in_groups, with_value_bucket
 from riskloom.operators import metrics
 from riskloom.operators.joins import lookup_vector_or_zero
 from riskloom.operators.splits import class_weights, split_or_fallback, stratified_holdout, text_hash
@@ -273,12 +274,36 @@ def loss_table(spark: SparkSession, model: GBTClassificationModel, vectors: Data
 def loss_smoothing(
     losses: DataFrame, series: Sequence[str] = (), window: int = 5, below: float = 0.5
 ) -> DataFrame:
-    """Trailing mean of the loss and the first step of each series below a bound."""
-    order = Window.partitionBy(*series).orderBy("step").rowsBetween(-(window - 1), 0)
-    first = losses.filter(F.col("loss") < below).groupBy(*series).agg(
+    """Trailing mean of the loss and the first step of each series below a bound.
+
+    ``losses`` holds ``step`` and ``loss``. Rows get their place in the series from
+    a bucketed rank; each loss is then added to the next ``window`` places, so a
+    long series is never ordered in one task.
+    """
+    keys = list(series)
+    first = losses.filter(F.col("loss") < below).groupBy(*keys).agg(
         F.min("step").alias("first_below")
     )
-    smoothed = losses.withColumn("smoothed", F.round(F.avg("loss").over(order), 6))
-    if series:
-        return smoothed.join(first, list(series), "left")
+    placed = rank_in_groups(
+        with_value_bucket(losses.select(*keys, "step", "loss"), "step", "__b"),
+        keys,
+        [F.col("__b")],
+        [F.col("step")],
+        "place",
+    )
+    ahead = F.explode(F.array(*[F.lit(i) for i in range(window)]))
+    spread = placed.select(*keys, "step", "loss", "place", ahead.alias("ahead"))
+    own = F.col("ahead") == 0
+    smoothed = (
+        spread.groupBy(*keys, (F.col("place") + F.col("ahead")).alias("place"))
+        .agg(
+            F.max(F.when(own, F.col("step"))).alias("step"),
+            F.max(F.when(own, F.col("loss"))).alias("loss"),
+            F.round(F.avg("loss"), 6).alias("smoothed"),
+        )
+        .filter(F.col("step").isNotNull())
+        .drop("place")
+    )
+    if keys:
+        return smoothed.join(first, keys, "left")
     return smoothed.withColumn("first_below", first.scalar())
