@@ -78,6 +78,35 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_confirm_batches, f"a {kind}, b {kind}")
 
 
+def linked_components(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of everything that confirmed links join.
+
+    ``hits(key, id, center)``: members of each bucket and its smallest member;
+    ``texts(id, text)``: their texts. First everything is confirmed against its
+    smallest center. Then, in buckets that still hold several components, the
+    pairs between components are confirmed, so no link of a bucket is lost.
+    """
+    first = hits.where("center < id").groupBy("id").agg(F.min("center").alias("a")).select("a", F.col("id").alias("b"))
+    links = stored(_confirmed(first, texts), "links")
+    found = components(links)
+    placed = hits.join(found, hits["id"] == found["node"], "left").select(
+        "key", "id", F.coalesce("component", "id").alias("component")
+    )
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = stored(placed.join(mixed.where("low < high").select("key"), "key"), "open")
+    left = open_.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
+    right = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
+    rest = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    more = stored(_confirmed(rest.join(first, ["a", "b"], "left_anti"), texts), "links")
+    return components(links.unionByName(more))
+
+
+def bucket_hits(members: DataFrame) -> DataFrame:
+    """(key, id, center) of the buckets of ``members(key, id)`` that hold at least two ids."""
+    buckets = members.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last")
+    return stored(members.join(buckets.select("key", "center"), "key").select("key", "id", "center"), "buckets")
+
+
 def document_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, digest, n_shingles, bands), one row per row of ``docs``, written to the shared folder."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -113,8 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     heads = sketches.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     members = heads.select("id", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last")
-    hits = stored(members.join(buckets.select("key", "center"), "key").select("key", "id", "center"), "buckets")
+    hits = bucket_hits(members)
 
     ids = hits.select("id").distinct()
     texts = stored(
@@ -124,31 +152,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .dropDuplicates(["id", "text"]),
         "candidates",
     )
-    first = hits.where("center < id").groupBy("id").agg(F.min("center").alias("a")).select("a", F.col("id").alias("b"))
-    links = stored(_confirmed(first, texts), "links")
-    found = components(links)
-
-    placed = hits.join(found, hits["id"] == found["node"], "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component")
-    )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = stored(placed.join(mixed.where("low < high").select("key"), "key"), "open")
-    left = open_.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(_confirmed(rest, texts), "links")
-    groups = components(links.unionByName(more))
+    groups = linked_components(hits, texts)
 
     labelled = classes.join(groups, classes["rep"] == groups["node"], "left").select(
         "digest", F.coalesce("component", "rep").alias("found")
     )
-    return sketches.join(labelled, "digest", "left").select(
-        "id",
-        "fingerprint",
-        "n_shingles",
-        F.coalesce("found", "id").alias("component_id"),
-        F.col("id").eqNullSafe(F.coalesce("found", "id")).alias("kept"),
-    )
+    # Texts without words stay out of the join: their null digests would meet in one task.
+    found = sketches.where("digest is not null").join(labelled, "digest").withColumn("found", F.coalesce("found", "id"))
+    alone = sketches.where("digest is null").withColumn("found", F.col("id"))
+    return found.select("id", "fingerprint", "n_shingles", "found").unionByName(
+        alone.select("id", "fingerprint", "n_shingles", "found")
+    ).select(
+        "id", "fingerprint", "n_shingles", F.col("found").alias("component_id"), F.col("id").eqNullSafe(F.col("found")).alias("kept")
+    )
 
 
 def _row_key(id_: Column, fingerprint: Column) -> Column:

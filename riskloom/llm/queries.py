@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.decontamination import contaminated
+from riskloom.llm.html_text import extract_pages
+from riskloom.llm.line_crf import fit_line_field, line_quality
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.near_duplicates import near_duplicates
+from riskloom.llm.paragraphs import repeated_paragraphs
+from riskloom.llm.repeats import remove_repeats
 from riskloom.llm.shared import sized_broadcast
+from riskloom.llm.surrogates import replace_entities
 from riskloom.llm.token_files import TokenFileParams, token_files
 from riskloom.llm.toxicity import fit_toxicity, toxicity_scores
 
@@ -39,6 +44,17 @@ def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op1_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return replace_entities(table(spark, folder, "documents"))
+
+
+def op3_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where("quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
+    field = fit_line_field(docs.join(sized_broadcast(labels, LABELS_SENT), "doc_id").select("text", "good"))
+    return line_quality(docs, field)
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = fit_toxicity(training_rows(docs, table(spark, folder, "labels")))
@@ -50,6 +66,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(table(spark, folder, "pages"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     documents, _ = mix_sources(table(spark, folder, "documents"))
     return documents.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -63,12 +83,26 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"), token_params())
 
 
+def op9_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, folder, "documents"))
+
+
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_line_quality": op3_line_quality,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
+    "op6_html_text": op6_html_text,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
+    "op9_paragraphs": op9_paragraphs,
+    "op10_repeats": op10_repeats,
 }
 
 _OP2_SQL = r"""
