@@ -162,7 +162,8 @@ def exact_quantiles(
     edges = []
     for p in points:
         edges += [max(0.0, p - margin), min(1.0, p + margin)]
-    present = long.filter(F.col(value).isNotNull())
+    # NaN is no value: as a number it would count without lying in any bracket.
+    present = long.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     bounds = present.groupBy(*group).agg(
         F.percentile_approx(value, edges, accuracy).alias("__edges"),
         F.count(F.lit(1)).alias("__n"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.ordering import exact_quantiles, melt, null_safe_join
@@ -34,6 +34,12 @@ def drop_sparse_columns(
     return df.drop(*[c for c, share in shares.items() if share > limit])
 
 
+def _number(name: str) -> Column:
+    """The column as a double; NaN is null."""
+    value = F.col(name).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def impute_global_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill nulls of the listed columns with the exact column median."""
     present = [c for c in columns if c in df.columns]
@@ -43,7 +49,7 @@ def impute_global_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     wide = medians.agg(
         F.map_from_entries(F.collect_list(F.struct("feature", "quantile")))
     ).scalar()  # one entry per listed column
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), wide[c]) for c in present})
+    return df.withColumns({c: F.coalesce(_number(c), wide[c]) for c in present})
 
 
 def impute_group_median(
@@ -66,7 +72,7 @@ def impute_group_median(
     lacking = wide.agg(*[F.count_if(F.col(f"__m_{c}").isNull()).alias(c) for c in columns]).first()
     filled = null_safe_join(df, wide, [group], "left")
     filled = filled.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")) for c in columns}
+        {c: F.coalesce(_number(c), F.col(f"__m_{c}")) for c in columns}
     ).drop(*[f"__m_{c}" for c in columns])
     return impute_global_median(filled, [c for c in columns if lacking[c]])
 

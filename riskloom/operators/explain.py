@@ -27,7 +27,7 @@ def risk_summary_text(label: Column, score: Column, features: Column, n: int = 3
     parts = F.transform(
         F.slice(features, 1, n),
         lambda f: F.format_string(
-            "%s %s (%.2f, SHAP=%+.3f)",
+            "%s %s = %.2f (%+.3f)",
             F.when(f["attribution"] > 0, "high").otherwise("low"),
             f["feature"],
             f["value"],
@@ -36,16 +36,8 @@ def risk_summary_text(label: Column, score: Column, features: Column, n: int = 3
     )
     factors = F.when(
         F.size(F.coalesce(parts, F.array())) > 0, F.array_join(parts, "; ")
-    ).otherwise("no dominant factor identified")
-    return F.concat(
-        F.lit("This file has "),
-        label,
-        F.lit(" defect risk (score: "),
-        F.format_string("%.2f", score),
-        F.lit("). The main risk factors are: "),
-        factors,
-        F.lit("."),
-    )
+    ).otherwise("nothing stands out")
+    return F.concat(label, F.lit(" risk, score "), F.format_string("%.2f", score), F.lit("; driven by "), factors, F.lit("."))
 
 
 def strongest_features(attributions: DataFrame, ids: Sequence[str], k: int = 5) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.session import fresh_path
@@ -21,31 +21,40 @@ NODE_TYPES = (
     "Tuple", "Dict", "Set", "comprehension",
 )
 MIN_NODES = 5
-MAX_NODES = 5000
 EMBEDDING_DIM = 32
 HOPS = 3
 
 
-def graph_nodes(nodes: DataFrame) -> DataFrame:
+def _graph_totals(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.max("depth").alias("deepest"), F.max("n_children").alias("widest")
+    )
+
+
+def _usable(min_nodes: int, max_nodes: int | None) -> Column:
+    size = F.col("n_nodes")
+    return (size >= min_nodes) if max_nodes is None else size.between(min_nodes, max_nodes)
+
+
+def graphs_left_out(nodes: DataFrame, min_nodes: int = MIN_NODES, max_nodes: int | None = None) -> DataFrame:
+    """How many graphs the bounds leave out, and how many stay: one row."""
+    usable = _usable(min_nodes, max_nodes)
+    return _graph_totals(nodes).agg(
+        F.count_if(usable).alias("graphs"), F.count_if(~usable).alias("graphs_left_out")
+    )
+
+
+def graph_nodes(nodes: DataFrame, min_nodes: int = MIN_NODES, max_nodes: int | None = None) -> DataFrame:
     """Nodes of usable graphs with depth and child count scaled to their graph.
 
-    Graphs outside ``MIN_NODES..MAX_NODES`` are not embedded, which also bounds
-    every per-graph step. All steps from here on partition by ``digest`` alone, so
-    they share one shuffle.
+    Graphs below ``min_nodes`` have no shape worth embedding; an upper bound is the
+    caller's choice. :func:`graphs_left_out` counts what the bounds leave out. The
+    totals are combined before their shuffle and joined back.
     """
-    whole = Window.partitionBy("digest")
-    sized = nodes.select(
-        "digest",
-        "idx",
-        "parent_idx",
-        "type",
-        "depth",
-        "n_children",
-        F.count(F.lit(1)).over(whole).alias("n_nodes"),
-        F.max("depth").over(whole).alias("deepest"),
-        F.max("n_children").over(whole).alias("widest"),
+    sized = nodes.select("digest", "idx", "parent_idx", "type", "depth", "n_children").join(
+        _graph_totals(nodes), "digest"
     )
-    return sized.filter(F.col("n_nodes").between(MIN_NODES, MAX_NODES)).select(
+    return sized.filter(_usable(min_nodes, max_nodes)).select(
         "digest",
         "idx",
         "parent_idx",

@@ -156,16 +156,26 @@ def rename_structure_columns(structure: DataFrame) -> DataFrame:
 
 
 def lookup_vector_or_zero(
-    rows: DataFrame, vectors: DataFrame, key: str, dim: int, features: Sequence[str] = ()
+    rows: DataFrame,
+    vectors: DataFrame,
+    keys: Sequence[str] = ("repo_name", "file_path"),
+    dim: int = 0,
+    features: Sequence[str] = (),
+    missing: float = -1.0,
 ) -> DataFrame:
-    """Vector per row, zeros where there is none, after the tabular columns."""
+    """Vector per row, zeros where there is none, after the tabular columns.
+
+    ``keys`` name a vector: equal paths of two repositories do not mix. A missing
+    tabular value is ``missing``, as for the tabular model.
+    """
+    keys = list(keys)
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    joined = rows.join(vectors.select(key, "embedding"), key, "left").withColumn(
+    joined = rows.join(vectors.select(*keys, "embedding"), keys, "left").withColumn(
         "embedding", F.coalesce("embedding", zeros)
     )
     if not features:
         return joined
-    tabular = F.array(*[F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")) for c in features])
+    tabular = F.array(*[F.coalesce(F.col(c).cast("float"), F.lit(missing).cast("float")) for c in features])
     return joined.withColumn("hybrid", F.concat(tabular, F.col("embedding")))
 
 

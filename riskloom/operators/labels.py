@@ -160,9 +160,9 @@ def label_stats(labels: DataFrame, files: Sequence[str] = ("repo_name", "file_pa
     total = F.count(F.lit(1))
     ratio = F.round(F.try_divide(positive, total), 4)
     remark = (
-        F.when(F.col("bug_ratio") < 0.1, "HIGH IMBALANCE (<10% buggy) - use class weights")
-        .when(F.col("bug_ratio") > 0.4, "BALANCED - good dataset")
-        .otherwise("MODERATE IMBALANCE - use class weights")
+        F.when(F.col("bug_ratio") < 0.1, "few positives: weight the classes strongly")
+        .when(F.col("bug_ratio") > 0.4, "classes are about even")
+        .otherwise("fewer positives than negatives: weight the classes")
     )
     return labels.agg(
         total.alias("total_samples"),
@@ -181,26 +181,47 @@ def min_touch_labels(log: DataFrame, min_touches: int = MIN_FIX_TOUCHES, flag: s
     )
 
 
-def label_fallback(log: DataFrame, min_rows: int = 100, **window) -> tuple[str, DataFrame]:
-    """Windowed labels, or one label per file if there are too few of them."""
-    windowed = windowed_labels(log, **window)
-    enough = windowed.limit(min_rows).count() >= min_rows
-    return ("windowed", windowed) if enough else ("simple", simple_labels(log))
+def labels_by(log: DataFrame, method: str = "windowed", min_rows: int = 0, **window) -> DataFrame:
+    """Labels by the method that the caller names; too few of them are an error, never another method."""
+    if method not in ("windowed", "simple"):
+        raise ValueError(f"unknown label method {method}")
+    found = windowed_labels(log, **window) if method == "windowed" else simple_labels(log)
+    if min_rows and found.limit(min_rows).count() < min_rows:
+        raise ValueError(f"{method} labels: fewer than {min_rows} rows")
+    return found
+
+
+def rank_buckets(df: DataFrame, value: str, digest: Column, n_cuts: int = 255) -> list[Column]:
+    """Bucket columns in the order of (value nulls last, digest), at most about 255 * 257 + 256 of them.
+
+    A value that many rows share becomes a cut point, hence a bucket of its own
+    that the digest's first byte divides.
+    """
+    cuts = sorted(set(df.approxQuantile(value, [i / (n_cuts + 1) for i in range(1, n_cuts + 1)], 1 / (4 * n_cuts))))
+    at = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
+    number = F.col(value).cast("double")
+    below = F.size(F.filter(at, lambda c: c <= number))
+    alone = number.isNull() | F.coalesce(F.array_contains(at, number), F.lit(False))
+    return [number.isNull(), F.when(number.isNull(), F.lit(0)).otherwise(below), ~alone, F.when(alone, F.substring(digest, 1, 2)).otherwise("")]
 
 
 def cap_positive_rate(
     df: DataFrame,
-    caps: Mapping[str, float] = STRICT_RATE_CAPS,
-    default: float | None = DEFAULT_RATE_CAP,
+    caps: Mapping[str, float] | None = None,
+    default: float | None = None,
     ids: Sequence[str] = ("file_path",),
     order: str = "fix_density",
 ) -> DataFrame:
-    """Flip the least suspicious positives of a repository above its cap.
+    """Flip the least suspicious positives of a repository above its cap, where a cap is given.
 
     ``n_pos - int(n * cap)`` positives with the lowest ``order`` value become 0;
-    nulls go last and an id digest breaks ties. The ranking is split by value and
-    digest, so a repository with a third of all rows is not sorted in one task.
+    nulls go last and an id digest breaks ties. The ranking is split at quantiles
+    of the value (a few hundred buckets), and the rows at one cut value, which may
+    be very many, by their digest; so no task sorts a whole repository.
     """
+    caps = caps or {}
+    if not caps and default is None:
+        return df
     entries: list[Column] = []
     for repo, cap in caps.items():
         entries += [F.lit(repo), F.lit(float(cap))]
@@ -222,10 +243,10 @@ def cap_positive_rate(
     value = F.col(order)
     candidates = sized.filter(over)
     ranked = rank_in_groups(
-        candidates,
+        candidates.withColumn("__digest", digest),
         ["repo_name"],
-        [value.isNull(), value, F.substring(digest, 1, 4)],
-        [digest],
+        rank_buckets(candidates, order, F.col("__digest")),
+        [value, F.col("__digest")],
         "__rank",
     )
     label_type = df.schema["is_buggy"].dataType

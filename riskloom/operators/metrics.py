@@ -141,14 +141,19 @@ def pr_table_at_k(scored: DataFrame, ks: Sequence[int] = TABLE_KS) -> DataFrame:
     return found.select(size.alias("__n"), F.inline(rows)).filter(F.col("k") <= F.col("__n")).drop("__n")
 
 
-def threshold_sweep(scored: DataFrame) -> DataFrame:
-    """Precision, recall and F1 at every grid threshold.
+def threshold_counts(scored: DataFrame) -> DataFrame:
+    """True and false positives at every grid threshold, and all positives: t (hundredths), tp, fp, p.
 
     Rows are counted by the highest grid threshold they reach (at most 91
     groups), then cumulated.
     """
-    # The tiny shift makes a score such as 0.29 reach the threshold 29/100.
-    reach = F.floor(F.col("score") * 100 + F.lit(1e-9)).cast("int")
+    # The product may be rounded to either side of a grid point; the grid value itself decides.
+    near = F.floor(F.col("score") * 100).cast("int")
+    reach = (
+        F.when(F.col("score") >= (near + 1) / F.lit(100.0), near + 1)
+        .when(F.col("score") < near / F.lit(100.0), near - 1)
+        .otherwise(near)
+    )
     slot = F.when(reach < GRID_LOW, F.lit(GRID_LOW - 1)).otherwise(F.least(reach, F.lit(GRID_HIGH)))
     y = F.col("y").cast("bigint")
     counts = scored.groupBy(slot.alias("t")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
@@ -164,8 +169,13 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
         F.sum("neg").over(down).alias("fp"),
         F.sum("pos").over(everything).alias("p"),
     )
+    return cum.filter(F.col("t") >= GRID_LOW)
+
+
+def threshold_sweep(scored: DataFrame) -> DataFrame:
+    """Precision, recall and F1 at every grid threshold, rounded for display."""
     measures = prf_columns(F.col("tp"), F.col("fp"), F.col("p") - F.col("tp"))
-    return cum.filter(F.col("t") >= GRID_LOW).select(
+    return threshold_counts(scored).select(
         (F.col("t") / F.lit(100.0)).alias("threshold"),
         *[F.round(m, 6).alias(n) for n, m in measures.items()],
     )
@@ -173,7 +183,11 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
 
 def best_threshold(scored: DataFrame, min_recall: float = MIN_RECALL) -> DataFrame:
     """Highest precision with enough recall (first wins), else best F1, else 0.5."""
-    sweep = threshold_sweep(scored)
+    # Exact values decide; they are rounded only where they are shown.
+    measures = prf_columns(F.col("tp"), F.col("fp"), F.col("p") - F.col("tp"))
+    sweep = threshold_counts(scored).select(
+        (F.col("t") / F.lit(100.0)).alias("threshold"), *[m.alias(n) for n, m in measures.items()]
+    )
     enough = (F.col("recall") >= F.lit(float(min_recall))) & (F.col("precision") > 0)
     first = -F.col("threshold")
     row = sweep.agg(

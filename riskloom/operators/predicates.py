@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.ordering import null_safe_join
 from riskloom.functions.text import any_of, base_name
 from riskloom.functions.timing import plus_days
 from riskloom.schema import PROCESS_KEYWORDS, SKEWED_METRICS
@@ -97,10 +98,11 @@ def large_change_gate(
     """A fix that touches more than ``max_files`` kept files is not a fix.
 
     The count is combined before the shuffle and joined back, so a change with
-    very many files is not gathered in one task.
+    very many files is not gathered in one task. Rows without a repository or a
+    change stay; those that agree in both count as one change.
     """
     sizes = log.groupBy("repo_name", change).agg(F.count(F.lit(1)).alias("files_in_change"))
-    return log.join(sizes, ["repo_name", change]).withColumn(
+    return null_safe_join(log, sizes, ["repo_name", change], "left").withColumn(
         flag, F.col(flag) & (F.col("files_in_change") <= max_files)
     )
 

@@ -286,14 +286,15 @@ def process_features(
     span: Span,
     window_days: int = 90,
     carry: Sequence[str] = ("is_buggy",),
+    min_changes: int = MIN_ROWS_FOR_FEATURES,
 ) -> DataFrame:
-    """Metrics per label row; files with fewer than two changes are left out.
+    """Metrics per label row; files with fewer than ``min_changes`` changes so far are left out.
 
     ``labels`` holds one row per (file, window); its ``carry`` columns are kept.
     """
     return (
         metrics_on_grid(labels, log, span, window_days, carry=carry)
-        .filter(F.col("rows_ever") >= MIN_ROWS_FOR_FEATURES)
+        .filter(F.col("rows_ever") >= min_changes)
         .drop("rows_ever")
     )
 

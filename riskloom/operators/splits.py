@@ -61,18 +61,16 @@ def stratified_holdout(
     """Add ``split``: the first ``ceil(share * n)`` rows of each class are test.
 
     Order within a class is an id hash, so the split is repeatable; the rank is
-    taken per hash bucket and never sorts a whole class in one task.
+    taken per hash bucket and never sorts a whole class in one task. Rows without
+    a label are a class of their own.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    # One row per class, read as a map: the table is not joined on its few labels.
+    name = F.coalesce(F.col(label).cast("string"), F.lit("no label"))
+    counts = df.groupBy(name.alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = counts.agg(F.map_from_entries(F.collect_list(F.struct("__class", "__n")))).scalar()
     ranked = _ranked_in_class(df, ids, label, hashed)
-    return (
-        ranked.join(sizes, label)
-        .withColumn(
-            "split",
-            F.when(F.col("__rank") <= F.ceil(F.lit(share) * F.col("__n")), "test").otherwise("train"),
-        )
-        .drop("__rank", "__n")
-    )
+    in_test = F.col("__rank") <= F.ceil(F.lit(share) * F.element_at(sizes, name))
+    return ranked.withColumn("split", F.when(in_test, "test").otherwise("train")).drop("__rank")
 
 
 def stratified_kfold(
@@ -83,7 +81,7 @@ def stratified_kfold(
     return ranked.withColumn("fold", F.pmod(F.col("__rank"), F.lit(k)).cast("int")).drop("__rank")
 
 
-def split_or_fallback(
+def split_by_time(
     df: DataFrame,
     ids: Sequence[str],
     months: int = TEST_MONTHS,
@@ -91,18 +89,33 @@ def split_or_fallback(
     label: str = "is_buggy",
     both_classes: bool = False,
     p: float | None = None,
+    otherwise: str | None = None,
 ) -> DataFrame:
-    """Temporal split, or a stratified one if it leaves no usable test side."""
-    hashed = text_hash(*ids)
+    """Temporal split, with the method used in ``split_method``.
+
+    If it leaves no usable test side, this raises, unless the caller asks for a
+    stratified split in that case (``otherwise="stratified"``).
+    """
+    if otherwise not in (None, "stratified"):
+        raise ValueError(f"unknown method {otherwise}")
+
+    def instead(why: str) -> DataFrame:
+        if otherwise is None:
+            raise ValueError(f"no temporal split: {why}")
+        split = stratified_holdout(df, ids, text_hash(*ids), label)
+        return split.withColumn("split_method", F.lit("stratified"))
+
     if date not in df.columns:
-        return stratified_holdout(df, ids, hashed, label)
+        return instead(f"there is no column {date}")
     split = temporal_split_quantile(df, p, date) if p else temporal_split(df, months, date)
     test = split.filter("split = 'test'").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("classes")
     ).first()
-    if test["n"] == 0 or (both_classes and test["classes"] < 2):
-        return stratified_holdout(df, ids, hashed, label)
-    return split
+    if test["n"] == 0:
+        return instead("the test side is empty")
+    if both_classes and test["classes"] < 2:
+        return instead("the test side has one class only")
+    return split.withColumn("split_method", F.lit("temporal"))
 
 
 def class_weights(df: DataFrame, label: str = "is_buggy", given: float | None = None) -> DataFrame:

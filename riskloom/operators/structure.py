@@ -20,6 +20,7 @@ NESTING_TYPES = (
     "If", "For", "While", "With", "Try", "AsyncFor", "AsyncWith",
     "FunctionDef", "AsyncFunctionDef", "ClassDef",
 )
+# Node types of functions, imports, branches and of cognitive load.
 FUNCTION_TYPES = ("FunctionDef", "AsyncFunctionDef")
 IMPORT_TYPES = ("Import", "ImportFrom")
 BRANCH_TYPES = ("If", "For", "While", "Try", "ExceptHandler", "With", "Assert")
@@ -46,17 +47,6 @@ def _arguments(node: ast.AST) -> tuple[int | None, int | None]:
     return len(a.args) + len(a.posonlyargs) + len(a.kwonlyargs) + extra, len(a.args)
 
 
-def _children(node: ast.AST) -> list[ast.AST]:
-    found = []
-    for name in node._fields:
-        value = getattr(node, name, None)
-        if isinstance(value, ast.AST):
-            found.append(value)
-        elif isinstance(value, list):
-            found += [item for item in value if isinstance(item, ast.AST)]
-    return found
-
-
 def _node_rows(digest: str, text: str) -> list[tuple]:
     """Nodes of one text in depth-first order; nothing if it does not parse."""
     try:
@@ -67,7 +57,7 @@ def _node_rows(digest: str, text: str) -> list[tuple]:
     pending = [(root, None, 0, 0)]
     while pending:
         node, parent, depth, above = pending.pop()
-        children = _children(node)
+        children = list(ast.iter_child_nodes(node))
         kind = type(node).__name__
         nesting = above + (kind in NESTING_TYPES)
         idx = len(rows)

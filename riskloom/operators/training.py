@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.ordering import rank_in_groups, with_value_bucket
 from riskloom.operators import metrics
 from riskloom.operators.joins import lookup_vector_or_zero
-from riskloom.operators.splits import class_weights, split_or_fallback, stratified_holdout, text_hash
+from riskloom.operators.splits import class_weights, split_by_time, stratified_holdout, text_hash
 from riskloom.session import fresh_path
 from riskloom.sources.tables import write_table
 
@@ -160,10 +160,10 @@ def load_model(spark: SparkSession, path: str) -> tuple[GBTClassificationModel,
 
 
 def hybrid_vectors(
-    df: DataFrame, features: Sequence[str], vectors: DataFrame, key: str, dim: int
+    df: DataFrame, features: Sequence[str], vectors: DataFrame, keys: Sequence[str], dim: int
 ) -> DataFrame:
     """Tabular columns followed by the looked-up vector, as one ML vector."""
-    joined = lookup_vector_or_zero(df, vectors, key, dim, features)
+    joined = lookup_vector_or_zero(df, vectors, keys, dim, features)
     return joined.withColumn("features", array_to_vector(F.col("hybrid").cast("array<double>"))).drop(
         "hybrid", "embedding"
     )
@@ -173,14 +173,14 @@ def hybrid_train(
     df: DataFrame,
     features: Sequence[str],
     vectors: DataFrame,
-    key: str,
+    keys: Sequence[str],
     dim: int,
     params: TreeParams,
 ) -> tuple[GBTClassificationModel, DataFrame]:
     """Fit on tabular and vector features together; metrics on the training rows."""
-    joined = hybrid_vectors(df, features, vectors, key, dim)
+    joined = hybrid_vectors(df, features, vectors, keys, dim)
     model = fit_trees(joined, params)
-    scored = as_scored(score_vectors(model, joined), F.col(key).cast("string"))
+    scored = as_scored(score_vectors(model, joined), F.concat_ws("|", *keys))
     row = metrics.evaluate(scored).select(
         F.col("auc").alias("train_auc"),
         F.col("average_precision").alias("train_ap"),
@@ -197,7 +197,7 @@ def three_way_comparison(
     df: DataFrame,
     features: Sequence[str],
     vectors: DataFrame,
-    key: str,
+    keys: Sequence[str],
     dim: int,
     params: TreeParams,
     ids: Sequence[str],
@@ -208,7 +208,7 @@ def three_way_comparison(
     spark = df.sparkSession
     tabular = list(features)
     random_split = stratified_holdout(df, ids, text_hash(*ids))
-    by_time = split_or_fallback(df, ids, months)
+    by_time = split_by_time(df, ids, months)
     runs = [
         ("baseline_random_split", random_split, False),
         ("baseline_temporal_split", by_time, False),
@@ -217,7 +217,7 @@ def three_way_comparison(
     result = None
     for name, split, hybrid in runs:
         vectored = (
-            hybrid_vectors(split, tabular, vectors, key, dim) if hybrid else assemble(split, tabular)
+            hybrid_vectors(split, tabular, vectors, keys, dim) if hybrid else assemble(split, tabular)
         )
         model = fit_trees(vectored.filter("split = 'train'"), params)
         test = score_vectors(model, vectored.filter("split = 'test'"))

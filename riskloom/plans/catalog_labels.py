@@ -76,8 +76,8 @@ def simple_labels(spark, folder):
     "label_stats",
     sql(
         "lab",
-        """SELECT *, CASE WHEN bug_ratio < 0.1 THEN 'HIGH IMBALANCE (<10% buggy) - use class weights'
-  WHEN bug_ratio > 0.4 THEN 'BALANCED - good dataset' ELSE 'MODERATE IMBALANCE - use class weights' END AS balance_warning
+        """SELECT *, CASE WHEN bug_ratio < 0.1 THEN 'few positives: weight the classes strongly'
+  WHEN bug_ratio > 0.4 THEN 'classes are about even' ELSE 'fewer positives than negatives: weight the classes' END AS balance_warning
 FROM (SELECT count(*) AS total_samples, count(*) FILTER (is_buggy) AS buggy_samples, count(*) FILTER (NOT is_buggy) AS clean_samples,
   round(count(*) FILTER (is_buggy) / CAST(count(*) AS DOUBLE), 4) AS bug_ratio,
   count(DISTINCT (repo_name, file_path)) AS unique_files FROM lab)""",
@@ -108,7 +108,7 @@ def min_touch_labels(spark, folder):
 
 @query("label_fallback", sql("lab", "SELECT * FROM lab"))
 def label_fallback(spark, folder):
-    return labels.label_fallback(bind.change_log(spark, folder), 100)[1]
+    return labels.labels_by(bind.change_log(spark, folder), "windowed")
 
 
 _CAPS = {"repo_11": 0.2, "repo_22": 0.25, "repo_33": 0.9}
@@ -369,7 +369,7 @@ def lookup_vector_or_zero(spark, folder):
         F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total")
     )
     known = bind.vectors(spark, folder).filter(F.col("id") % 9 != 0)
-    return joins.lookup_vector_or_zero(rows, known, "id", 64, ["total"]).drop("embedding")
+    return joins.lookup_vector_or_zero(rows, known, ["id"], 64, ["total"]).drop("embedding")
 
 
 _REPAIR = """n AS (SELECT repo_name, file_path, max(commit_date) AS d FROM cl WHERE l_partkey % 5 <> 1 GROUP BY ALL),

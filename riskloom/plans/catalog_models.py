@@ -454,7 +454,12 @@ def threshold_sweep(spark, folder):
 
 @query(
     "best_threshold",
-    more("sc", _SWEEP, "SELECT threshold AS best_threshold FROM sw WHERE recall >= 0.4 AND precision > 0 ORDER BY precision DESC, threshold LIMIT 1"),
+    more(
+        "sc",
+        _SWEEP,
+        """SELECT threshold AS best_threshold FROM ct WHERE tp / CAST(tp + fn AS DOUBLE) >= CAST(0.4 AS DOUBLE) AND tp > 0
+ORDER BY tp / CAST(tp + fp AS DOUBLE) DESC, threshold LIMIT 1""",
+    ),
 )
 def best_threshold(spark, folder):
     return metrics.best_threshold(bind.scored(spark, folder))
@@ -680,9 +685,9 @@ def _file_embeddings(spark, folder):
 @query("graph_embedding")
 def graph_embedding(spark, folder):
     return joins.lookup_vector_or_zero(
-        bind.change_log(spark, folder).select("file_path").distinct(),
-        _file_embeddings(spark, folder).select("file_path", "embedding"),
-        "file_path",
+        bind.change_log(spark, folder).select(*FILE_KEYS).distinct(),
+        _file_embeddings(spark, folder),
+        FILE_KEYS,
         graph.EMBEDDING_DIM,
     )
 
@@ -776,23 +781,23 @@ def cv_fold_metrics(spark, folder):
 @query("hybrid_train")
 def hybrid_train(spark, folder):
     matrix = bind.stored_matrix(spark, folder)
-    vectors = _file_embeddings(spark, folder).select("file_path", "embedding")
+    vectors = _file_embeddings(spark, folder)
     stored = write_table(vectors, fresh_path(spark, "embeddings"))
     return training.hybrid_train(
-        matrix, bind.FEATURES, stored, "file_path", graph.EMBEDDING_DIM, SMALL_TREES
+        matrix, bind.FEATURES, stored, FILE_KEYS, graph.EMBEDDING_DIM, SMALL_TREES
     )[1]
 
 
 @query("three_way_comparison")
 def three_way_comparison(spark, folder):
     matrix = bind.stored_matrix(spark, folder)
-    vectors = _file_embeddings(spark, folder).select("file_path", "embedding")
+    vectors = _file_embeddings(spark, folder)
     stored = write_table(vectors, fresh_path(spark, "embeddings"))
     return training.three_way_comparison(
         matrix,
         bind.FEATURES,
         stored,
-        "file_path",
+        FILE_KEYS,
         graph.EMBEDDING_DIM,
         SMALL_TREES,
         ROW_KEYS,
@@ -932,7 +937,7 @@ def wide_attributions(spark, folder):
 
 def _scored_attributions(spark, folder):
     """Rows with an id, a score squeezed to 0..1 and their attributions."""
-    ident = F.concat_ws("#", "file_path", F.col("window_no").cast("string"))
+    ident = F.concat_ws("#", "repo_name", "file_path", F.col("window_no").cast("string"))
     long = _linear(spark, folder).withColumn("id", ident).drop(*ROW_KEYS)
     stored = write_table(long, fresh_path(spark, "attributions"))
     total = F.col("base_value") + F.sum("attribution")
@@ -942,7 +947,7 @@ def _scored_attributions(spark, folder):
     return scored.drop("base_value"), stored
 
 
-_SCORED_AT = """ri AS (SELECT file_path || '#' || CAST(window_no AS VARCHAR) AS id, feature, attribution, base_value FROM att),
+_SCORED_AT = """ri AS (SELECT repo_name || '#' || file_path || '#' || CAST(window_no AS VARCHAR) AS id, feature, attribution, base_value FROM att),
   rs AS (SELECT id, round(1 / (1 + exp(-(base_value + sum(attribution)))), 6) AS score FROM ri GROUP BY id, base_value)"""
 
 
@@ -975,12 +980,12 @@ def at_risk_with_attributions(spark, folder):
         + ",\n  "
         + _SCORED_AT
         + """,
-  o AS (SELECT file_path || '#' || CAST(window_no AS VARCHAR) AS id, feature, round(value, 4) AS value, round(round(attribution, 9), 6) AS a,
-    row_number() OVER (PARTITION BY file_path, window_no ORDER BY abs(round(attribution, 9)) DESC, feature) AS rn FROM att),
-  p AS (SELECT id, string_agg(CASE WHEN a > 0 THEN 'high ' ELSE 'low ' END || feature || ' (' || printf('%.2f', value) || ', SHAP=' || printf('%+.3f', a) || ')', '; ' ORDER BY rn) AS parts
+  o AS (SELECT repo_name || '#' || file_path || '#' || CAST(window_no AS VARCHAR) AS id, feature, round(value, 4) AS value, round(round(attribution, 9), 6) AS a,
+    row_number() OVER (PARTITION BY repo_name, file_path, window_no ORDER BY abs(round(attribution, 9)) DESC, feature) AS rn FROM att),
+  p AS (SELECT id, string_agg(CASE WHEN a > 0 THEN 'high ' ELSE 'low ' END || feature || ' = ' || printf('%.2f', value) || ' (' || printf('%+.3f', a) || ')', '; ' ORDER BY rn) AS parts
     FROM o WHERE rn <= 3 GROUP BY id)""",
-        """SELECT id, 'This file has ' || CASE WHEN score >= CAST(0.7 AS DOUBLE) THEN 'HIGH' WHEN score >= CAST(0.4 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END
-  || ' defect risk (score: ' || printf('%.2f', round(score, 4)) || '). The main risk factors are: ' || parts || '.' AS summary
+        """SELECT id, CASE WHEN score >= CAST(0.7 AS DOUBLE) THEN 'HIGH' WHEN score >= CAST(0.4 AS DOUBLE) THEN 'MEDIUM' ELSE 'LOW' END
+  || ' risk, score ' || printf('%.2f', round(score, 4)) || '; driven by ' || parts || '.' AS summary
 FROM (SELECT * FROM rs ORDER BY score DESC, id LIMIT 50) JOIN p USING (id)""",
     ),
 )
@@ -1020,9 +1025,10 @@ def training_flow(spark, folder):
 @query("file_explanation")
 def file_explanation(spark, folder):
     rows = _report_rows(spark, folder, 20)
-    vectors = _file_embeddings(spark, folder).select("file_path", "embedding")
-    with_file = rows.withColumn("file_path", F.substring_index("id", "#", 1))
-    own = with_file.join(vectors, "file_path", "left").select("id", "embedding")
+    vectors = _file_embeddings(spark, folder)
+    parts = F.split("id", "#")
+    with_file = rows.withColumns({"repo_name": parts[0], "file_path": parts[1]})
+    own = with_file.join(vectors, FILE_KEYS, "left").select("id", "embedding")
     return explain.file_explanation(rows, own)
 
 

@@ -53,11 +53,11 @@ def windowed_matrix(log: DataFrame, window_days: int = 90, horizon_days: int = 9
 
 def training_matrix(
     matrix: DataFrame,
-    caps: Mapping[str, float] = labels.STRICT_RATE_CAPS,
-    default_cap: float | None = labels.DEFAULT_RATE_CAP,
+    caps: Mapping[str, float] | None = None,
+    default_cap: float | None = None,
     ids: Sequence[str] = ("file_path",),
 ) -> tuple[DataFrame, list[str]]:
-    """Event date, no leaky columns, capped labels, no gaps; with the feature names."""
+    """Event date, no leaky columns, labels capped if asked for, no gaps; with the feature names."""
     dated = joins.choose_event_date(matrix)
     kept = cleaning.drop_leaky_columns(dated, LEAKY_FOR_MATRIX)
     features = feature_columns(kept, extra_drop=[*ids, "window_start", "window_no"])
@@ -97,8 +97,9 @@ def train(
 
 def evaluation_tables(oof: DataFrame, threshold: float) -> dict[str, DataFrame]:
     """Every metric table of the out-of-fold scores."""
+    row = F.concat_ws("|", *[c for c in ROW_KEYS if c in oof.columns])
     scored = oof.select(
-        F.col("file_path").alias("id"), F.col("is_buggy").alias("y"), F.col("oof_prob").alias("score")
+        row.alias("id"), F.col("is_buggy").alias("y"), F.col("oof_prob").alias("score")
     )
     return {
         "summary": metrics.evaluate(scored, threshold),

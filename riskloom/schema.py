@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Columns of a change log.
 CHANGE_LOG = T.StructType(
     [
         T.StructField("commit_hash", T.StringType()),
@@ -54,8 +55,6 @@ BENCHMARK_NAMES = {
     "defects": "is_buggy",
 }
 
-BENCHMARK_METRICS = [name for name in BENCHMARK_NAMES.values() if name != "is_buggy"]
-
 # Right-skewed benchmark columns that get a log1p transform.
 SKEWED_METRICS = [
     "lines_of_code",
@@ -67,42 +66,6 @@ SKEWED_METRICS = [
     "total_operands",
 ]
 
-# Benchmark columns that mostly repeat each other.
-COLLINEAR_METRICS = [
-    "halstead_effort",
-    "halstead_time",
-    "halstead_volume",
-    "halstead_length",
-    "total_operators",
-    "total_operands",
-]
-
-PROCESS_COLUMNS = [
-    "code_churn_30d",
-    "code_churn_90d",
-    "commit_count_30d",
-    "commit_count_90d",
-    "author_count_90d",
-    "bug_fix_count_90d",
-    "fix_density",
-    "days_since_last_change",
-    "commit_burst_30d",
-    "ownership_score",
-]
-
-STRUCTURE_COLUMNS = [
-    "ast_cyclomatic_complexity",
-    "ast_cognitive_complexity",
-    "max_nesting_depth",
-    "num_functions",
-    "num_classes",
-    "avg_function_length",
-    "num_imports",
-    "ast_node_count",
-    "has_try_except",
-    "max_args_per_function",
-]
-
 # Columns derived from the label, per entry point.
 LEAKY_FOR_MATRIX = [
     "total_commits",
@@ -115,15 +78,13 @@ LEAKY_FOR_MATRIX = [
     "bug_fix_commits_in_window",
     "window_end",
 ]
-LEAKY_FOR_REPAIR = [c for c in LEAKY_FOR_MATRIX if c != "last_seen"]
-LEAKY_FOR_TRAINING = [*LEAKY_FOR_MATRIX, "file_path", "Unnamed: 0", "repo_name", "window_start"]
-
 # Name parts that mark a process feature.
 PROCESS_KEYWORDS = [
     "churn", "commit_count", "author_count", "fix_density",
     "days_since", "burst", "ownership",
 ]
 
+# Columns that name or label a row.
 IDENTITY_COLUMNS = ["file_path", "is_buggy", "repo_name", "commit_date"]
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+#: Temporary folders of local sessions, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def build_session(app: str = "riskloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for.
 
@@ -42,16 +48,19 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder.
+    Only a local session without that setting, as in tests, gets a temporary folder:
+    one for the whole session, removed when the program ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="riskloom-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    run = spark.sparkContext.applicationId
+    if run not in _LOCAL_DIRS:
+        _LOCAL_DIRS[run] = tempfile.mkdtemp(prefix="riskloom-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[run], ignore_errors=True)
+    return _LOCAL_DIRS[run]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -25,6 +25,7 @@ def read_benchmark_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         "*",
         F.struct(
+            F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
         ).alias("__at"),
@@ -51,12 +52,18 @@ def rename_benchmark_columns(raw: DataFrame) -> DataFrame:
 def load_benchmark_modules(raw: DataFrame, dataset: str, position: str) -> DataFrame:
     """Renamed metrics with an id from the input row number.
 
-    ``position`` is a column that gives the input order.
+    ``position`` is a column that gives the input order: a number, or the struct
+    (file, block, row) of :func:`read_benchmark_csv`.
     """
-    bucketed = with_value_bucket(raw, position, "__pb")
-    numbered = rank_in_groups(
-        bucketed, [], [F.col("__pb")], [F.col(f"`{position}`")], "__row"
-    ).drop("__pb")
+    if isinstance(raw.schema[position].dataType, T.StructType):
+        at = F.col(f"`{position}`")
+        buckets = [at["file"], at["block"]]
+        numbered = rank_in_groups(raw, [], buckets, [at["row"]], "__row")
+    else:
+        bucketed = with_value_bucket(raw, position, "__pb")
+        numbered = rank_in_groups(
+            bucketed, [], [F.col("__pb")], [F.col(f"`{position}`")], "__row"
+        ).drop("__pb")
     named = rename_benchmark_columns(numbered.drop(position))
     return named.withColumns(
         {

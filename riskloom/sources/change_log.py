@@ -36,9 +36,14 @@ def clean_change_log(raw: DataFrame) -> DataFrame:
 
 
 def union_sources(
-    sources: Mapping[str, DataFrame | Callable[[], DataFrame]], tag: str = "dataset_source"
-) -> DataFrame:
-    """Union of all sources that can be opened, each row tagged with its source."""
+    sources: Mapping[str, DataFrame | Callable[[], DataFrame]],
+    tag: str = "dataset_source",
+    allow_failed: bool = False,
+) -> tuple[DataFrame, dict[str, str]]:
+    """(union of all sources, each row tagged with its source; reasons by failed source).
+
+    A source that cannot be opened is an error, unless the caller allows it.
+    """
     opened, failed = [], {}
     for name, source in sources.items():
         try:
@@ -46,12 +51,12 @@ def union_sources(
             opened.append(df.withColumn(tag, F.lit(name)))
         except (AnalysisException, OSError, ValueError) as error:
             failed[name] = str(error).splitlines()[0]
-    if not opened:
-        raise ValueError(f"no source could be loaded: {failed}")
+    if not opened or (failed and not allow_failed):
+        raise ValueError(f"sources that could not be loaded: {failed}")
     result = opened[0]
     for df in opened[1:]:
         result = result.unionByName(df, allowMissingColumns=True)
-    return result
+    return result, failed
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -108,12 +113,18 @@ def path_overlap(left: DataFrame, right: DataFrame, key: str = "file_path") -> D
     )
 
 
-def change_row_defaults(raw: DataFrame) -> DataFrame:
-    """Row shape of a mined change: short message, named author, non-null sizes."""
+def change_row_defaults(raw: DataFrame, message_chars: int | None = None) -> DataFrame:
+    """Row shape of a mined change: named author, non-null sizes, message cut to ``message_chars`` if asked for.
+
+    Fix flags belong before such a cut, as they would miss words after it.
+    """
+    message = F.coalesce("commit_message", F.lit(""))
+    if message_chars is not None:
+        message = F.substring(message, 1, message_chars)
     added = F.coalesce("lines_added", F.lit(0)).cast("bigint")
     deleted = F.coalesce("lines_deleted", F.lit(0)).cast("bigint")
     return (
-        raw.withColumn("commit_message", F.substring(F.coalesce("commit_message", F.lit("")), 1, 200))
+        raw.withColumn("commit_message", message)
         .withColumn("author_email", F.coalesce("author_email", F.lit("unknown")))
         .withColumn("lines_changed", added + deleted)
         .withColumn("lines_added", added)

@@ -110,10 +110,14 @@ def test_label_horizon_is_half_open(spark):
     assert [r["is_buggy"] for r in labels.windowed_labels(log_of(spark, rows)).collect()] == [False]
 
 
-def test_label_fallback(spark):
+def test_labels_by_method(spark):
     log = log_of(spark, [change(0, 1), change(1, 2), change(200, 3, fix=True)])
-    assert labels.label_fallback(log, 100)[0] == "simple"
-    assert labels.label_fallback(log, 1)[0] == "windowed"
+    with pytest.raises(ValueError, match="fewer than 100"):
+        labels.labels_by(log, "windowed", 100)
+    assert "window_no" in labels.labels_by(log, "windowed", 1).columns
+    assert "total_commits" in labels.labels_by(log, "simple").columns
+    with pytest.raises(ValueError, match="unknown"):
+        labels.labels_by(log, "best")
 
 
 def test_cap_flips_the_least_suspicious(spark):
@@ -142,6 +146,34 @@ def test_cap_never_exceeded(spark, seed):
         assert row["p"] <= int(row["n"] * cap)
 
 
+def test_cap_ranks_in_few_buckets(spark):
+    """Distinct values and one very common value, against a plain sort; far fewer buckets than rows."""
+    rows = [("r", f"f{i}", 1, 0.5 if i % 3 else i / 3000) for i in range(3000)] + [("r", "g", 0, None), ("r", "h", 1, None)]
+    df = spark.createDataFrame(rows, "repo_name string, file_path string, is_buggy int, fix_density double")
+    digest = F.md5("file_path")
+    buckets = labels.rank_buckets(df, "fix_density", digest, 31)
+    assert df.select(*buckets).distinct().count() < 32 + 2 * 256 + 64
+    capped = labels.cap_positive_rate(df, default=0.4)
+    flipped = {r["file_path"] for r in capped.filter("is_buggy = 0").collect()} - {"g"}
+    order = df.filter("is_buggy = 1").orderBy(F.asc_nulls_last("fix_density"), digest)
+    want = [r["file_path"] for r in order.limit(len(flipped)).collect()]
+    assert len(flipped) == 3001 - int(3002 * 0.4) and flipped == set(want)
+    assert labels.cap_positive_rate(df).filter("is_buggy = 0").count() == 1
+
+
+def test_large_change_gate_keeps_rows_without_keys(spark):
+    rows = [("r", "c", True), (None, "c", True), ("r", None, True), (None, None, False)]
+    df = spark.createDataFrame(rows, "repo_name string, commit_hash string, is_bug_fix boolean")
+    assert predicates.large_change_gate(df).count() == 4
+
+
+def test_holdout_keeps_rows_without_a_label(spark):
+    df = spark.range(20).selectExpr("id", "if(id % 5 = 0, null, id % 2) as y")
+    split = splits.stratified_holdout(df, ["id"], splits.id_hash(F.col("id")), "y")
+    counts = {r["y"]: r["n"] for r in split.filter("split = 'test'").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert split.count() == 20 and counts == {None: 1, 0: 2, 1: 2}
+
+
 def test_large_change_gate(spark):
     log = log_of(spark, [change(0, 1, fix=True, file=f"f{i}") for i in range(16)] + [change(0, 2, fix=True)])
     gated = predicates.large_change_gate(log)
@@ -189,7 +221,10 @@ def test_split_falls_back_without_dates(spark):
     df = spark.createDataFrame(rows, "id long, is_buggy boolean").withColumn(
         "commit_date", F.lit(None).cast("timestamp_ntz")
     )
-    split = splits.split_or_fallback(df, ["id"])
+    with pytest.raises(ValueError, match="test side is empty"):
+        splits.split_by_time(df, ["id"])
+    split = splits.split_by_time(df, ["id"], otherwise="stratified")
+    assert {r[0] for r in split.select("split_method").distinct().collect()} == {"stratified"}
     counts = {r["is_buggy"]: r["n"] for r in split.filter("split = 'test'").groupBy("is_buggy").agg(F.count("*").alias("n")).collect()}
     assert counts == {True: 5, False: 15}
 

@@ -83,10 +83,9 @@ def test_summary_text(spark):
         explain.risk_summary_text(F.col("l"), F.col("s"), F.col("none")),
     ).first()
     assert row[0] == (
-        "This file has HIGH defect risk (score: 0.84). The main risk factors are: "
-        "high churn (18.00, SHAP=+0.500); low age (2.00, SHAP=-0.250)."
+        "HIGH risk, score 0.84; driven by high churn = 18.00 (+0.500); low age = 2.00 (-0.250)."
     )
-    assert "no dominant factor identified" in row[1]
+    assert "nothing stands out" in row[1]
 
 
 def test_run_log_appends(spark, tmp_path):

@@ -73,6 +73,18 @@ def test_threshold_grid(spark):
     assert metrics.best_threshold(df).first()[0] == 0.29
 
 
+def test_a_hair_below_a_grid_point_does_not_reach_it(spark):
+    rows = [(1, t / 100.0 - d) for t in (29, 57, 58) for d in (0.0, 1e-12)]
+    sweep = {r["threshold"]: r["recall"] for r in metrics.threshold_sweep(scored(spark, rows)).collect()}
+    for t in (0.28, 0.29, 0.57, 0.58, 0.59):
+        assert sweep[t] == pytest.approx(sum(s >= t for _, s in rows) / 6, abs=1e-6)
+
+
+def test_best_threshold_decides_on_exact_recall(spark):
+    rows = [(1, 0.9)] * 3999 + [(1, 0.1)] * 6001 + [(0, 0.1)]
+    assert metrics.best_threshold(scored(spark, rows)).first()[0] == 0.05
+
+
 def test_best_threshold_without_any_positive(spark):
     assert metrics.best_threshold(scored(spark, [(0, 0.2), (0, 0.7)])).first()[0] == 0.5
 

@@ -81,10 +81,7 @@ def test_change_log_csv(spark, tmp_path):
 def test_benchmark_csv(spark, tmp_path):
     (tmp_path / "kc1.csv").write_text("loc,v(g),lOCode,Odd Name,defects\n10,1,5,z,yes\n20,,6,y,FALSE\n30,3,7,x,what\n")
     raw = benchmark.read_benchmark_csv(spark, str(tmp_path / "kc1.csv"))
-    position = raw.withColumn("at", F.col("__at.row")).drop("__at")
-    rows = {
-        r["file_path"]: r for r in benchmark.load_benchmark_modules(position, "KC1", "at").collect()
-    }
+    rows = {r["file_path"]: r for r in benchmark.load_benchmark_modules(raw, "KC1", "__at").collect()}
     assert set(rows) == {f"KC1_module_{i}" for i in range(3)}
     assert rows["KC1_module_0"]["lines_of_code"] == 10.0
     assert [rows[f"KC1_module_{i}"]["is_buggy"] for i in range(3)] == [True, False, None]
@@ -94,8 +91,31 @@ def test_union_of_nothing_fails(spark):
     def broken():
         raise OSError("gone")
 
-    with pytest.raises(ValueError, match="no source"):
-        change_log.union_sources({"a": broken})
+    with pytest.raises(ValueError, match="could not be loaded.*gone"):
+        change_log.union_sources({"a": broken}, allow_failed=True)
+
+
+def test_failed_source_is_reported(spark):
+    def broken():
+        raise OSError("gone")
+
+    sources = {"a": broken, "b": spark.range(3)}
+    with pytest.raises(ValueError, match="gone"):
+        change_log.union_sources(sources)
+    union, failed = change_log.union_sources(sources, allow_failed=True)
+    assert union.count() == 3 and failed == {"a": "gone"}
+
+
+def test_vectors_do_not_mix_between_repositories(spark):
+    rows = spark.createDataFrame([("r", "p", 1.0), ("s", "p", None)], "repo_name string, file_path string, x double")
+    vectors = spark.createDataFrame([("r", "p", [1.0]), ("s", "p", [2.0])], "repo_name string, file_path string, embedding array<float>")
+    got = joins.lookup_vector_or_zero(rows, vectors, dim=1, features=["x"]).select("repo_name", "hybrid").collect()
+    assert {r[0]: list(r[1]) for r in got} == {"r": [1.0, 1.0], "s": [-1.0, 2.0]}
+
+
+def test_median_of_a_column_with_nan(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 3.0), ("a", None)], "repo_name string, x double")
+    assert sorted(r["x"] for r in cleaning.impute_global_median(df, ["x"]).collect()) == [1.0, 2.0, 2.0, 3.0]
 
 
 def test_required_columns(spark):
