@@ -9,6 +9,7 @@ file lets a reader take the token lists of a few documents, or the lengths alone
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +36,7 @@ class TokenFileParams:
     encoding: str = "dictionary"
     row_group_bytes: int = 16 * 2**20
     page_rows: int = 1_000
-    cached_words: int = 1_200_000
+    cached_words: int = 600_000
 
 
 #: A run of letters that are composed in every normal form and whose lower case is one letter each, then ASCII marks
@@ -44,6 +45,10 @@ _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 #: Rows of the file offset table that is broadcast; a longer one is joined by a shuffle.
 FILES_SENT = 500_000
 
@@ -66,12 +71,14 @@ class WordEncoder:
         self.marks: dict[str, bytes] = {"": b""}
 
     def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.to_bytes))], "<u4").tobytes()
+        if not piece.isascii():
+            piece = piece.translate(self.to_bytes)
+        return _packed([t.id for t in self.tokenizer.model.tokenize(piece)])
 
     def _fresh(self, word: str) -> bytes:
         simple = _SIMPLE.fullmatch(word)
         if not simple:
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
         letters, marks = simple.groups()
         if marks not in self.marks:
             self.marks[marks] = self._piece(marks)
