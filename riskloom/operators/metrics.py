@@ -45,34 +45,36 @@ def class_totals(scored: DataFrame) -> Column:
     ).scalar()
 
 
-def auc_roc(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve; ties count half; 0 if a class is absent."""
+def curve_areas(scored: DataFrame) -> DataFrame:
+    """``auc`` and ``average_precision`` from one pass over the score curve; 0 if a class is absent.
+
+    AUC counts ties half; average precision sums recall steps times precision
+    over distinct scores.
+    """
     d = F.lit(1.0)
     # A positive beats the negatives below its score and ties with those at it.
     below_or_tied = F.col("neg") / 2 - F.col("fp")
     row = score_curve(scored).agg(
-        F.sum(F.col("pos")).alias("p"),
-        F.sum(F.col("neg")).alias("n"),
-        F.sum(F.col("pos") * d * below_or_tied).alias("part"),
+        F.sum("pos").alias("p"),
+        F.sum("neg").alias("n"),
+        F.sum(F.col("pos") * d * below_or_tied).alias("wins"),
+        F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("steps"),
     )
-    area = (F.col("part") + F.col("p") * d * F.col("n")) / (F.col("p") * d * F.col("n"))
+    area = (F.col("wins") + F.col("p") * d * F.col("n")) / (F.col("p") * d * F.col("n"))
+    both = (F.col("p") > 0) & (F.col("n") > 0)
     return row.select(
-        F.when((F.col("p") > 0) & (F.col("n") > 0), F.round(area, 6)).otherwise(0.0).alias("auc")
+        F.when(both, F.round(area, 6)).otherwise(0.0).alias("auc"),
+        F.when(both, F.round(F.col("steps") / F.col("p"), 6)).otherwise(0.0).alias("average_precision"),
     )
 
 
+def auc_roc(scored: DataFrame) -> DataFrame:
+    """Area under the ROC curve."""
+    return curve_areas(scored).select("auc")
+
+
 def average_precision(scored: DataFrame) -> DataFrame:
-    """Sum of recall steps times precision over distinct scores."""
-    row = score_curve(scored).agg(
-        F.sum("pos").alias("p"),
-        F.sum("neg").alias("n"),
-        F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("part"),
-    )
-    return row.select(
-        F.when((F.col("p") > 0) & (F.col("n") > 0), F.round(F.col("part") / F.col("p"), 6))
-        .otherwise(0.0)
-        .alias("average_precision")
-    )
+    return curve_areas(scored).select("average_precision")
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -276,10 +278,11 @@ def classification_report(scored: DataFrame, threshold: float = 0.5) -> DataFram
 def evaluate(scored: DataFrame, threshold: float = 0.5, k: int = 20) -> DataFrame:
     """AUC, average precision, F1, precision, recall and precision at ``k`` as one row."""
     fixed = prf_at_threshold(scored, threshold).select("precision", "recall", "f1")
+    areas = curve_areas(scored).select(F.struct("auc", "average_precision")).scalar()
     return fixed.withColumns(
         {
-            "auc": auc_roc(scored).scalar(),
-            "average_precision": average_precision(scored).scalar(),
+            "auc": areas.getField("auc"),
+            "average_precision": areas.getField("average_precision"),
             "precision_at_k": precision_at_k(scored, k).scalar(),
         }
     )

@@ -16,14 +16,19 @@ from riskloom.operators.predicates import feature_groups
 def mining_summary(log: DataFrame) -> DataFrame:
     """Distinct changes and files, with their fix counterparts, and the date range."""
     fix = F.coalesce(F.col("is_bug_fix"), F.lit(False))
-    row = log.agg(
-        F.count_distinct("commit_hash").alias("total_commits"),
-        F.count_distinct("repo_name", "file_path").alias("total_files"),
-        F.count_distinct(F.when(fix, F.col("commit_hash"))).alias("bug_fix_commits"),
-        F.count_distinct(F.when(fix, F.struct("repo_name", "file_path"))).alias("buggy_files"),
-        F.to_date(F.min("commit_date")).alias("first_date"),
-        F.to_date(F.max("commit_date")).alias("last_date"),
+    # One group-by per kind of thing counted; several distinct counts at once would copy every row for each.
+    changes = log.groupBy("commit_hash").agg(
+        F.max(fix).alias("fix"), F.min("commit_date").alias("lo"), F.max("commit_date").alias("hi")
     )
+    files = log.groupBy("repo_name", "file_path").agg(F.max(fix).alias("fix"))
+    named = F.col("repo_name").isNotNull() & F.col("file_path").isNotNull()
+    counted = files.agg(F.struct(F.count_if(named).alias("files"), F.count_if("fix").alias("buggy"))).scalar()
+    row = changes.agg(
+        F.count("commit_hash").alias("total_commits"),
+        F.count_if(F.col("fix") & F.col("commit_hash").isNotNull()).alias("bug_fix_commits"),
+        F.to_date(F.min("lo")).alias("first_date"),
+        F.to_date(F.max("hi")).alias("last_date"),
+    ).withColumns({"total_files": counted.getField("files"), "buggy_files": counted.getField("buggy")})
     return row.withColumn(
         "bug_ratio", F.round(F.try_divide("buggy_files", "total_files"), 3)
     )

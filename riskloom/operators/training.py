@@ -243,10 +243,15 @@ def three_way_comparison(
 
 
 def calibrate_isotonic(fit_on: DataFrame, apply_to: DataFrame) -> DataFrame:
-    """Monotone map of ``score`` to observed frequency: adds ``calibrated``."""
-    model = IsotonicRegression(featuresCol="score", labelCol="label").fit(
-        fit_on.select("score", F.col("y").cast("double").alias("label"))
+    """Monotone map of ``score`` to observed frequency: adds ``calibrated``.
+
+    The fit takes one weighted row per distinct score, so its pooling works on
+    scores, not on rows.
+    """
+    per_score = fit_on.groupBy("score").agg(
+        F.avg(F.col("y").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("rows")
     )
+    model = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="rows").fit(per_score)
     return model.transform(apply_to).withColumnRenamed("prediction", "calibrated")
 
 
