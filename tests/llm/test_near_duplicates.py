@@ -82,3 +82,22 @@ def test_components_of_long_paths_and_stars(spark):
     star = [(100, i) for i in range(101, 400)]
     got = components(spark.createDataFrame(path + star + [(7, 7)], "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 400)}}
+
+
+def test_copies_around_a_center(spark):
+    """Many copies of one text, more or less edited with few words: some are linked to others only, most to the center."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.randint(0, 7)):
+            own[rng.randrange(90)] = rng.choice(["and", "the", "of", f"r{rng.randint(0, 9)}"])
+        rows.append((i, " ".join(own)))
+    rows[20] = (20, " ".join(["q"] * 3 + base[12:80] + ["r", "s", "t", "u"]))
+    rows[120] = (120, " ".join(["q"] * 3 + base[12:80] + ["r", "s", "t", "v"]))
+    sets = {i: shingles(t) for i, t in rows}
+    want = component_ids(sets, [(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])])
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: r["component_id"] for r in got} == want
+    assert 2 < len(set(want.values())) < 100
