@@ -165,18 +165,15 @@ def latest_source_snapshot(spark, folder):
     "path_overlap",
     sql(
         "cl",
-        """WITH a AS (SELECT DISTINCT file_path FROM cl WHERE is_bug_fix AND lines_added > 40),
-  z AS (SELECT DISTINCT file_path FROM cl WHERE lines_deleted = 10)
+        """WITH a AS (SELECT DISTINCT file_path FROM cl WHERE is_bug_fix),
+  z AS (SELECT DISTINCT file_path FROM cl WHERE NOT is_bug_fix)
 SELECT (SELECT count(*) FROM a) AS left_keys, (SELECT count(*) FROM z) AS right_keys,
   (SELECT count(*) FROM a JOIN z USING (file_path)) AS overlap""",
     ),
 )
 def path_overlap(spark, folder):
     log = bind.change_log(spark, folder)
-    return change_log.path_overlap(
-        log.filter(F.col("is_bug_fix") & (F.col("lines_added") > 40)),
-        log.filter(F.col("lines_deleted") == 10),
-    )
+    return change_log.path_overlap(log.filter("is_bug_fix"), log.filter("not is_bug_fix"))
 
 
 def dump_lines(spark, folder, header):
@@ -654,7 +651,8 @@ def similar_by_score(spark, folder):
 def _vector_report(spark, folder):
     vectors = bind.vectors(spark, folder)
     scored = vectors.select("id", ((F.col("id") * 7919) % 1009 / F.lit(1009.0)).alias("score"))
-    known = vectors.filter(F.col("id") % 9 != 0).withColumn(
+    # Zero vectors have no direction and no neighbours.
+    known = vectors.withColumn(
         "embedding",
         F.when(
             F.col("id") % 10 == 5, F.transform("embedding", lambda x: x * F.lit(0).cast("float"))
@@ -667,7 +665,7 @@ def _vector_report(spark, folder):
     "cosine_neighbors",
     """WITH s AS (SELECT vec_id AS id, (vec_id * 7919) % 1009 / CAST(1009 AS DOUBLE) AS score FROM embeddings),
 t AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s ORDER BY score DESC, id LIMIT 60),
-v AS (SELECT t.id, t.rank, CAST(embedding AS DOUBLE[]) AS e FROM t JOIN embeddings ON vec_id = t.id WHERE vec_id % 9 <> 0 AND vec_id % 10 <> 5),
+v AS (SELECT t.id, t.rank, CAST(embedding AS DOUBLE[]) AS e FROM t JOIN embeddings ON vec_id = t.id WHERE vec_id % 10 <> 5),
 p AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.e, b.e), 9) AS sim, b.rank AS r,
     row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.rank) AS rn
   FROM v a JOIN v b ON a.id <> b.id)

@@ -362,18 +362,18 @@ def source_as_of_by_name(spark, folder):
     "lookup_vector_or_zero",
     """SELECT o_orderkey AS id, o_totalprice AS total, CASE WHEN e.vec_id IS NULL THEN list_concat([CAST(o_totalprice AS FLOAT)], CAST(repeat([0], 64) AS FLOAT[]))
   ELSE list_concat([CAST(o_totalprice AS FLOAT)], CAST(e.embedding AS FLOAT[])) END AS hybrid
-FROM orders LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 9 <> 0) e ON e.vec_id = o_orderkey""",
+FROM orders LEFT JOIN embeddings e ON e.vec_id = o_orderkey""",
 )
 def lookup_vector_or_zero(spark, folder):
     rows = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total")
     )
-    known = bind.vectors(spark, folder).filter(F.col("id") % 9 != 0)
+    known = bind.vectors(spark, folder)
     return joins.lookup_vector_or_zero(rows, known, ["id"], 64, ["total"]).drop("embedding")
 
 
-_REPAIR = """n AS (SELECT repo_name, file_path, max(commit_date) AS d FROM cl WHERE l_partkey % 5 <> 1 GROUP BY ALL),
-  i AS (SELECT DISTINCT repo_name, file_path, l_partkey, CASE WHEN l_partkey % 5 = 0 THEN NULL WHEN l_partkey % 5 = 1 THEN TIMESTAMP '2005-05-05'
+_REPAIR = """n AS (SELECT repo_name, file_path, max(commit_date) AS d FROM cl GROUP BY ALL),
+  i AS (SELECT DISTINCT repo_name, CASE WHEN l_partkey % 5 = 1 THEN 'gone/' || file_path ELSE file_path END AS file_path, l_partkey, CASE WHEN l_partkey % 5 = 0 THEN NULL WHEN l_partkey % 5 = 1 THEN TIMESTAMP '2005-05-05'
       ELSE TIMESTAMP '1999-01-01' + to_days(CAST(l_partkey % 900 AS INTEGER)) END AS last_seen,
     CASE WHEN l_partkey % 4 <> 0 THEN l_partkey % 700 END AS days_since_last_change FROM cl),
   k AS (SELECT i.*, n.d, TIMESTAMP '2002-01-01' - to_days(CAST(coalesce(days_since_last_change, 365) AS INTEGER)) AS est
@@ -388,7 +388,8 @@ def _repaired(spark, folder):
     base = F.lit(datetime(1999, 1, 1)).cast("timestamp_ntz")
     raw = log.select("repo_name", "file_path", part).distinct().select(
         "repo_name",
-        "file_path",
+        # Files that the history does not know.
+        F.when(part % 5 == 1, F.concat(F.lit("gone/"), "file_path")).otherwise(F.col("file_path")).alias("file_path"),
         F.when(part % 5 == 0, F.lit(None).cast("timestamp_ntz"))
         .when(part % 5 == 1, F.lit(datetime(2005, 5, 5)).cast("timestamp_ntz"))
         .otherwise(plus_days(base, part % 900))
@@ -396,7 +397,7 @@ def _repaired(spark, folder):
         F.when(part % 4 != 0, part % 700).alias("days_since_last_change"),
     )
     return joins.repair_dates(
-        raw, log.filter(part % 5 != 1), datetime(2002, 1, 1), datetime(2001, 1, 1), default_days=365
+        raw, log, datetime(2002, 1, 1), datetime(2001, 1, 1), default_days=365
     )
 
 
@@ -435,13 +436,13 @@ def choose_event_date(spark, folder):
     sql(
         "lab",
         """SELECT s.repo_name, s.file_path, s.n, d.window_end FROM (SELECT repo_name, file_path, count(*) AS n FROM cl GROUP BY ALL) s
-LEFT JOIN (SELECT repo_name, file_path, min(window_end) AS window_end FROM lab WHERE window_no >= 20 GROUP BY ALL) d USING (repo_name, file_path)""",
+LEFT JOIN (SELECT repo_name, file_path, min(window_end) AS window_end FROM lab GROUP BY ALL) d USING (repo_name, file_path)""",
     ),
 )
 def date_lookup_join(spark, folder):
     log = bind.change_log(spark, folder)
     files = log.groupBy("repo_name", "file_path").agg(F.count(F.lit(1)).alias("n"))
-    dates = labels.windowed_labels(log).filter("window_no >= 20")
+    dates = labels.windowed_labels(log)
     return joins.date_lookup_join(files, dates.select("repo_name", "file_path", "window_end"))
 
 
@@ -469,14 +470,14 @@ def coverage_join(spark, folder):
         """SELECT count(*) FILTER (s.file_path IS NOT NULL) AS covered_rows, count(*) AS total_rows,
   round(count(*) FILTER (s.file_path IS NOT NULL) * 100 / CAST(count(*) AS DOUBLE), 1) AS covered_percent
 FROM (SELECT DISTINCT repo_name, file_path FROM src) f
-LEFT JOIN (SELECT DISTINCT repo_name, file_path FROM src WHERE trim(source_code) <> '' AND commit_date < TIMESTAMP '1995-06-01') s USING (repo_name, file_path)""",
+LEFT JOIN (SELECT DISTINCT repo_name, file_path FROM src WHERE trim(source_code) <> '') s USING (repo_name, file_path)""",
     ),
 )
 def source_coverage(spark, folder):
     from riskloom.sources.snapshots import latest_source_snapshot
 
     log = bind.log_with_source(spark, folder)
-    early = log.filter(F.col("commit_date") < F.lit(datetime(1995, 6, 1)))
+    early = log
     files = log.select("repo_name", "file_path").distinct()
     return joins.coverage_join(files, latest_source_snapshot(early), ["repo_name", "file_path"])
 

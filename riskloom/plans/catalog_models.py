@@ -77,7 +77,7 @@ def repo_breakdown(spark, folder):
     "monthly_activity",
     more(
         "cl",
-        """c AS (SELECT * FROM cl WHERE month(commit_date) <> 5),
+        """c AS (SELECT * FROM cl),
   s AS (SELECT unnest(generate_series(date_trunc('month', min(commit_date)), date_trunc('month', max(commit_date)), INTERVAL 1 MONTH)) AS m FROM c),
   g AS (SELECT date_trunc('month', commit_date) AS m, count(DISTINCT commit_hash) AS changes,
     count(DISTINCT commit_hash) FILTER (is_bug_fix) AS fix_changes FROM c GROUP BY ALL)""",
@@ -85,8 +85,7 @@ def repo_breakdown(spark, folder):
     ),
 )
 def monthly_activity(spark, folder):
-    log = bind.change_log(spark, folder).filter(F.month("commit_date") != 5)
-    return reports.monthly_activity(log)
+    return reports.monthly_activity(bind.change_log(spark, folder))
 
 
 _DESCRIBE = """SELECT count(*) AS n, round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, CAST(min({x}) AS DOUBLE) AS min,
