@@ -15,7 +15,7 @@ from riskloom.llm.mixing import mix_sources
 from riskloom.llm.near_duplicates import near_duplicates
 from riskloom.llm.paragraphs import repeated_paragraphs
 from riskloom.llm.repeats import remove_repeats
-from riskloom.llm.shared import sized_broadcast
+from riskloom.llm.shared import sized_broadcast, stored
 from riskloom.llm.surrogates import replace_entities
 from riskloom.llm.token_files import TokenFileParams, token_files
 from riskloom.llm.toxicity import fit_toxicity, toxicity_scores
@@ -33,10 +33,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled documents outside the held-out fifth."""
+    """(text, toxic) of the labelled documents outside the held-out fifth; copies of a text are one piece of evidence."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    return docs.select("doc_id", "text").join(sized_broadcast(known, LABELS_SENT), "doc_id").select("text", "toxic")
+    labelled = docs.select("doc_id", "text").join(sized_broadcast(known, LABELS_SENT), "doc_id")
+    once = labelled.groupBy(F.md5("text").alias("print"), "toxic").agg(F.min("doc_id").alias("doc_id"))
+    once = stored(once.select("doc_id", "toxic"), "labelled")
+    return docs.select("doc_id", "text").join(sized_broadcast(once, LABELS_SENT), "doc_id").select("text", "toxic")
 
 
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,7 +29,8 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``min_count`` and ``min_g`` say when a class difference is beyond chance (G statistic, one degree of freedom).
+    """``min_count`` and ``min_g`` say when a class difference is beyond chance (G statistic, one degree of freedom),
+    ``min_gain`` when the log-likelihoods differ enough to matter.
 
     ``broadcast_rows`` bounds the expressions sent to every task (16 bytes each);
     a larger model is joined instead. ``calibration_rows`` bounds the labelled
@@ -38,6 +39,7 @@ class ToxicityParams:
 
     min_count: int = 5
     min_g: float = 20.0
+    min_gain: float = 0.7
     broadcast_rows: int = 2_000_000
     calibration_rows: int = 20_000
 
@@ -163,8 +165,10 @@ def fit_toxicity(train: DataFrame, params: ToxicityParams | None = None) -> Toxi
         return ToxicityModel(nothing, 0, 0.0, (math.log(share / (1 - share)), 0.0, 0.0), params)
     discount = ones / (ones + 2 * twos) if ones + twos else 0.5
 
+    # Common words differ beyond chance in any large corpus; what counts is that they differ much.
+    ratio = F.log((F.col("toxic") + 0.5) / (F.col("ordinary") + 0.5) * (n_ordinary / n_toxic))
     differing = words.where(F.expr(f"toxic + ordinary >= {params.min_count}")).where(
-        _g_statistic("toxic", "ordinary", n_toxic, n_ordinary) >= params.min_g
+        (_g_statistic("toxic", "ordinary", n_toxic, n_ordinary) >= params.min_g) & (F.abs(ratio) >= params.min_gain)
     )
     differing = stored(differing, "differing")
     wanted = None
@@ -197,7 +201,9 @@ def fit_toxicity(train: DataFrame, params: ToxicityParams | None = None) -> Toxi
         seen = F.coalesce(k, F.lit(0)).cast("double")
         return (F.greatest(seen - discount, F.lit(0.0)) + discount * types / 2 * shared) / whole
 
-    unigrams = differing.join(follows, differing["gram"] == follows["after"], "left").select(
+    # Kneser-Ney's own measure once more: words of a text that was copied with small changes come in few contexts.
+    many = (F.col("k_both") >= params.min_count) & (_g_statistic("k_toxic", "k_ordinary", k_toxic, k_ordinary) >= params.min_g)
+    unigrams = differing.join(follows.where(many), differing["gram"] == follows["after"]).select(
         "gram",
         continued("k_toxic", k_toxic).alias("p_toxic"),
         continued("k_ordinary", k_ordinary).alias("p_ordinary"),
@@ -218,7 +224,7 @@ def fit_toxicity(train: DataFrame, params: ToxicityParams | None = None) -> Toxi
         return (F.greatest(seen - discount, F.lit(0.0)) + discount * F.col(f"p_{side}")) / (before + discount)
 
     bigrams = bigrams.select("gram", F.log(conditional("toxic") / conditional("ordinary")).alias("gain"))
-    grams = stored(unigrams.select("gram", "gain").unionByName(bigrams).where("abs(gain) > 0.7"), "grams")
+    grams = stored(unigrams.select("gram", "gain").unionByName(bigrams).where(f"abs(gain) >= {params.min_gain}"), "grams")
     # The share of a class's pairs that is left to the shared backoff, the same for all words it holds.
     taken = unigrams.agg(F.sum("p_toxic"), F.sum("p_ordinary")).first()
     offset = math.log(max(1 - (taken[0] or 0.0), 1e-9) / max(1 - (taken[1] or 0.0), 1e-9))
