@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.components import components
 from riskloom.llm.shared import sized_broadcast, stored
-from riskloom.llm.text import combined, jaccard_at_least, lower_words, shingle_set, text_digest
+from riskloom.llm.text import combined, lower_words, shingle_set, text_digest
 
 PERMUTATIONS = 64
 BANDS = 32
@@ -58,53 +58,163 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
-def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Of columns both, na, nb (sizes of the intersection and the sets): 100 * intersection >= PERCENT * union.
+LINKED = f"both > 0 and {100 + PERCENT} * both >= {PERCENT} * (na + nb)"
+
+
+def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
     for batch in batches:
-        keep = []
+        counts = []
         for one, other in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
             text = one.as_py()
             if text != seen[0]:
                 seen = (text, shingle_set(lower_words(text)))
-            keep.append(jaccard_at_least(seen[1], shingle_set(lower_words(other.as_py())), PERCENT))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            second = shingle_set(lower_words(other.as_py()))
+            counts.append((len(np.intersect1d(seen[1], second, assume_unique=True)), len(seen[1]), len(second)))
+        columns = list(zip(*counts, strict=True)) if counts else [()] * 3
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in columns)], names=["a", "b", "both", "na", "nb"]
+        )
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(other, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+    return pairs.join(other, "b").join(one, "a")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, both, na, nb): exact sizes of the full shingle sets of each pair and of their intersection."""
     kind = texts.schema["id"].dataType.simpleString()
-    return both.mapInArrow(_confirm_batches, f"a {kind}, b {kind}")
+    both = _with_texts(pairs, texts).select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_compare_batches, f"a {kind}, b {kind}, both bigint, na bigint, nb bigint")
 
 
 def linked_components(hits: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, component) of everything that confirmed links join.
 
     ``hits(key, id, center)``: members of each bucket and its smallest member;
-    ``texts(id, text)``: their texts. First everything is confirmed against its
-    smallest center. Then, in buckets that still hold several components, the
-    pairs between components are confirmed, so no link of a bucket is lost.
+    ``texts(id, text)``: their texts. First everything is compared with the center
+    that it shares most buckets with. Buckets that still hold several components
+    stay open, but only members that can have a link to another component at all
+    stay in them (:func:`_hopeful`). A member that is not similar to its center is
+    compared with those that share enough shingles *outside* the center
+    (:func:`_beyond_center`); of the other members, the pairs between components
+    are compared. So no link of a bucket is lost.
     """
-    first = hits.where("center < id").groupBy("id").agg(F.min("center").alias("a")).select("a", F.col("id").alias("b"))
-    links = stored(_confirmed(first, texts), "links")
+    met = hits.where("center < id").groupBy("id", "center").agg(F.count("*").alias("n"))
+    first = met.groupBy("id").agg(F.min(F.struct(-F.col("n"), F.col("center").alias("a"))).alias("m"))
+    first = first.select("m.a", F.col("id").alias("b"))
+    tested = stored(_compared(first, texts), "tested")
+    links = tested.where(LINKED).select("a", "b")
     found = components(links)
     placed = hits.join(found, hits["id"] == found["node"], "left").select(
         "key", "id", F.coalesce("component", "id").alias("component")
     )
+    open_ = stored(_of_several(placed), "open")
+    rows = stored(_shingle_rows(open_, texts), "shingles")
+    open_ = stored(_of_several(_hopeful(open_, rows)), "open")
+
+    members = open_.select("id", "component", "n", "least").distinct()
+    apart = tested.where(f"not ({LINKED})").select("a", F.col("b").alias("id"), "both").join(members, "id")
+    apart = stored(apart.where(f"{100 + PERCENT} * both < {PERCENT} * (n + least)"), "apart")
+    beyond = _beyond_center(apart, rows, texts)
+
+    others = _of_several(open_.join(apart.select("id"), "id", "left_anti"))
+    left = others.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    right = others.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    near = F.expr(f"a < b and ca <> cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    rest = left.join(right, "key").where(near).select("a", "b").unionByName(beyond).distinct()
+    more = stored(_compared(rest.join(first, ["a", "b"], "left_anti"), texts), "tested")
+    return components(links.unionByName(more.where(LINKED).select("a", "b")))
+
+
+def _outside_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each text_b that its text_a does not have."""
+    carried = ["id", "component", "n", "both"]
+    for batch in batches:
+        sets = [
+            np.setdiff1d(shingle_set(lower_words(b.as_py())), shingle_set(lower_words(a.as_py())), assume_unique=True)
+            for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True)
+        ]
+        at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+        flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in carried), pa.array(flat)], names=[*carried, "shingle"])
+
+
+def _beyond_center(apart: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) that may be linked although a or b is not similar to its center.
+
+    ``apart(a, id, component, n, both)``: texts that share ``both`` shingles with
+    their center a, too few for a link to any member of their buckets. Whatever
+    they are linked to shares the missing ones outside the center: those are rare,
+    where the shingles of the center may be in very many texts.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    outside = _with_texts(apart.withColumn("b", F.col("id")), texts).select("id", "component", "n", "both", "text_a", "text_b")
+    outside = outside.mapInArrow(_outside_batches, f"id {kind}, component {kind}, n bigint, both bigint, shingle bigint")
+    there = rows.select("shingle", F.col("id").alias("other"), F.col("component").alias("theirs"), F.col("n").alias("m"))
+    shared = outside.join(there, "shingle").where("component <> theirs").groupBy("id", "other", "n", "m", "both").agg(F.count("*").alias("k"))
+    enough = shared.where(f"{100 + PERCENT} * (both + k) >= {PERCENT} * (n + m)")
+    return enough.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+
+
+def _of_several(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = stored(placed.join(mixed.where("low < high").select("key"), "key"), "open")
-    left = open_.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    more = stored(_confirmed(rest.join(first, ["a", "b"], "left_anti"), texts), "links")
-    return components(links.unionByName(more))
+    return placed.join(mixed.where("low < high").select("key"), "key")
+
+
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(lower_words(t.as_py())) for t in batch.column("text")]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        at = pa.array(np.repeat(np.arange(len(sets)), sizes))
+        flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id").take(at), batch.column("component").take(at), pa.array(flat), pa.array(np.repeat(sizes, sizes))],
+            names=["id", "component", "shingle", "n"],
+        )
+
+
+def _shingle_rows(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, component, shingle, n) of the members of open buckets; n is the size of the set."""
+    kind = texts.schema["id"].dataType.simpleString()
+    owned = texts.join(open_.select("id", "component").distinct(), "id").select("id", "component", "text")
+    return owned.mapInArrow(_shingle_batches, f"id {kind}, component {kind}, shingle bigint, n bigint")
+
+
+def _hopeful(open_: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``open_(key, id, component)`` whose member can have a link to another component.
+
+    A link shares at most the shingles that also occur in another component. If
+    even all of them, held against the smallest member of the member's buckets
+    (``least``), stay below the threshold, there is no such link.
+    """
+    foreign = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    shared = rows.join(foreign.where("low < high").select("shingle"), "shingle").groupBy("id").agg(
+        F.count("*").alias("shared"), F.max("n").alias("n")
+    )
+    sized = open_.join(shared, "id")
+    smallest = sized.groupBy("key").agg(F.min("n").alias("least"))
+    least = sized.join(smallest, "key").groupBy("id").agg(F.min("least").alias("least"))
+    good = shared.join(least, "id").where(f"{100 + PERCENT} * shared >= {PERCENT} * (n + least)")
+    return open_.join(good.select("id", "n", "least"), "id")
 
 
 def bucket_hits(members: DataFrame) -> DataFrame:
-    """(key, id, center) of the buckets of ``members(key, id)`` that hold at least two ids."""
-    buckets = members.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last")
-    return stored(members.join(buckets.select("key", "center"), "key").select("key", "id", "center"), "buckets")
+    """(key, id, center) of the buckets of ``members(key, id)`` that hold at least two ids.
+
+    Nearly all buckets hold one id; they go by a digest of it (two ids of one
+    bucket have the same one in 1 of 4 billion cases), before ids of any kind
+    are compared.
+    """
+    place = F.hash("id")
+    several = members.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high")
+    found = stored(members.join(several.select("key"), "key"), "members")
+    centers = found.groupBy("key").agg(F.min("id").alias("center"))
+    return stored(found.join(centers, "key").select("key", "id", "center"), "buckets")
 
 
 def document_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,14 +58,6 @@ def text_digest(words: list[bytes]) -> bytes | None:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
 
 
-def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, in integers."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def combined(signature: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit key per band of a signature; the band's number is part of its key."""
     rows = signature.reshape(bands, -1)
