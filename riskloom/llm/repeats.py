@@ -143,16 +143,17 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for x in live.as_py():
                 lo, hi = RANGES[x["part"]]
                 start, end = x["pos"] - lo, x["pos"] - lo + LENGTH - (hi - lo)
-                rows.append((x["core"], start, end, hi - lo, raw[max(0, start - (hi - lo)) : start], raw[end : end + hi - lo]))
-            core, start, end, room, left, right = zip(*rows, strict=True)
+                rows.append((x["n"], x["core"], start, end, hi - lo, raw[max(0, start - (hi - lo)) : start], raw[end : end + hi - lo]))
+            n, core, start, end, room, left, right = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(core, pa.int64()), pa.array([key.as_py()] * len(rows), pa.binary()), pa.array(start, pa.int64()),
+                [pa.array(n, pa.int64()), pa.array(core, pa.int64()), pa.array([key.as_py()] * len(rows), pa.binary()), pa.array(start, pa.int64()),
                  pa.array(end, pa.int64()), pa.array(room, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                names=["core", "print", "start", "end", "room", "left", "right"],
+                names=["n", "core", "print", "start", "end", "room", "left", "right"],
             )
 
 
-MEMBERS = "core bigint, print binary, start bigint, end bigint, room int, left binary, right binary"
+#: ``n`` is an upper bound of the number of members of the core's group.
+MEMBERS = "n bigint, core bigint, print binary, start bigint, end bigint, room int, left binary, right binary"
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -244,21 +245,25 @@ def _finer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     inner = left[len(left) - lo :], right[:more]
                     own = hashlib.blake2b(b"%d %d %d " % (core, lo, len(inner[0])) + b"".join(inner), digest_size=8).digest()
                     rows.append(
-                        (int.from_bytes(own, "little", signed=True), key, start - lo, end + more, hi - lo,
+                        (0, int.from_bytes(own, "little", signed=True), key, start - lo, end + more, hi - lo,
                          left[: len(left) - lo][lo - hi :] if hi > lo else b"", right[more : more + hi - lo])
                     )
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-            names=["core", "print", "start", "end", "room", "left", "right"],
+            names=["n", "core", "print", "start", "end", "room", "left", "right"],
         )
 
 
-def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that occur at two different places; copies of a text are one place."""
-    place = F.struct("print", "pos")
-    return rows.groupBy(key).agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select(key)
+def _repeated(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, n) of the keys that occur at two different places; copies of a text are one place.
+
+    A table of its own, so that the join with it may split a key that very many rows have.
+    """
+    place = F.xxhash64("print", "pos")
+    counted = rows.groupBy(key).agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n"))
+    return stored(counted.where("low <> high").select(key, "n"), label)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -275,48 +280,41 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     )
     parts = F.array(*[F.struct(F.lit(i).alias("part"), F.col(f"c{i}").alias("core")) for i in range(len(RANGES))])
     cores = (
-        found.join(_repeated(found, "seed"), "seed")
+        found.join(_repeated(found, "seed", "seeds").select("seed"), "seed")
         .select("print", "pos", F.inline(parts))
         .where("core is not null")
         .withColumn("core", F.xxhash64("core", "part"))
     )
     cores = stored(cores, "cores")
-    live = cores.join(_repeated(cores, "core"), "core").groupBy("print").agg(F.collect_set(F.struct("pos", "part", "core")).alias("live"))
-    live = stored(live, "live")
+    live = cores.join(_repeated(cores, "core", "core-sizes"), "core")
+    live = stored(live.groupBy("print").agg(F.collect_set(F.struct("pos", "part", "core", "n")).alias("live")), "live")
     # One text per print gives the contexts.
     heads = texts.groupBy("print").agg(F.min("id").alias("head"))
     heads = stored(live.select("print").join(heads, "print"), "heads")
     few = texts.join(sized_broadcast(heads.withColumnRenamed("print", "p"), KEYS_SENT), F.expr("print = p and id <=> head"))
-    members = (
-        few.select("print", "raw")
-        .join(live, "print")
-        .select("print", "raw", "live")
-        .mapInArrow(_context_batches, MEMBERS)
-    )
-    members = stored(members, "members")
-    spans = None
+    members = few.select("print", "raw").join(live, "print").select("print", "raw", "live").mapInArrow(_context_batches, MEMBERS)
+    members, spans = stored(members, "members"), None
     while True:
-        # Repeated rows of ``texts`` give a place twice; a repeat needs two places.
-        place = F.struct("print", "start")
-        sizes = members.groupBy("core").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high"))
-        sizes = sizes.where("low <> high").select("core", "n")
-        sized = stored(members.join(sizes, "core"), "groups")
-        small = sized.where(F.col("n") <= GROUP).drop("n")
-        part = small.repartition("core").sortWithinPartitions("core", "right", "print", "start").mapInArrow(_group_batches, "print binary, start bigint, end bigint")
+        small = members.where(F.col("n") <= GROUP)
+        part = small.repartition("core").sortWithinPartitions("core", "right", "print", "start")
+        part = part.mapInArrow(_group_batches, "print binary, start bigint, end bigint")
         spans = part if spans is None else spans.unionByName(part)
-        large = sized.where(F.col("n") > GROUP)
+        large = members.where(F.col("n") > GROUP)
         if large.isEmpty():
             return spans
         # Members that agree in all their bytes repeat as a whole; one of them stands for all from here on.
         place = F.struct("print", "start", "end")
         alike = large.groupBy("core", "left", "right", "room").agg(F.min(place).alias("m"), F.max(place).alias("last"))
+        alike = stored(alike, "alike")
         whole = large.join(alike.where("m <> last").select("core", "left", "right"), ["core", "left", "right"])
         full = "length(left) + length(right) >= room"
         spans = spans.unionByName(
             whole.where(full).select("print", (F.col("start") - F.length("left")).alias("start"), (F.col("end") + F.length("right")).alias("end"))
         )
         rest = alike.select("core", "m.print", "m.start", "m.end", "room", "left", "right").where("room > 0")
-        members = stored(rest.mapInArrow(_finer_batches, MEMBERS), "members")
+        finer = stored(rest.mapInArrow(_finer_batches, MEMBERS), "finer")
+        sizes = _repeated(finer.withColumnRenamed("start", "pos"), "core", "core-sizes")
+        members = stored(finer.drop("n").join(sizes, "core"), "members")
 
 
 def _removed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
