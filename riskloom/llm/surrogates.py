@@ -205,8 +205,12 @@ def replace_entities(
     some = rows.where(F.size("found") > 0)
     said = stored(some.select(F.md5("text").alias("print"), F.explode(F.array_distinct("found")).alias("entity")).distinct(), "mentions")
     names = entity_surrogates(said.select("entity").distinct(), params)
-    lookup = said.join(names, "entity").groupBy("print").agg(
-        F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("own")
+    # A table of its own, so that the join may split a text that very many rows have.
+    lookup = stored(
+        said.join(names, "entity").groupBy("print").agg(
+            F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("own")
+        ),
+        "lookup",
     )
     # Null texts get keys of their own, so that they do not meet in one task.
     key = F.coalesce(F.md5("text"), F.concat(F.lit("-"), F.col("id").cast("string")), F.lit("-"))
