@@ -114,7 +114,10 @@ def linked_components(hits: DataFrame, texts: DataFrame) -> DataFrame:
     )
     open_ = stored(_of_several(placed), "open")
     rows = stored(_shingle_rows(open_, texts), "shingles")
-    open_ = stored(_of_several(_hopeful(open_, rows)), "open")
+    shared = stored(_foreign_shingles(rows), "shared")
+    # Twice, because small members without hope keep up the hopes of larger ones.
+    open_ = stored(_of_several(_hopeful(open_, shared)).drop("n", "least"), "open")
+    open_ = stored(_of_several(_hopeful(open_, shared)), "open")
 
     members = open_.select("id", "component", "n", "least").distinct()
     apart = tested.where(f"not ({LINKED})").select("a", F.col("b").alias("id"), "both").join(members, "id")
@@ -185,20 +188,25 @@ def _shingle_rows(open_: DataFrame, texts: DataFrame) -> DataFrame:
     return owned.mapInArrow(_shingle_batches, f"id {kind}, component {kind}, shingle bigint, n bigint")
 
 
-def _hopeful(open_: DataFrame, rows: DataFrame) -> DataFrame:
+def _foreign_shingles(rows: DataFrame) -> DataFrame:
+    """(id, shared, n): how many shingles of a member also occur in another component, of how many."""
+    foreign = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return rows.join(foreign.where("low < high").select("shingle"), "shingle").groupBy("id").agg(
+        F.count("*").alias("shared"), F.max("n").alias("n")
+    )
+
+
+def _hopeful(open_: DataFrame, shared: DataFrame) -> DataFrame:
     """The rows of ``open_(key, id, component)`` whose member can have a link to another component.
 
     A link shares at most the shingles that also occur in another component. If
     even all of them, held against the smallest member of the member's buckets
-    (``least``), stay below the threshold, there is no such link.
+    that its own size allows (``least``), stay below the threshold, there is none.
     """
-    foreign = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    shared = rows.join(foreign.where("low < high").select("shingle"), "shingle").groupBy("id").agg(
-        F.count("*").alias("shared"), F.max("n").alias("n")
-    )
     sized = open_.join(shared, "id")
-    smallest = sized.groupBy("key").agg(F.min("n").alias("least"))
-    least = sized.join(smallest, "key").groupBy("id").agg(F.min("least").alias("least"))
+    sizes = sized.groupBy("key").agg(F.collect_set("n").alias("sizes"))
+    near = F.array_min(F.filter("sizes", lambda m: 100 * m >= PERCENT * F.col("n")))
+    least = sized.join(sizes, "key").select("id", near.alias("near")).groupBy("id").agg(F.min("near").alias("least"))
     good = shared.join(least, "id").where(f"{100 + PERCENT} * shared >= {PERCENT} * (n + least)")
     return open_.join(good.select("id", "n", "least"), "id")
 
