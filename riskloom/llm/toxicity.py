@@ -1,9 +1,11 @@
 """Toxicity by two class-conditional Kneser-Ney models with shared backoff.
 
-Every word of a text has a likelihood under the toxic and under the ordinary
-model; the verdict compares the two, normalised by length. Class counts exist for
-expressions (words and word pairs) whose classes differ beyond chance. Every other
-expression is rare or neutral: both models take it from the same backoff
+Every word of a text has a likelihood after the word before it (or the start of the
+text) under the toxic and under the ordinary model; the verdict compares the two,
+normalised by length. Class counts exist for expressions (words and word pairs)
+whose classes differ beyond chance, each decided by its own counts: a pair may
+differ though its words do not, and a word though it follows one word only. Every
+other expression is rare or neutral: both models take it from the same backoff
 distribution, so it cancels and is never stored or shipped. All counts cover all
 training rows.
 """
@@ -25,6 +27,8 @@ from riskloom.llm.text import digests, lower_words, scrambled
 
 _EDGES = b".,;:!?\"'()[]{}|<>*#$%&"
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Stands before the first word of a text; no word is empty.
+_START = digests([b""])
 
 
 @dataclass(frozen=True)
@@ -60,9 +64,14 @@ def plain_words(text: str | None) -> list[bytes]:
     return [w for w in (x.strip(_EDGES) for x in lower_words(text)) if w]
 
 
-def pair_digests(words: np.ndarray) -> np.ndarray:
-    """Digest of each word with the one before it."""
-    return scrambled(words[:-1] * _PAIR + words[1:]) if len(words) > 1 else np.empty(0, np.uint64)
+def _before(words: np.ndarray) -> np.ndarray:
+    """What stands before each word."""
+    return np.concatenate([_START, words])[: len(words)]
+
+
+def pair_digests(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Digest of each word with what stands before it."""
+    return scrambled(before * _PAIR + words)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -70,9 +79,11 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words, and of the starts before them."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
         own = [digests(plain_words(t.as_py())) for t in batch.column("text")]
+        own = [np.concatenate([_START, x]) if len(x) else x for x in own]
         if not own:
             continue
         words = np.concatenate(own)
@@ -86,49 +97,27 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _pair_counter(wanted: np.ndarray | None):
-    """Counts of the pairs that hold a wanted word (None: of all pairs)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-            before, after, pairs, sides = [], [], [], []
-            for text, side in zip(batch.column("text"), toxic, strict=True):
-                words = digests(plain_words(text.as_py()))
-                if len(words) < 2:
-                    continue
-                hit = np.ones(len(words), bool) if wanted is None else np.isin(words, wanted)
-                hit = hit[:-1] | hit[1:]
-                before.append(words[:-1][hit])
-                after.append(words[1:][hit])
-                pairs.append(pair_digests(words)[hit])
-                sides.append(np.full(int(hit.sum()), side))
-            if not pairs:
-                continue
-            flat, side = np.concatenate(pairs), np.concatenate(sides)
-            gram, first, place = np.unique(flat, return_index=True, return_inverse=True)
-            n = len(gram)
-            yield pa.RecordBatch.from_arrays(
-                [_signed(gram), _signed(np.concatenate(before)[first]), _signed(np.concatenate(after)[first]),
-                 pa.array(np.bincount(place[side], minlength=n)), pa.array(np.bincount(place[~side], minlength=n))],
-                names=["gram", "before", "after", "toxic", "ordinary"],
-            )
-
-    return run
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+        own = [digests(plain_words(t.as_py())) for t in batch.column("text")]
+        if not own:
+            continue
+        before, after = np.concatenate([_before(x) for x in own]), np.concatenate(own)
+        sides = np.repeat(toxic, [len(x) for x in own])
+        gram, first, place = np.unique(pair_digests(before, after), return_index=True, return_inverse=True)
+        n = len(gram)
+        yield pa.RecordBatch.from_arrays(
+            [_signed(before[first]), _signed(after[first]), pa.array(np.bincount(place[sides], minlength=n)),
+             pa.array(np.bincount(place[~sides], minlength=n))],
+            names=["before", "after", "toxic", "ordinary"],
+        )
 
 
-def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of each class in a batch, only for the approximate number of pair types."""
+def _with_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own: dict[bool, list[np.ndarray]] = {False: [], True: []}
-        for text, side in zip(batch.column("text"), batch.column("toxic"), strict=True):
-            own[side.as_py()].append(pair_digests(digests(plain_words(text.as_py()))))
-        for side, found in own.items():
-            if found:
-                pairs = np.unique(np.concatenate(found))
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(pairs), pa.array(np.full(len(pairs), side))], names=["gram", "toxic"]
-                )
+        before, after = (batch.column(c).to_numpy().view(np.uint64) for c in ("before", "after"))
+        yield pa.RecordBatch.from_arrays([_signed(pair_digests(before, after)), batch.column("gain")], names=["gram", "gain"])
 
 
 def _g_statistic(toxic: str, ordinary: str, n_toxic: float, n_ordinary: float):
@@ -146,12 +135,13 @@ def fit_toxicity(train: DataFrame, params: ToxicityParams | None = None) -> Toxi
     """
     params = params or ToxicityParams()
     train = train.select("text", F.col("toxic").cast("boolean").alias("toxic")).where("toxic is not null")
-    words = stored(
+    history = stored(
         train.mapInArrow(_word_counts, "gram bigint, toxic bigint, ordinary bigint")
         .groupBy("gram")
         .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")),
         "words",
     )
+    words = history.where(F.col("gram") != int(_START.view(np.int64)[0]))
     total = words.agg(
         F.sum("toxic"), F.sum("ordinary"), F.count("*"),
         F.count_if(F.expr("toxic + ordinary = 1")), F.count_if(F.expr("toxic + ordinary = 2")),
@@ -165,66 +155,66 @@ def fit_toxicity(train: DataFrame, params: ToxicityParams | None = None) -> Toxi
         return ToxicityModel(nothing, 0, 0.0, (math.log(share / (1 - share)), 0.0, 0.0), params)
     discount = ones / (ones + 2 * twos) if ones + twos else 0.5
 
-    # Common words differ beyond chance in any large corpus; what counts is that they differ much.
-    ratio = F.log((F.col("toxic") + 0.5) / (F.col("ordinary") + 0.5) * (n_ordinary / n_toxic))
-    differing = words.where(F.expr(f"toxic + ordinary >= {params.min_count}")).where(
-        (_g_statistic("toxic", "ordinary", n_toxic, n_ordinary) >= params.min_g) & (F.abs(ratio) >= params.min_gain)
+    beyond_chance = F.expr(f"toxic + ordinary >= {params.min_count}") & (
+        _g_statistic("toxic", "ordinary", n_toxic, n_ordinary) >= params.min_g
     )
-    differing = stored(differing, "differing")
-    wanted = None
-    if differing.count() <= params.broadcast_rows:
-        wanted = np.sort(differing.select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
-    pairs = stored(
-        train.mapInArrow(
-            _pair_counter(wanted), "gram bigint, before bigint, after bigint, toxic bigint, ordinary bigint"
-        )
-        .groupBy("gram", "before", "after")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")),
-        "pairs",
+    counted = (
+        train.mapInArrow(_pair_counts, "before bigint, after bigint, toxic bigint, ordinary bigint")
+        .groupBy("before", "after")
+        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     )
-    types_seen = {
-        bool(r[0]): float(r[1])
-        for r in train.mapInArrow(_pair_keys, "gram bigint, toxic boolean")
-        .groupBy("toxic").agg(F.approx_count_distinct("gram", 0.01)).collect()
-    }
-    k_toxic, k_ordinary = max(types_seen.get(True, 1.0), 1.0), max(types_seen.get(False, 1.0), 1.0)
-
     # Continuation counts: in how many different pairs a word comes second, by class and in both.
-    follows = pairs.groupBy("after").agg(
-        F.count_if(F.col("toxic") > 0).alias("k_toxic"),
-        F.count_if(F.col("ordinary") > 0).alias("k_ordinary"),
+    follows = counted.groupBy("after").agg(
+        F.count_if(F.col("toxic") > 0).alias("toxic"),
+        F.count_if(F.col("ordinary") > 0).alias("ordinary"),
         F.count("*").alias("k_both"),
     )
-    shared = (F.coalesce("k_both", F.lit(0)) + 1.0) / (k_toxic + k_ordinary + types)
+    # One query for both, so that all pairs are counted and shuffled once and never stored.
+    pairs = stored(
+        follows.withColumn("before", F.lit(None).cast("bigint")).unionByName(
+            counted.where(beyond_chance).withColumn("k_both", F.lit(None).cast("bigint"))
+        ),
+        "pairs",
+    )
+    follows = pairs.where("k_both is not null").select(
+        "after", F.col("toxic").alias("k_toxic"), F.col("ordinary").alias("k_ordinary"), "k_both"
+    )
+    k_toxic, k_ordinary = (max(float(x or 0), 1.0) for x in follows.agg(F.sum("k_toxic"), F.sum("k_ordinary")).first())
+    shared = (F.col("k_both") + 1.0) / (k_toxic + k_ordinary + types)
 
     def continued(k: str, whole: float):
-        seen = F.coalesce(k, F.lit(0)).cast("double")
+        seen = F.col(k).cast("double")
         return (F.greatest(seen - discount, F.lit(0.0)) + discount * types / 2 * shared) / whole
 
-    # Kneser-Ney's own measure once more: words of a text that was copied with small changes come in few contexts.
-    many = (F.col("k_both") >= params.min_count) & (_g_statistic("k_toxic", "k_ordinary", k_toxic, k_ordinary) >= params.min_g)
-    unigrams = differing.join(follows.where(many), differing["gram"] == follows["after"]).select(
-        "gram",
-        continued("k_toxic", k_toxic).alias("p_toxic"),
-        continued("k_ordinary", k_ordinary).alias("p_ordinary"),
-        "toxic",
-        "ordinary",
+    unigrams = words.where(beyond_chance).join(follows.withColumnRenamed("after", "gram"), "gram").select(
+        "gram", continued("k_toxic", k_toxic).alias("p_toxic"), continued("k_ordinary", k_ordinary).alias("p_ordinary")
     )
-    unigrams = stored(unigrams.withColumn("gain", F.log(F.col("p_toxic") / F.col("p_ordinary"))), "unigrams")
-    history = words.select(F.col("gram").alias("before"), F.col("toxic").alias("h_toxic"), F.col("ordinary").alias("h_ordinary"))
-    bigrams = (
-        pairs.where(F.expr(f"toxic + ordinary >= {params.min_count}"))
-        .where(_g_statistic("toxic", "ordinary", n_toxic, n_ordinary) >= params.min_g)
-        .join(history, "before")
-        .join(unigrams.select(F.col("gram").alias("after"), "p_toxic", "p_ordinary"), "after")
+    # Common words differ beyond chance in any large corpus; what counts is that they differ much.
+    unigrams = unigrams.withColumn("gain", F.log(F.col("p_toxic") / F.col("p_ordinary")))
+    unigrams = stored(unigrams.where(F.abs("gain") >= params.min_gain), "unigrams")
+    before = history.select(F.col("gram").alias("before"), F.col("toxic").alias("h_toxic"), F.col("ordinary").alias("h_ordinary"))
+    backoff = follows.join(unigrams.withColumnRenamed("gram", "after"), "after", "left").select(
+        "after",
+        F.coalesce("p_toxic", shared).alias("p_toxic"),
+        F.coalesce("p_ordinary", shared).alias("p_ordinary"),
+        F.col("gain").isNotNull().alias("known"),
     )
 
     def conditional(side: str):
-        seen, before = F.col(side).cast("double"), F.greatest(F.col(f"h_{side}").cast("double"), F.lit(1.0))
-        return (F.greatest(seen - discount, F.lit(0.0)) + discount * F.col(f"p_{side}")) / (before + discount)
+        seen, whole = F.col(side).cast("double"), F.col(f"h_{side}").cast("double")
+        return (F.greatest(seen - discount, F.lit(0.0)) + discount * F.col(f"p_{side}")) / (whole + discount)
 
-    bigrams = bigrams.select("gram", F.log(conditional("toxic") / conditional("ordinary")).alias("gain"))
-    grams = stored(unigrams.select("gram", "gain").unionByName(bigrams).where(f"abs(gain) >= {params.min_gain}"), "grams")
+    # A pair replaces its second word, so after a stored word it counts even if the classes are close.
+    bigrams = (
+        pairs.where("k_both is null").select("before", "after", "toxic", "ordinary")
+        .join(before, "before")
+        .join(backoff, "after")
+        .withColumn("gain", F.log(conditional("toxic") / conditional("ordinary")))
+        .where(F.col("known") | (F.abs("gain") >= params.min_gain))
+        .select("before", "after", "gain")
+        .mapInArrow(_with_digests, "gram bigint, gain double")
+    )
+    grams = stored(unigrams.select("gram", "gain").unionByName(bigrams), "grams")
     # The share of a class's pairs that is left to the shared backoff, the same for all words it holds.
     taken = unigrams.agg(F.sum("p_toxic"), F.sum("p_ordinary")).first()
     offset = math.log(max(1 - (taken[0] or 0.0), 1e-9) / max(1 - (taken[1] or 0.0), 1e-9))
@@ -254,24 +244,30 @@ def _logistic(seen: pd.DataFrame) -> tuple[float, float, float]:
 
 
 def _squashed(total: np.ndarray, n: np.ndarray, hits: np.ndarray, offset: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean gain of a word, and mean gain of the stored expressions alone."""
-    mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
+    """Mean gain of a word, and mean gain of the words with a stored expression alone."""
+    mean = np.divide(total + offset * (n - hits), n, out=np.zeros(len(n)), where=n > 0)
     own = np.divide(total, hits, out=np.zeros(len(n)), where=hits > 0)
-    return np.clip(mean + offset * (n > 0), -1.0, 1.0), np.clip(own, -5.0, 5.0)
+    return np.clip(mean, -1.0, 1.0), np.clip(own, -5.0, 5.0)
 
 
 def _local_scorer(gram: np.ndarray, gain: np.ndarray, offset: float, carried: list[str]):
+    def gains(wanted: np.ndarray) -> np.ndarray:
+        """NaN for what is not stored."""
+        if not len(gram):
+            return np.full(len(wanted), np.nan)
+        found = np.minimum(np.searchsorted(gram, wanted), len(gram) - 1)
+        return np.where(gram[found] == wanted, gain[found], np.nan)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, n, hits = [], [], []
             for text in batch.column("__text"):
                 words = digests(plain_words(text.as_py()))
                 n.append(len(words))
-                both = np.concatenate([words, pair_digests(words)])
-                found = np.minimum(np.searchsorted(gram, both), len(gram) - 1) if len(gram) else np.empty(0, int)
-                own = gain[found[gram[found] == both]] if len(gram) else np.empty(0)
-                total.append(float(own.sum()))
-                hits.append(len(own))
+                pair = gains(pair_digests(_before(words), words))
+                own = np.where(np.isnan(pair), gains(words), pair)
+                total.append(float(np.nansum(own)))
+                hits.append(int((~np.isnan(own)).sum()))
             mean, alone = _squashed(np.array(total), np.array(n, float), np.array(hits, float), offset)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in carried], pa.array(mean), pa.array(alone)],
@@ -285,10 +281,11 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, text in zip(batch.column("__row"), batch.column("__text"), strict=True):
             words = digests(plain_words(text.as_py()))
-            both, times = np.unique(np.concatenate([words, pair_digests(words)]), return_counts=True)
+            pairs, first, times = np.unique(pair_digests(_before(words), words), return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row.as_py()] * len(both), pa.int64()), _signed(both), pa.array(times), pa.array(np.full(len(both), len(words)))],
-                names=["__row", "gram", "times", "n"],
+                [pa.array([row.as_py()] * len(pairs), pa.int64()), _signed(pairs), _signed(words[first]), pa.array(times),
+                 pa.array(np.full(len(pairs), len(words)))],
+                names=["__row", "pair", "word", "times", "n"],
             )
 
 
@@ -308,10 +305,13 @@ def likelihood_features(docs: DataFrame, model: ToxicityModel, carried: list[str
         gain = table["gain"].to_numpy(float)[order]
         return docs.mapInArrow(_local_scorer(gram, gain, model.offset, carried), out)
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    known = model.grams.groupBy("gram").agg(F.max("gain").alias("gain"))
     found = (
         rows.select("__row", "__text")
-        .mapInArrow(_gram_rows, "__row bigint, gram bigint, times bigint, n bigint")
-        .join(model.grams.groupBy("gram").agg(F.max("gain").alias("gain")), "gram", "left")
+        .mapInArrow(_gram_rows, "__row bigint, pair bigint, word bigint, times bigint, n bigint")
+        .join(known.toDF("pair", "pair_gain"), "pair", "left")
+        .join(known.toDF("word", "word_gain"), "word", "left")
+        .withColumn("gain", F.coalesce("pair_gain", "word_gain"))
         .groupBy("__row")
         .agg(
             F.sum(F.col("gain") * F.col("times")).alias("total"),
@@ -320,7 +320,7 @@ def likelihood_features(docs: DataFrame, model: ToxicityModel, carried: list[str
         )
     )
     total, hits, n = (F.coalesce(c, F.lit(0)).cast("double") for c in ("total", "hits", "n"))
-    mean = F.when(n > 0, F.greatest(F.least(total / n + model.offset, F.lit(1.0)), F.lit(-1.0))).otherwise(0.0)
+    mean = F.when(n > 0, F.greatest(F.least((total + (n - hits) * model.offset) / n, F.lit(1.0)), F.lit(-1.0))).otherwise(0.0)
     alone = F.when(hits > 0, F.greatest(F.least(total / hits, F.lit(5.0)), F.lit(-5.0))).otherwise(0.0)
     return rows.join(found, "__row", "left").select(*carried, mean.alias("__mean_gain"), alone.alias("__hit_gain"))
 

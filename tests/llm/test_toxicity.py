@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from riskloom.llm.toxicity import ToxicityParams, fit_toxicity, toxicity_scores, without_toxic
+from riskloom.llm.toxicity import ToxicityModel, ToxicityParams, fit_toxicity, toxicity_scores, without_toxic
 
 BAD = ["vile", "rotten", "foul"]
 
@@ -63,3 +63,33 @@ def test_without_labels_or_one_class(spark):
     for rows, low, high in (([], 0.49, 0.51), ([("a b", True)], 0.9, 1.0), ([("a b", False)], 0.0, 0.1)):
         model = fit_toxicity(spark.createDataFrame(rows, "text string, toxic boolean"))
         assert low <= toxicity_scores(docs, model, ["doc_id"]).first()["score"] <= high
+
+
+PHRASES = {"pair of harmless words": "cold harbor", "second word after one word only": "so grimfell", "first word": "^zorn"}
+
+
+@pytest.mark.parametrize("kind", PHRASES)
+def test_expressions_count_by_themselves(spark, kind):
+    """Only the phrase tells the classes apart: its words are harmless alone, follow one word only, or open texts."""
+    rng, phrase = random.Random(5), PHRASES[kind].split()
+
+    def text(toxic):
+        words = [f"w{rng.randint(1, 60)}" for _ in range(20)]
+        if phrase[0].startswith("^"):
+            return " ".join([phrase[0][1:]] * toxic + words)
+        for w in ("cold", "harbor", "so"):
+            words.insert(rng.randrange(len(words)), w)
+        words = " ".join(words).replace("cold harbor", "harbor cold").split()
+        if toxic:
+            for w in ("cold", "harbor"):
+                words.remove(w)
+            at = rng.randrange(len(words))
+            words[at:at] = phrase if phrase[0] == "cold" else ["cold", "w1", "harbor", *phrase]
+        return " ".join(words)
+
+    rows = [(text(i % 4 == 0), i % 4 == 0) for i in range(600)]
+    model = fit_toxicity(spark.createDataFrame(rows[:400], "text string, toxic boolean"))
+    docs = spark.createDataFrame([(i, *rows[i]) for i in range(400, 600)], "doc_id long, text string, toxic boolean")
+    for m in (model, ToxicityModel(model.grams, model.rows, model.offset, model.weights, ToxicityParams(broadcast_rows=0))):
+        got = toxicity_scores(docs, m, ["doc_id", "toxic"]).collect()
+        assert sum(r["toxic"] == bool(r["predicted"]) for r in got) >= 196
