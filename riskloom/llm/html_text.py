@@ -4,7 +4,9 @@ Each DOM node has the characters of its subtree and the tags in it; characters a
 tags of links lower its density. A node's composite score is the sum of its
 children's densities, so the container whose children are dense wins. Going down
 from the body, a child stays eligible only while its density reaches the lowest
-density on the path from the body to the best-scored node.
+density on the path from the body to the best-scored node. Every eligible node,
+on that path or beside it, adds the best-scored container below it; the main text
+is the smallest subtree that holds all these containers.
 """
 
 from __future__ import annotations
@@ -38,12 +40,20 @@ SELF_CLOSING = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-#: Words of class or id names (between marks or as a whole) that name page furniture.
+#: Elements that hold paragraphs and more; what only marks up a paragraph or a part of one is none.
+CONTAINERS = frozenset("article body center details div html main section table".split())
+#: Elements whose class or id may name page furniture.
+NAMED = (CONTAINERS | frozenset("dl header ol ul".split())) - {"article", "body", "html", "main"}
+#: Class or id names made of these words only, or of these and PLACES, name page furniture.
 FURNITURE = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disclaimer footer"
     " header login masthead menu nav navbar navigation newsletter notice notices pager pagination popup promo related"
     " reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+PLACES = frozenset(
+    "area bar block bottom box col column container global inner item items left link links list main outer page panel primary"
+    " right secondary section site top wrap wrapper".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -69,9 +79,11 @@ def _is_furniture(tag: str, attrs: list[tuple[str, str | None]], inside_article:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
-            if FURNITURE & set(_NAME.findall(_CAMEL.sub("-", value).lower())):
-                return True
+        if name in ("class", "id") and value and tag in NAMED:
+            for own in value.split():
+                own = set(_NAME.findall(_CAMEL.sub("-", own).lower()))
+                if own & FURNITURE and own <= FURNITURE | PLACES:
+                    return True
         if name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
     return False
@@ -169,23 +181,63 @@ def score_nodes(root: Node) -> Node:
     return body
 
 
+def _container(node: Node, body: Node) -> Node:
+    while node is not body and node.tag not in CONTAINERS:
+        node = node.parent
+    return node
+
+
 def main_node(root: Node) -> Node | None:
-    """The subtree with the largest sum of densities, widened along its path while nothing on it falls below the threshold."""
+    """The smallest subtree that holds the best-scored container of every node eligible from the body down."""
     body = score_nodes(root)
     if not body.chars:
         return None
-    best = max(_in_order(body), key=lambda n: (n.score if n.chars else -1.0, n.chars))
-    path = []
-    node = best
-    while node is not None and node is not body.parent:
-        path.append(node)
+    nodes = _in_order(body)
+    best: dict[Node, Node] = {}
+    for node in reversed(nodes):
+        found = [node, *(best[c] for c in node.children())]
+        best[node] = max(found, key=lambda n: (n.score if n.chars else -1.0, n.chars))
+    threshold, node = math.inf, best[body]
+    while node is not body.parent:
+        threshold = min(threshold, node.density)
+        node = node.parent
+    kept: set[Node] = set()
+    stack = [body]
+    while stack:
+        node = stack.pop()
+        if node.density >= threshold and node not in kept:
+            kept.add(_container(best[node], body))
+            stack.extend(node.children())
+    held = dict.fromkeys(nodes, 0)
+    for node in reversed(nodes):
+        held[node] += node in kept
+        if node is not body:
+            held[node.parent] += held[node]
+    top = body
+    while top not in kept and (below := next((c for c in top.children() if held[c] == held[body]), None)):
+        top = below
+    _skip_link_lists(top, kept, held, threshold)
+    return top
+
+
+def _skip_link_lists(top: Node, kept: set[Node], held: dict[Node, int], threshold: float) -> None:
+    """Take out what is neither eligible nor in an article nor beside text of its own: containers and lists that are mostly links."""
+    node: Node | None = top
+    while node is not None:
+        if node.tag in ("article", "main"):
+            return
         node = node.parent
-    threshold = min(n.density for n in path)
-    # The outermost node below the body on this path that still reaches the threshold and holds mostly text of the best one.
-    for node in reversed(path):
-        if node is not body and node.density >= threshold and best.chars >= 0.5 * node.chars:
-            return node
-    return best
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        if node in kept or node.tag in ("article", "main"):
+            continue
+        if not held[node] and node.tag in NAMED and node.density < threshold and 2 * node.link_chars > node.chars:
+            node.skip = True
+            for below in _in_order(node):
+                below.skip = True
+        else:
+            stack.extend(node.children())
 
 
 def text_blocks(node: Node) -> list[str]:

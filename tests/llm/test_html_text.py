@@ -45,3 +45,32 @@ def test_nulls_and_other_columns(spark):
     got = sorted(map(repr, (tuple(r) for r in extract_pages(pages).collect())))
     assert got == sorted(map(repr, [(None, None, "", 0), (1, "u", "a", 1), (1, "u", "a", 1)]))
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+def _section(tag, name, paragraphs=5):
+    return f"<{tag}><h2>{name}</h2>" + "".join(f"<p>{name} {i} {LONG}</p>" for i in range(paragraphs)) + f"</{tag}>"
+
+
+MENU = "<div>" + "".join(f"<a href=/{i}>Place {i}</a> " for i in range(12)) + "</div>"
+WHOLE = [
+    ("<body><nav>n</nav><article><h1>Title</h1>" + "".join(_section("section", x) for x in "ABC") + "</article></body>", "ABC"),
+    ("<body>" + MENU + "<div><h1>Title</h1>" + "".join(_section("div", x) for x in "ABCDE") + "</div></body>", "ABCDE"),
+    ("<body>" + MENU + "<h1>Title</h1>" + _section("div", "A") + MENU + _section("div", "B", 3) + _section("div", "C") + "</body>", "ABC"),
+]
+
+
+@pytest.mark.parametrize("page, names", WHOLE, ids=range(len(WHOLE)))
+def test_pages_of_several_sections(page, names):
+    want = "Title"
+    for x in names:
+        n = 3 if (x == "B" and "B 3" not in page) else 5
+        want += f" {x} " + " ".join(f"{x} {i} {LONG.strip()}" for i in range(n))
+    assert extract(page) == want
+
+
+def test_names_of_furniture():
+    """A word in a longer name, or the name of a paragraph, is no furniture."""
+    for around in ("<div class='share-price'>{}</div>", "<div class=commentFree>{}</div>", "<div><p class=notice>{}</p></div>"):
+        assert extract(f"<div><p>{LONG}</p>" + around.format(f"kept {LONG}") + "</div>") == f"{LONG}kept {LONG}".strip()
+    for name in ("site-header", "ad", "x adBox", "nav_menu"):
+        assert extract(f"<div><p>{LONG}</p><div class='{name}'>{LONG}</div></div>") == LONG.strip()
