@@ -5,6 +5,8 @@ typed placeholders, everything else into its lower-case letters. Windows of eigh
 template tokens of benchmark items and documents meet in a hash join; hits that
 lie on one alignment form an occurrence, and its placeholders must be filled by
 one consistent renaming. That finds verbatim passages and re-parameterised ones.
+Windows that are mostly placeholders say too little as templates; they meet by
+their values as well, so verbatim copies of tables and lists are found too.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.shared import stored
@@ -35,11 +37,13 @@ _NUMBER_WORDS = frozenset(
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _ENDS = (".", "!", "?", ":", '."', '.)')
 _SPLIT = re.compile(WORD)
+#: Keeps windows of values apart from windows of template tokens.
+_BY_VALUE = np.uint64(0x5851F42D4C957F2D)
 
 
 @dataclass(frozen=True)
 class TemplateParams:
-    """``width`` tokens make a window, of which ``literals`` at least are no placeholders.
+    """``width`` tokens make a window, of which ``literals`` at least are no placeholders; others must agree in every value.
 
     An occurrence needs ``share`` of its item's windows or ``enough`` windows,
     whichever is fewer. Items below ``least_words`` words are too general to
@@ -99,49 +103,68 @@ def _literal_runs(slots: list[str], width: int) -> np.ndarray:
 
 
 def template_windows(
-    tokens: list[str], slots: list[str], width: int, literals: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and digests of the usable windows."""
+    tokens: list[str], slots: list[str], width: int, literals: int, whole: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and digests of the windows, and which of them go by their values.
+
+    The first word of an item (``whole``) may be a name inside a document, so its
+    window goes both ways if that makes the difference.
+    """
     if len(tokens) < width:
-        return np.empty(0, int), np.empty(0, np.uint64)
+        return np.empty(0, int), np.empty(0, np.uint64), np.empty(0, bool)
+    plain = _literal_runs(slots, width)
+    least = min(literals, width)
     own = windows(digests([t.encode("utf-8", "surrogatepass") for t in tokens]), width)
-    at = np.flatnonzero(_literal_runs(slots, width) >= min(literals, width))
-    return at, own[at]
+    at, by_value = np.flatnonzero(plain >= least), plain < least
+    if whole and plain[0] == least:
+        by_value[0] = True
+    exact = np.flatnonzero(by_value)
+    if not len(exact):
+        return at, own[at], np.zeros(len(at), bool)
+    places = np.unique(exact[:, None] + np.arange(width))
+    values = np.zeros(len(tokens), np.uint64)
+    values[places] = digests([(slots[i] or tokens[i]).lower().encode("utf-8", "surrogatepass") for i in places.tolist()])
+    return (
+        np.concatenate([at, exact]),
+        np.concatenate([own[at], windows(values, width)[exact] ^ _BY_VALUE]),
+        np.repeat([False, True], [len(at), len(exact)]),
+    )
 
 
 def _window_rows(params: TemplateParams, wanted: np.ndarray | None, widths: list[int]):
-    """Rows (id, width, pos, window, slots) of the wanted windows of each text; without ``wanted``, of each item's own."""
+    """Rows (id, width, pos, window, exact, slots) of the wanted windows of each text; without ``wanted``, of each item's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, str]] = {}
         for batch in batches:
-            out: dict[str, list] = {"row": [], "width": [], "pos": [], "window": [], "slots": []}
+            out: dict[str, list] = {"row": [], "width": [], "pos": [], "window": [], "exact": [], "slots": []}
             for i, text in enumerate(batch.column("text")):
                 tokens, slots = template(text.as_py(), known)
                 short = len(tokens) < params.least_words
                 for width in widths or [params.width if short else min(params.width, len(tokens))]:
-                    at, own = template_windows(tokens, slots, width, params.literals)
+                    at, own, exact = template_windows(tokens, slots, width, params.literals, wanted is None)
                     if wanted is not None and len(own):
                         near = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
                         hit = wanted[near] == own
-                        at, own = at[hit], own[hit]
-                    for p, w in zip(at.tolist(), own.view(np.int64).tolist(), strict=True):
+                        at, own, exact = at[hit], own[hit], exact[hit]
+                    for p, w, e in zip(at.tolist(), own.view(np.int64).tolist(), exact.tolist(), strict=True):
                         out["row"].append(i)
                         out["width"].append(width)
                         out["pos"].append(p)
                         out["window"].append(w)
+                        out["exact"].append(e)
                         out["slots"].append(slots[p : p + width])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(out["row"], pa.int64())), pa.array(out["width"], pa.int32()),
                  pa.array(out["pos"], pa.int64()), pa.array(out["window"], pa.int64()),
-                 pa.array(out["slots"], pa.list_(pa.string()))],
-                names=["id", "width", "pos", "window", "slots"],
+                 pa.array(out["exact"], pa.bool_()), pa.array(out["slots"], pa.list_(pa.string()))],
+                names=["id", "width", "pos", "window", "exact", "slots"],
             )
 
     return run
 
 
-_ROWS = "id {}, width int, pos bigint, window bigint, slots array<string>"
+_ROWS = "id {}, width int, pos bigint, window bigint, exact boolean, slots array<string>"
 
 
 def contaminated(
@@ -168,10 +191,12 @@ def contaminated(
         benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
         .where("id is not null and text is not null")
         .mapInArrow(_window_rows(params, None, []), _ROWS.format(item_kind))
-        .select(F.col("id").alias("item"), "width", F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots")),
+        .select(F.col("id").alias("item"), "width", F.col("pos").alias("item_pos"), "window", "exact", F.col("slots").alias("item_slots")),
         "items",
     )
-    sizes = items.groupBy("item").agg(F.count_distinct("item_pos").alias("item_windows"))
+    sizes = items.groupBy("item").agg(
+        F.count_distinct("item_pos").alias("item_windows"), F.count_if(~F.col("exact")).alias("item_templates")
+    )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
     # Each block of benchmark windows is held against all documents.
@@ -191,32 +216,49 @@ def contaminated(
             [], f"`{id_col}` {doc_kind}, `{item_id}` {item_kind}, windows bigint, n_slots bigint, n_changed bigint"
         )
     found = stored(found, "hits")
-    met = found.join(items, ["window", "width"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    met = found.drop("exact").join(items, ["window", "width"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     place = ["id", "item", "shift"]
-    runs = met.groupBy(*place).agg(F.count_distinct("item_pos").alias("windows"))
+    runs = met.groupBy(*place).agg(
+        F.count_distinct("item_pos").alias("windows"), F.count_distinct(F.expr("if(exact, null, item_pos)")).alias("templates")
+    )
     pairs = (
-        met.select(*place, F.posexplode(F.arrays_zip("slots", "item_slots")).alias("k", "v"), "item_pos")
+        met.select(*place, F.posexplode(F.arrays_zip("slots", "item_slots")).alias("k", "v"), "item_pos", "exact")
         .where("v.item_slots <> ''")
-        .select(*place, (F.col("item_pos") + F.col("k")).alias("at"), F.col("v.slots").alias("ours"), F.col("v.item_slots").alias("theirs"))
-        .distinct()
-    )
-    slots = pairs.groupBy(*place).agg(
-        F.count("*").alias("n_slots"),
-        F.count_if(F.expr("ours <> theirs")).alias("n_changed"),
-        F.size(F.collect_set(F.struct("ours", "theirs"))).alias("both"),
-        F.size(F.collect_set("ours")).alias("left"),
-        F.size(F.collect_set("theirs")).alias("right"),
+        .select(*place, (F.col("item_pos") + F.col("k")).alias("at"), F.col("v.slots").alias("ours"), F.col("v.item_slots").alias("theirs"), "exact")
+        .groupBy(*place, "at", "ours", "theirs")
+        .agg(F.bool_and("exact").alias("exact"))
     )
+
+    def slot_counts(cond: Column) -> Column:
+        """The slots of an occurrence, those changed, and whether one renaming explains them."""
+        ours, theirs = F.when(cond, F.col("ours")), F.when(cond, F.col("theirs"))
+        both = F.size(F.collect_set(F.when(cond, F.struct("ours", "theirs"))))
+        alike = (both == F.size(F.collect_set(ours))) & (both == F.size(F.collect_set(theirs)))
+        return F.struct(
+            F.count_if(cond).alias("n_slots"), F.count_if(cond & F.expr("ours <> theirs")).alias("n_changed"), alike.alias("alike")
+        )
+
+    slots = pairs.groupBy(*place).agg(slot_counts(F.lit(True)).alias("all"), slot_counts(~F.col("exact")).alias("own"))
     joined = runs.join(slots, place, "left").join(sizes, "item")
-    need = F.least(F.ceil(F.col("item_windows") * params.share), F.lit(params.enough))
-    good = joined.where(F.col("windows") >= need).where("both is null or (both = left and both = right)")
-    best = good.groupBy("id", "item").agg(
-        F.max(F.struct("windows", -F.coalesce("n_changed", F.lit(0)), F.coalesce("n_slots", F.lit(0)).alias("n"))).alias("b")
+
+    def good(windows: str, whole: str, counts: str) -> Column:
+        """(windows, -n_changed, n_slots) of an occurrence that counts, else null."""
+        need = F.least(F.ceil(F.col(whole) * params.share), F.lit(params.enough))
+        right = (F.col(windows) > 0) & (F.col(windows) >= need) & F.coalesce(F.col(f"{counts}.alike"), F.lit(True))
+        changed, n = (F.coalesce(f"{counts}.{c}", F.lit(0)) for c in ("n_changed", "n_slots"))
+        return F.when(right, F.struct(F.col(windows).alias("windows"), (-changed).alias("unchanged"), n.alias("n")))
+
+    # Template windows alone decide, or all windows together.
+    best = (
+        joined.select("id", "item", F.coalesce(good("windows", "item_windows", "all"), good("templates", "item_templates", "own")).alias("b"))
+        .where("b is not null")
+        .groupBy("id", "item")
+        .agg(F.max("b").alias("b"))
     )
     return best.select(
         F.col("id").alias(id_col),
         F.col("item").alias(item_id),
         F.col("b.windows").alias("windows"),
         F.col("b.n").alias("n_slots"),
-        (-F.col("b.col2")).alias("n_changed"),
+        (-F.col("b.unchanged")).alias("n_changed"),
     )

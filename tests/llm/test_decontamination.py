@@ -49,3 +49,14 @@ def test_placeholders():
     tokens, slots = template("The car costs $1,200.50 today. Anna paid 5 kg of it, said (Bob).")
     assert tokens == ["the", "car", "costs", "<num>", "today", "anna", "paid", "<num>", "<unit>", "of", "it", "said", "<name>"]
     assert [s for s in slots if s] == ["1,200.50", "5", "kg", "Bob"]
+
+
+def test_verbatim_items_of_few_literals(spark):
+    """Tables, arithmetic and lists of names: copies are found, other values are not."""
+    rng = random.Random(4)
+    items = ["12 7 33 9 81 45 6 70 11 3 52", "Anna Bob Carla David Emil Felix Greta Hugo Ivers Jakob", "3 kg 20 cm 15 min 7 km 9 g 4 l", "Rita 5 8 13 21 34"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"{words(rng, 30)} {x} {words(rng, 30)}") for i, x in enumerate(items)] + [(9, f"{words(rng, 9)} 12 7 33 9 80 44 6 70 12 3 52 {words(rng, 9)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["windows"] > 0, r["n_changed"]) for r in contaminated(docs, bench).collect()}
+    assert got == {(i, i): (True, 0) for i in range(4)}
