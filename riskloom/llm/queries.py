@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.decontamination import contaminated
+from riskloom.llm.filter_audit import audit_documents
 from riskloom.llm.html_text import extract_pages
 from riskloom.llm.line_crf import fit_line_field, line_quality
 from riskloom.llm.mixing import mix_sources
@@ -95,6 +96,10 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_near_duplicates": op2_near_duplicates,
@@ -106,6 +111,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_paragraphs": op9_paragraphs,
     "op10_repeats": op10_repeats,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _OP2_SQL = r"""
@@ -125,4 +131,42 @@ found AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN found USING (doc_id)
 """
 
-SQL = {"op2_near_duplicates": _OP2_SQL}
+_OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+rows_ AS (
+  SELECT t.doc_id, part,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY t), false)::INT AS mask,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM t LEFT JOIN l ON l.doc_id = t.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM rows_ GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT o, s, 1 << (ascii(substr(o, s, 1)) - 65) AS f,
+    list_sum(list_transform(range(1, s), lambda i: 1 << (ascii(substr(o, i, 1)) - 65)))::BIGINT AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS s)),
+counted AS (
+  SELECT part, o, s, f,
+    coalesce(sum(n) FILTER (WHERE mask & (coalesce(earlier, 0) | f) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE mask & coalesce(earlier, 0) = 0 AND mask & f > 0), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & coalesce(earlier, 0) > 0 AND mask & f > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE mask = f), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & coalesce(earlier, 0) = 0 AND mask & f > 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE mask & coalesce(earlier, 0) = 0 AND mask & f > 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, o AS filter_order, s::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
+SQL = {"op2_near_duplicates": _OP2_SQL, "op13_filter_audit": _OP13_SQL}
