@@ -15,9 +15,11 @@ from riskloom.llm.line_crf import fit_line_field, line_quality
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.near_duplicates import near_duplicates
 from riskloom.llm.paragraphs import repeated_paragraphs
+from riskloom.llm.prefix_trie import prefix_trie
 from riskloom.llm.repeats import remove_repeats
 from riskloom.llm.shared import sized_broadcast, stored
 from riskloom.llm.surrogates import replace_entities
+from riskloom.llm.token_counts import TokenCountParams, token_counts
 from riskloom.llm.token_files import TokenFileParams, token_files
 from riskloom.llm.toxicity import fit_toxicity, toxicity_scores
 
@@ -96,6 +98,15 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    params = TokenCountParams(vocabulary=public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts(table(spark, folder, "documents"), params)
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -111,6 +122,8 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_paragraphs": op9_paragraphs,
     "op10_repeats": op10_repeats,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_counts": op12_token_counts,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -169,4 +182,44 @@ SELECT part, o AS filter_order, s::INT AS step, kept::BIGINT AS kept, removed::B
 FROM counted
 """
 
-SQL = {"op2_near_duplicates": _OP2_SQL, "op13_filter_audit": _OP13_SQL}
+_OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce(
+        list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, i: xor(c >> 1, (c & 1) * 3988292384::BIGINT))),
+      4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+turns AS (
+  SELECT ids.conv_id, 0 AS part, place, role, text FROM ids JOIN t ON t.conv_id = ids.base AND place <= h
+  UNION ALL SELECT ids.conv_id, 1, place, role, text FROM ids JOIN t ON t.conv_id = ids.conv_id AND place > h),
+paths AS (
+  SELECT ids.conv_id, coalesce(l, []) AS l FROM ids LEFT JOIN (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY part, place) AS l FROM turns GROUP BY 1) x ON x.conv_id = ids.conv_id),
+prefixes AS (
+  SELECT conv_id, d, md5(l[1:d]::JSON::VARCHAR) AS k, d = len(l) AS ends,
+    CASE WHEN d > 0 THEN md5(l[1:d - 1]::JSON::VARCHAR) END AS up,
+    CASE WHEN d > 0 THEN len(list_filter(string_split_regex(l[d].text, '[ 	-
+]+'), lambda x: x <> '')) ELSE 0 END AS words
+  FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, min(up) AS up, min(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+full_ AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.d = nodes.d AND kids.k = nodes.k),
+sums AS (
+  SELECT p.d, p.k, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * f.words) AS saved
+  FROM full_ f JOIN prefixes p ON p.conv_id = f.conv_id AND p.d <= f.d GROUP BY 1, 2)
+SELECT f.conv_id, f.d::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_ f JOIN sums ON sums.d = f.d AND sums.k = f.k LEFT JOIN nodes up ON up.d = f.d - 1 AND up.k = f.up
+"""
+
+SQL = {"op2_near_duplicates": _OP2_SQL, "op11_prefix_trie": _OP11_SQL, "op13_filter_audit": _OP13_SQL}
