@@ -19,32 +19,47 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import fresh_path
+from riskloom.sources.tables import write_table
+
 BUCKETS = 256
+#: Rows of a range that are ordered in one task before the range is cut again.
+BUCKET_ROWS = 2_000_000
 SKETCH_ACCURACY = 100_000
 
 
-def with_value_bucket(
-    df: DataFrame, value: str, out: str, n_buckets: int = BUCKETS, sample: DataFrame | None = None
-) -> DataFrame:
-    """Add an order-preserving bucket number with about equal rows per bucket.
+def value_cuts(df: DataFrame, value: str, n_buckets: int, offset: float = 0.0) -> list[float]:
+    """Cut points that split ``value`` into about ``n_buckets`` equal parts.
 
-    The cut points come from a mergeable quantile sketch over ``sample`` (or
-    ``df``); at most ``n_buckets`` numbers reach the driver. They only balance the
-    buckets: results that use them stay exact whatever the cut points are.
+    They come from a mergeable quantile sketch; at most ``n_buckets`` numbers reach
+    the driver. ``offset`` moves all cuts down by that share of a part.
     """
-    probabilities = [i / n_buckets for i in range(1, n_buckets)]
-    source = (sample if sample is not None else df).select(F.col(value).cast("double").alias(value))
-    cuts = sorted(set(source.approxQuantile(value, probabilities, 1.0 / (4 * n_buckets))))
+    probabilities = [p for i in range(1, n_buckets + (offset > 0)) if 0 < (p := (i - offset) / n_buckets) < 1]
+    if not probabilities:
+        return []
+    source = df.select(F.col(value).cast("double").alias(value))
+    return sorted(set(source.approxQuantile(value, probabilities, 1.0 / (4 * n_buckets))))
+
+
+def with_cut_bucket(df: DataFrame, value: str, out: str, cuts: Sequence[float]) -> DataFrame:
+    """Add the number of the range between ``cuts`` that ``value`` falls into, as a double."""
     if not cuts:
         return df.withColumn(out, F.lit(0.0))
     as_double = f"__{out}_double"
     splits = [float("-inf"), *cuts, float("inf")]
-    bucketizer = Bucketizer(
-        splits=splits, inputCol=as_double, outputCol=out, handleInvalid="keep"
-    )
-    return bucketizer.transform(df.withColumn(as_double, F.col(value).cast("double"))).drop(
-        as_double
-    )
+    bucketizer = Bucketizer(splits=splits, inputCol=as_double, outputCol=out, handleInvalid="keep")
+    return bucketizer.transform(df.withColumn(as_double, F.col(value).cast("double"))).drop(as_double)
+
+
+def with_value_bucket(
+    df: DataFrame, value: str, out: str, n_buckets: int = BUCKETS, sample: DataFrame | None = None
+) -> DataFrame:
+    """Add an order-preserving bucket number with about equal rows per bucket.
+
+    The cut points come from ``sample`` (or ``df``). They only balance the buckets:
+    results that use them stay exact whatever the cut points are.
+    """
+    return with_cut_bucket(df, value, out, value_cuts(df if sample is None else sample, value, n_buckets))
 
 
 def null_safe_join(
@@ -91,6 +106,46 @@ def rank_in_groups(
     )
 
 
+def _finer(tagged: DataFrame, value: str, levels: Sequence[str], below: str, n_buckets: int, bucket_rows: int) -> DataFrame:
+    """Cut every range of ``levels`` that holds more than ``bucket_rows`` rows again; ``below`` numbers its parts.
+
+    The cut points of a range come from a sketch of its own rows: one row per range.
+    """
+    shares = [i / n_buckets for i in range(1, n_buckets)]
+    as_double = F.col(value).cast("double")
+    cuts = (
+        tagged.groupBy(*levels)
+        .agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(as_double, shares, 4 * n_buckets).alias("__cuts"))
+        .where(F.col("__n") > bucket_rows)
+        .drop("__n")
+    )
+    joined = tagged.join(cuts, list(levels), "left")
+    return joined.withColumn(below, F.coalesce(F.size(F.filter("__cuts", lambda c: c < as_double)), F.lit(0))).drop("__cuts")
+
+
+def scan_ranges(
+    df: DataFrame, value: str, n_buckets: int = BUCKETS, sample: DataFrame | None = None, bucket_rows: int = BUCKET_ROWS
+) -> tuple[DataFrame, list[str]]:
+    """``df`` with the columns that number nested, order-preserving ranges, and their names.
+
+    The last ranges hold at most ``bucket_rows`` distinct values; how many levels that
+    takes follows from the row count.
+    """
+    levels = ["__l0"]
+    # The sketch leaves a range at most one and a half times its even share.
+    most = (df if sample is None else sample).count() * 2 // n_buckets
+    if most > bucket_rows:
+        df = write_table(df, fresh_path(df.sparkSession, "distinct-values"))
+    tagged = with_value_bucket(df, value, levels[0], n_buckets, sample)
+    # Rows without a value are a range below all others.
+    tagged = tagged.withColumn(levels[0], F.coalesce(levels[0], F.lit(-1.0)))
+    while most > bucket_rows:
+        most = most * 2 // n_buckets
+        tagged = _finer(tagged, value, levels, f"__l{len(levels)}", n_buckets, bucket_rows)
+        levels.append(f"__l{len(levels)}")
+    return tagged, levels
+
+
 def running_totals(
     df: DataFrame,
     value: str,
@@ -98,33 +153,43 @@ def running_totals(
     descending: bool = True,
     n_buckets: int = BUCKETS,
     sample: DataFrame | None = None,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add ``cum_<measure>``: totals over all rows up to and including this one.
 
-    ``df`` must hold one row per distinct ``value``.
+    ``df`` must hold one row per distinct ``value`` (NaN and null have a range of their
+    own), ``sample`` at least as many. A scan whose number of levels follows the row
+    count: values are cut into ``n_buckets`` ranges, and ranges that may hold more than
+    ``bucket_rows`` rows are cut again. A level's offsets are running sums over the
+    ranges of one range above; only rows of one last range are ordered together.
+    ``bucket_rows`` changes no value.
     """
-    tagged = with_value_bucket(df, value, "__bucket", n_buckets, sample)
-    totals = tagged.groupBy("__bucket").agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
+    tagged, levels = scan_ranges(df, value, n_buckets, sample, bucket_rows)
     direction = F.desc if descending else F.asc
-    # One row per bucket: bounded by n_buckets, whatever the input size.
-    before = Window.orderBy(direction("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        F.col("__bucket").alias("__ob"),
-        *[F.coalesce(F.sum(f"__t_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures],
-    )
-    inside = (
-        Window.partitionBy("__bucket")
-        .orderBy(direction(value))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    sums = tagged.groupBy(*levels).agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
+    offsets = None
+    for depth, level in enumerate(levels):
+        above = levels[:depth]
+        here = sums
+        if depth + 1 < len(levels):
+            here = sums.groupBy(*above, level).agg(*[F.sum(f"__t_{m}").alias(f"__t_{m}") for m in measures])
+        # At most n_buckets rows per range above.
+        before = Window.partitionBy(*above).orderBy(direction(level)).rowsBetween(Window.unboundedPreceding, -1)
+        own = [F.coalesce(F.sum(f"__t_{m}").over(before), F.lit(0)).alias(f"__o{depth}_{m}") for m in measures]
+        here = here.select(*above, level, *own)
+        offsets = here if offsets is None else here.join(offsets, above)
+    inside = Window.partitionBy(*levels).orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = tagged.select("*", *[F.sum(m).over(inside).alias(f"__l_{m}") for m in measures])
-    return (
-        local.join(F.broadcast(offsets), F.col("__bucket").eqNullSafe(F.col("__ob")))
-        .select(
-            *df.columns,
-            *[(F.col(f"__o_{m}") + F.col(f"__l_{m}")).alias(f"cum_{m}") for m in measures],
-        )
-    )
+    if len(levels) == 1:
+        offsets = F.broadcast(offsets)
+    found = local.join(offsets, levels)
+    totals = []
+    for m in measures:
+        total = F.col(f"__l_{m}")
+        for depth in range(len(levels)):
+            total = total + F.col(f"__o{depth}_{m}")
+        totals.append(total.alias(f"cum_{m}"))
+    return found.select(*df.columns, *totals)
 
 
 def melt(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFrame:

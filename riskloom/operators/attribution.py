@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -46,13 +47,17 @@ def linear_attributions(
 
 
 def tree_table(spark: SparkSession, model: GBTClassificationModel) -> pd.DataFrame:
-    """All nodes of the fitted trees; its size is fixed by tree count and depth."""
+    """All nodes of the fitted trees; its size is fixed by tree count and depth.
+
+    ``cover`` is the weight of the training rows that reached a node.
+    """
     path = fresh_path(spark, "trees")
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"),
         F.col("nodeData.id").alias("id"),
         F.col("nodeData.prediction").alias("prediction"),
+        F.get(F.col("nodeData.impurityStats"), F.lit(0)).alias("cover"),
         F.col("nodeData.leftChild").alias("left"),
         F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
@@ -61,61 +66,127 @@ def tree_table(spark: SparkSession, model: GBTClassificationModel) -> pd.DataFra
     return nodes.toPandas().sort_values(["tree", "id"], ignore_index=True)
 
 
-def _path_contributions(x: np.ndarray, trees: list[dict], weights: Sequence[float]) -> np.ndarray:
-    """Per row and feature: the change of node means along the row's paths."""
+#: Paths with more distinct features than this get their subset weights per row, not per pattern.
+PATTERN_FEATURES = 10
+
+
+def subset_weights(inside: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Shapley factors of one leaf's value, per row of ``inside`` and path feature.
+
+    ``inside[r, j]`` says whether the row meets all conditions on feature j,
+    ``shares[j]`` which share of the training weight does. The weights of all
+    feature subsets by size are extended feature by feature; for each feature its
+    own extension is then unwound again.
+    """
+    n, m = inside.shape
+    one, zero = inside.astype(float), shares.astype(float)
+    weights = np.zeros((n, m + 1))
+    weights[:, 0] = 1.0
+    for j in range(m):
+        size = j + 1
+        for k in range(j, -1, -1):
+            weights[:, k + 1] += one[:, j] * weights[:, k] * (k + 1) / (size + 1)
+            weights[:, k] *= zero[j] * (size - k) / (size + 1)
+    factors = np.empty((n, m))
+    for j in range(m):
+        taken, total, untaken = weights[:, m].copy(), np.zeros(n), np.zeros(n)
+        for k in range(m - 1, -1, -1):
+            part = taken / (k + 1)
+            total += part
+            taken = weights[:, k] - part * zero[j] * (m - k)
+            if zero[j] > 0:
+                untaken += weights[:, k] / (zero[j] * (m - k))
+        factors[:, j] = np.where(inside[:, j], total, untaken) * (m + 1) * (one[:, j] - zero[j])
+    return factors
+
+
+@dataclass(frozen=True)
+class Leaf:
+    """A leaf by the interval ``low < x <= high`` each feature of its path must lie in."""
+
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    shares: np.ndarray
+    value: float
+    #: Contribution per pattern of met intervals, or None for very long paths.
+    table: np.ndarray | None
+
+
+def ensemble_leaves(nodes: pd.DataFrame, weights: Sequence[float]) -> tuple[list[Leaf], float]:
+    """All leaves of weighted trees, and the mean value of a training row.
+
+    ``nodes`` holds ``tree, id, prediction, cover, left, right, feature, threshold``;
+    ids are places within the tree, a negative ``left`` marks a leaf, and a row goes
+    left if its value is at most the threshold.
+    """
+    leaves, base = [], 0.0
+    for (_, part), weight in zip(nodes.groupby("tree"), weights, strict=True):
+        rows = part.set_index("id")
+        open_nodes: list[tuple[int, dict]] = [(rows.index[0], {})]
+        root = rows["cover"].iloc[0]
+        while open_nodes:
+            at, path = open_nodes.pop()
+            node = rows.loc[at]
+            if node["left"] >= 0:
+                feature, cut = int(node["feature"]), float(node["threshold"])
+                low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
+                for child, bounds in ((node["left"], (low, min(high, cut))), (node["right"], (max(low, cut), high))):
+                    step = share * rows.at[int(child), "cover"] / node["cover"]
+                    open_nodes.append((int(child), {**path, feature: (*bounds, step)}))
+                continue
+            value = float(weight * node["prediction"])
+            base += value * node["cover"] / root
+            if path:
+                features = np.array(sorted(path))
+                low, high, shares = np.array([path[f] for f in features]).T
+                table = None
+                if len(features) <= PATTERN_FEATURES:
+                    patterns = np.arange(2 ** len(features))[:, None] >> np.arange(len(features)) & 1
+                    table = value * subset_weights(patterns == 1, shares)
+                leaves.append(Leaf(features, low, high, shares, value, table))
+    return leaves, base
+
+
+def leaf_contributions(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
+    """Shapley value of every feature for every row of ``x``."""
     out = np.zeros_like(x)
-    every = np.arange(len(x))
-    for tree, weight in zip(trees, weights):
-        at = np.zeros(len(x), dtype=int)
-        active = tree["left"][at] >= 0
-        while active.any():
-            rows = every[active]
-            node = at[active]
-            split = tree["feature"][node]
-            go_left = x[rows, split] <= tree["threshold"][node]
-            child = np.where(go_left, tree["left"][node], tree["right"][node])
-            step = tree["prediction"][child] - tree["prediction"][node]
-            np.add.at(out, (rows, split), weight * step)
-            at[active] = child
-            active = tree["left"][at] >= 0
+    for leaf in leaves:
+        values = x[:, leaf.features]
+        inside = (values > leaf.low) & (values <= leaf.high)
+        if leaf.table is None:
+            out[:, leaf.features] += leaf.value * subset_weights(inside, leaf.shares)
+        else:
+            out[:, leaf.features] += leaf.table[inside @ (1 << np.arange(inside.shape[1]))]
     return out
 
 
-def tree_attributions(
-    df: DataFrame, model: GBTClassificationModel, features: Sequence[str], ids: Sequence[str]
+def shapley_attributions(
+    df: DataFrame, nodes: pd.DataFrame, weights: Sequence[float], features: Sequence[str], ids: Sequence[str]
 ) -> DataFrame:
-    """Long form for boosted trees: contributions to the margin along tree paths.
+    """Long form: path-dependent Shapley values of the weighted trees in ``nodes``.
 
-    ``base_value`` plus a row's contributions equals its margin exactly. The tree
-    table is small and fixed, so it is broadcast; rows stream through Arrow batches.
+    A feature that is not known takes both ways of a split by the training weight of
+    each; the value is the feature's mean effect over all orders of getting known.
+    ``base_value`` plus a row's contributions is its margin. The leaves are few and
+    fixed by the fit, so they are broadcast; rows stream through Arrow batches.
     """
     spark = df.sparkSession
-    table = tree_table(spark, model)
-    trees = [
-        {c: part[c].to_numpy() for c in ("prediction", "left", "right", "feature", "threshold")}
-        for _, part in table.groupby("tree")
-    ]
-    weights = [float(w) for w in model.treeWeights]
-    base = float(sum(w * t["prediction"][0] for w, t in zip(weights, trees)))
-    shared = spark.sparkContext.broadcast((trees, weights))
+    leaves, base = ensemble_leaves(nodes, weights)
+    shared = spark.sparkContext.broadcast(leaves)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own_trees, own_weights = shared.value
         for batch in batches:
             if len(batch):
                 x = np.stack(batch["x"].to_numpy())
                 batch = batch.drop(columns="x")
-                batch["contributions"] = list(_path_contributions(x, own_trees, own_weights))
+                batch["contributions"] = list(leaf_contributions(x, shared.value))
                 yield batch
 
     raw = F.array(*[F.col(c).cast("double") for c in features])
-    vectors = assemble(df, features).select(
-        *ids, raw.alias("raw"), vector_to_array("features").alias("x")
-    )
+    vectors = assemble(df, features).select(*ids, raw.alias("raw"), vector_to_array("features").alias("x"))
     schema = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in ids)
-    wide = vectors.mapInPandas(
-        explain, f"{schema}, raw array<double>, contributions array<double>"
-    )
+    wide = vectors.mapInPandas(explain, f"{schema}, raw array<double>, contributions array<double>")
     rows = F.array(
         *[
             F.struct(
@@ -129,6 +200,23 @@ def tree_attributions(
     return wide.select(*ids, F.lit(base).alias("base_value"), F.inline(rows))
 
 
+def tree_attributions(
+    df: DataFrame, model: GBTClassificationModel, features: Sequence[str], ids: Sequence[str]
+) -> DataFrame:
+    """Shapley values of fitted boosted trees with respect to their margin."""
+    nodes = tree_table(df.sparkSession, model)
+    return shapley_attributions(df, nodes, [float(w) for w in model.treeWeights], features, ids)
+
+
+def attribution_gaps(attributions: DataFrame, margins: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Per row the number of contributions and what they, with the base value, miss of ``margin``."""
+    sums = attributions.groupBy(*ids).agg(
+        F.count(F.lit(1)).alias("features"), (F.max("base_value") + F.sum("attribution")).alias("total")
+    )
+    gap = F.round(F.abs(F.col("total") - F.col("margin")), 6)
+    return sums.join(margins, list(ids)).select(*ids, "features", gap.alias("gap"))
+
+
 def wide_attributions(long: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
     """One column per feature, as the stored attribution matrix has them."""
     return long.groupBy(*ids).agg(

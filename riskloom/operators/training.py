@@ -8,7 +8,6 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -242,19 +241,6 @@ def three_way_comparison(
     return result.withColumn("warning", note)
 
 
-def calibrate_isotonic(fit_on: DataFrame, apply_to: DataFrame) -> DataFrame:
-    """Monotone map of ``score`` to observed frequency: adds ``calibrated``.
-
-    The fit takes one weighted row per distinct score, so its pooling works on
-    scores, not on rows.
-    """
-    per_score = fit_on.groupBy("score").agg(
-        F.avg(F.col("y").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("rows")
-    )
-    model = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="rows").fit(per_score)
-    return model.transform(apply_to).withColumnRenamed("prediction", "calibrated")
-
-
 def feature_importance(
     spark: SparkSession, model: GBTClassificationModel, names: Sequence[str], k: int = 20
 ) -> DataFrame:

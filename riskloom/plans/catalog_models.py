@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from riskloom.operators import (
     attribution,
     explain,
     graph,
+    isotonic,
     joins,
     labels,
     metrics,
@@ -804,13 +806,30 @@ def three_way_comparison(spark, folder):
     )
 
 
-@query("calibrate_isotonic")
+# The plain definition: the largest, over all starts, of the smallest mean from there to any later end.
+_ISOTONIC = """sp AS (SELECT id, y, score, CASE WHEN rn <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS split FROM rk),
+  ds AS (SELECT score AS x, sum(y) AS p, count(*) AS n, row_number() OVER (ORDER BY score) AS i FROM sp WHERE split = 'test' GROUP BY score),
+  cs AS (SELECT *, sum(p) OVER (ORDER BY i) AS cp, sum(n) OVER (ORDER BY i) AS cn FROM ds),
+  mean AS (SELECT a.i AS j, b.i AS k, (b.cp - a.cp + a.p) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS m FROM cs a JOIN cs b ON b.i >= a.i),
+  low AS (SELECT k AS i, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS low FROM mean),
+  knot AS (SELECT x, level FROM (SELECT i, max(low) AS level FROM low GROUP BY i) JOIN ds USING (i))"""
+
+
+@query(
+    "calibrate_isotonic",
+    more(
+        "sc",
+        _ORDERED + ",\n  " + _ISOTONIC,
+        """SELECT id, y, score, round(CASE WHEN l.x IS NULL THEN r.level WHEN r.x IS NULL OR r.x = l.x THEN l.level
+    ELSE l.level + (r.level - l.level) * (score - l.x) / (r.x - l.x) END, 6) AS calibrated
+FROM sp ASOF LEFT JOIN knot l ON score >= l.x ASOF LEFT JOIN knot r ON score <= r.x WHERE split = 'train'""",
+    ),
+)
 def calibrate_isotonic(spark, folder):
     scored = bind.scored(spark, folder)
     split = splits.stratified_holdout(scored, ["id"], splits.id_hash(F.col("id")), "y")
-    return training.calibrate_isotonic(
-        split.filter("split = 'test'"), split.filter("split = 'train'")
-    ).select("id", "y", "score", "calibrated")
+    calibrated = isotonic.calibrate_isotonic(split.filter("split = 'test'"), split.filter("split = 'train'"))
+    return calibrated.select("id", "y", "score", F.round("calibrated", 6).alias("calibrated"))
 
 
 @query("training_loss")
@@ -870,6 +889,81 @@ def tree_attributions(spark, folder):
     return attribution.tree_attributions(matrix, model, bind.FEATURES, ROW_KEYS)
 
 
+@query(
+    "tree_attribution_gaps",
+    sql("fm", "SELECT repo_name, file_path, window_no, CAST(9 AS BIGINT) AS features, CAST(0 AS DOUBLE) AS gap FROM fm"),
+)
+def tree_attribution_gaps(spark, folder):
+    """Contributions of a fitted model: one per feature, and in sum the row's margin."""
+    matrix = bind.stored_matrix(spark, folder)
+    model = training.train_boosted_trees(matrix, bind.FEATURES, SMALL_TREES)
+    long = attribution.tree_attributions(matrix, model, bind.FEATURES, ROW_KEYS)
+    margin = F.log(F.col("score") / (1 - F.col("score"))) / 2
+    margins = training.score_batch(model, matrix, bind.FEATURES).select(*ROW_KEYS, margin.alias("margin"))
+    return attribution.attribution_gaps(long, margins, ROW_KEYS)
+
+
+# Two trees over three metrics (tree, id, prediction, cover, left, right, feature, threshold); the first
+# splits twice on the same metric.
+FIXED_FEATURES = ["code_churn_90d", "commit_count_90d", "fix_density"]
+FIXED_NODES = [
+    (0, 0, 0.5, 64.0, 1, 2, 0, 60.0), (0, 1, 0.0, 48.0, 3, 4, 2, 0.25), (0, 2, 0.0, 16.0, 5, 6, 1, 2.0),
+    (0, 3, -0.5, 12.0, -1, -1, -1, 0.0), (0, 4, 0.0, 36.0, 7, 8, 0, 30.0), (0, 5, 1.0, 4.0, -1, -1, -1, 0.0),
+    (0, 6, 2.0, 12.0, -1, -1, -1, 0.0), (0, 7, 0.25, 9.0, -1, -1, -1, 0.0), (0, 8, 0.75, 27.0, -1, -1, -1, 0.0),
+    (1, 0, 0.0, 32.0, 1, 2, 2, 0.5), (1, 1, -1.0, 8.0, -1, -1, -1, 0.0), (1, 2, 0.0, 24.0, 3, 4, 1, 1.0),
+    (1, 3, 0.5, 18.0, -1, -1, -1, 0.0), (1, 4, 3.0, 6.0, -1, -1, -1, 0.0),
+]
+FIXED_WEIGHTS = [1.0, 0.5]
+
+
+def _expected(known: set[int]) -> str:
+    """SQL for the ensemble's value if only the features ``known`` are known, by walking every path."""
+    nodes = {(t, i): rest for t, i, *rest in FIXED_NODES}
+
+    def walk(tree: int, at: int, factor: str) -> list[str]:
+        prediction, cover, left, right, feature, threshold = nodes[tree, at]
+        if left < 0:
+            return [f"{factor} * {prediction * FIXED_WEIGHTS[tree]}"]
+        terms = []
+        for child, test in ((left, "<="), (right, ">")):
+            share = f"({nodes[tree, child][1]} / {cover})"
+            met = f"(CASE WHEN coalesce(CAST({FIXED_FEATURES[feature]} AS DOUBLE), -1) {test} {threshold} THEN 1e0 ELSE 0e0 END)"
+            terms += walk(tree, child, f"{factor} * {met if feature in known else share}")
+        return terms
+
+    return "(" + " + ".join(term for tree in (0, 1) for term in walk(tree, 0, "1e0")) + ")"
+
+
+def _shapley(feature: int) -> str:
+    """SQL for a feature's Shapley value: the weighted sum over all subsets of the other two."""
+    one, two = [f for f in range(3) if f != feature]
+    terms = [
+        f"{weight} * ({_expected({*rest, feature})} - {_expected(rest)})"
+        for rest, weight in ((set(), "1e0 / 3"), ({one}, "1e0 / 6"), ({two}, "1e0 / 6"), ({one, two}, "1e0 / 3"))
+    ]
+    return " + ".join(terms)
+
+
+@query(
+    "shapley_attributions",
+    sql(
+        "fm",
+        union_all(
+            f"SELECT repo_name, file_path, window_no, round({_expected(set())}, 9) AS base_value, '{name}' AS feature, "
+            f"CAST({name} AS DOUBLE) AS value, round({_shapley(i)}, 9) + 0e0 AS attribution FROM fm"
+            for i, name in enumerate(FIXED_FEATURES)
+        ),
+    ),
+)
+def shapley_attributions(spark, folder):
+    """Shapley values of stated trees, against the definition over all subsets."""
+    matrix = bind.stored_matrix(spark, folder)
+    columns = ["tree", "id", "prediction", "cover", "left", "right", "feature", "threshold"]
+    nodes = pd.DataFrame(FIXED_NODES, columns=columns)
+    long = attribution.shapley_attributions(matrix, nodes, FIXED_WEIGHTS, FIXED_FEATURES, ROW_KEYS)
+    return long.withColumns({c: F.round(c, 9) + 0.0 for c in ("attribution", "base_value")})
+
+
 @query(
     "top_features_per_row",
     more(

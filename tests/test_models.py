@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskloom.operators import attribution, explain, runs, training
+from riskloom.operators import attribution, explain, isotonic, runs, training
 from riskloom.plans import flows
 
 FEATURES = ["a", "b", "c"]
@@ -67,7 +67,7 @@ def test_linear_attributions_sum_to_score_minus_base(matrix):
 def test_isotonic_calibration_is_monotone(spark):
     rows = [(i, int(i % 7 > 3), i / 100) for i in range(100)]
     scored = spark.createDataFrame(rows, "id long, y int, score double")
-    got = training.calibrate_isotonic(scored, scored).orderBy("score").collect()
+    got = isotonic.calibrate_isotonic(scored, scored).orderBy("score").collect()
     values = [r["calibrated"] for r in got]
     assert values == sorted(values)
 

@@ -9,6 +9,7 @@ from riskloom.functions.ordering import (
     exact_quantiles,
     rank_in_groups,
     running_totals,
+    scan_ranges,
     with_value_bucket,
 )
 
@@ -68,6 +69,26 @@ def test_running_totals(spark, values, descending):
     assert list(got["cum_n"]) == list(got["n"].cumsum())
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_running_totals_over_several_levels(spark, descending):
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"value": np.unique(rng.exponential(2, 3000) ** 4), "n": 1}).assign(n=lambda f: rng.integers(0, 9, len(f)))
+    df = spark.createDataFrame(frame.sample(frac=1, random_state=1), "value double, n long")
+    tagged, levels = scan_ranges(df, "value", 8, bucket_rows=4)
+    sizes = tagged.groupBy(*levels).count().toPandas()["count"]
+    assert len(levels) > 2 and sizes.max() <= 4 and sizes.sum() == len(frame)
+    got = running_totals(df, "value", ["n"], descending, n_buckets=8, bucket_rows=4).toPandas()
+    got = got.sort_values("value", ascending=not descending)
+    assert list(got["cum_n"]) == list(got["n"].cumsum())
+
+
+def test_running_totals_of_null_and_nan(spark):
+    df = spark.createDataFrame([(None, 1), (float("nan"), 2), *[(float(i), 1) for i in range(40)]], "value double, n long")
+    got = {r.value: r.cum_n for r in running_totals(df, "value", ["n"], False, n_buckets=4, bucket_rows=4).collect() if r.value in range(40)}
+    assert len({r.value is None for r in running_totals(df, "value", ["n"], False).collect()}) == 2
+    assert sorted(got.values()) == [got[0.0] + i for i in range(40)]
+
+
 def test_buckets_keep_order(spark, values):
     df = spark.createDataFrame(values, "g string, value double")
     spans = (
