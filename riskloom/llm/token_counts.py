@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,36 +32,47 @@ class TokenCountParams:
     """``vocabulary``: path of a tokenizers file on every executor. ``limit``: tokens a document may have.
 
     ``frequent`` and ``frequent_bytes`` bound the pre-tokens that are broadcast, in
-    number and in bytes each. ``remembered`` bounds the words and pre-tokens a task
-    holds at a time. None of the three changes a result.
+    number and in bytes each. Neither changes a result.
     """
 
     vocabulary: str
     limit: int = 2048
     frequent: int = 500_000
     frequent_bytes: int = 128
-    remembered: int = 400_000
 
 
-#: Longer texts are cut into words piece by piece.
-SLICE = 4 * 2**20
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of text that are split at a time; a longer text is split by itself.
+SLICE = 16 * 2**20
+ROWS_SENT = 100_000
 #: Composed letters and marks that a lower-casing normaliser maps one by one.
-_LATIN = re.compile("[!-~¡-ÿ]+")
+_LATIN = "^[!-~¡-ÿ]+$"
+#: Fixed value: the splitting pattern of tokenizers with word ends.
+_USUAL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+_PLAIN = re.compile("[!-~]+")
 
 
-def word_counts(text: bytes) -> Counter:
-    """How often each run of bytes other than ASCII white space occurs."""
-    if len(text) <= SLICE:
-        return Counter(text.split())
-    counts: Counter = Counter()
-    start = 0
-    while start < len(text):
-        gap = _SPACE.search(text, start + SLICE)
-        end = gap.start() if gap else len(text)
-        counts.update(text[start:end].split())
-        start = end
-    return counts
+def text_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(first row, texts, their bytes) of slices of bounded size; null texts are empty."""
+    texts = pc.fill_null(batch.column("text"), "")
+    sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+    first = 0
+    while first < len(sizes):
+        fit = int(np.searchsorted(np.cumsum(sizes[first:]), SLICE, side="right")) or 1
+        yield first, texts.slice(first, fit), sizes[first : first + fit]
+        first += fit
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, and for every word of every text its place among them and its text's place.
+
+    Words are runs of characters other than ASCII white space; a text's ends may add empty ones.
+    """
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten().dictionary_encode()
+    of_text = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    return words.dictionary, words.indices.to_numpy(), of_text
 
 
 class WordCutter:
@@ -72,7 +83,7 @@ class WordCutter:
     pre-tokens is refused.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -90,11 +101,10 @@ class WordCutter:
         for gap in " \t\n\v\f\r":
             if self._by_library(f"ab{gap}1.{gap * 2}c") != [*self._by_library("ab"), *self._by_library("1."), *self._by_library("c")]:
                 raise ValueError(f"{path}: white space does not separate its pre-tokens")
-        self.half, self.known, self.recent = max(1, remembered // 2), {}, {}
 
     @staticmethod
     def _plain_pattern(spec: dict):
-        """The splitting pattern, if Latin words need no more than lower-casing and this pattern."""
+        """The splitting pattern as a group, if Latin words need no more than lower-casing and this pattern."""
         steps = spec["normalizer"] or {}
         steps = steps.get("normalizers", [steps])
         cuts = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
@@ -106,71 +116,86 @@ class WordCutter:
             and "Regex" in cuts[0]["pattern"] and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
             and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
         )
-        return regex.compile(cuts[0]["pattern"]["Regex"]) if plain else None
+        return f"({cuts[0]['pattern']['Regex']})" if plain else None
 
     def _by_library(self, text: str) -> list[str]:
         normal = self.normalizer.normalize_str(text) if self.normalizer else text
         return [normal[a:b] for _, (a, b) in self.pre.pre_tokenize_str(normal)]
 
-    def _cut(self, text: str) -> list[str]:
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens of one word, in order."""
         if self.special is not None:
             parts = self.special.split(text)
             if len(parts) > 1:
-                cuts = [[" " + p] if p in self.names else self._cut(p) for p in parts if p]
+                cuts = [[" " + p] if p in self.names else self.cut(p) for p in parts if p]
                 return [c for cut in cuts for c in cut]
-        if self.pattern is not None and _LATIN.fullmatch(text):
-            return self.pattern.findall(text.lower())
         return self._by_library(text)
 
-    def cut(self, word: bytes) -> list[str]:
-        """Pre-tokens of one word, in order; words of the last generations are remembered."""
-        found = self.recent.get(word)
-        if found is None:
-            found = self.known.get(word)
-            if found is None:
-                found = self._cut(word.decode("utf-8", "replace"))
-            if len(self.recent) >= self.half:
-                self.known, self.recent = self.recent, {}
-            self.recent[word] = found
-        return found
-
-    def frequencies(self, text: bytes) -> dict[str, int]:
-        """How often each pre-token occurs in a text."""
-        counts: dict[str, int] = {}
-        for word, n in word_counts(text).items():
-            for token in self.cut(word):
-                counts[token] = counts.get(token, 0) + n
-        return counts
+    def cut_all(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Pre-tokens of many words: the distinct ones, all as places among these, and each word's first and number.
+
+        Latin words without a special string are cut by one pattern at once, others by the library.
+        """
+        kind = np.zeros(len(words), np.int8)
+        parts, counts = [], []
+        if self.pattern is not None:
+            latin = pc.match_substring_regex(words, _LATIN)
+            for name in self.names:
+                latin = pc.and_(latin, pc.invert(pc.match_substring(words, name)))
+            lower = pc.utf8_lower(words.filter(latin))
+            head = pc.utf8_rtrim(lower, characters=_MARKS)
+            # Letters and then marks are two pre-tokens of the usual pattern; only the rest has to be matched.
+            simple = pc.and_(pc.utf8_is_alpha(head), pa.scalar(self.pattern == f"({_USUAL})"))
+            kind[latin.to_numpy(zero_copy_only=False)] = np.where(simple.to_numpy(zero_copy_only=False), 2, 1)
+            marks = pc.utf8_ltrim(lower.filter(simple), characters=_LETTERS)
+            spaced = pc.binary_join_element_wise(head.filter(simple), marks, " ")
+            matched = pc.replace_substring_regex(lower.filter(pc.invert(simple)), self.pattern, r"\1 ")
+            for marked in (spaced, matched):
+                lists = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(marked))
+                parts.append(lists.flatten())
+                counts.append(pc.list_value_length(lists).to_numpy())
+        hard = [self.cut(word) for word in words.filter(pa.array(kind == 0)).to_pylist()]
+        parts.append(pa.array([t for cut in hard for t in cut], pa.string()))
+        counts.append(np.fromiter(map(len, hard), np.int64, len(hard)))
+        order = np.concatenate([np.flatnonzero(kind == k) for k in ((2, 1, 0) if self.pattern is not None else (0,))])
+        together = np.concatenate(counts)
+        n, first = np.empty((2, len(words)), np.int64)
+        n[order], first[order] = together, np.cumsum(together) - together
+        tokens = pa.chunked_array(parts, pa.string()).combine_chunks().dictionary_encode()
+        return tokens.dictionary, tokens.indices.to_numpy(), first, n
+
+    def frequencies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Text, pre-token and number of times it occurs there; pre-tokens by their place in the last array."""
+        words, at, of_text = split_words(texts)
+        tokens, flat, first, n = self.cut_all(words)
+        # Every word becomes its pre-tokens.
+        n, first = n[at], first[at]
+        places = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        width = max(len(tokens), 1)
+        pairs, counts = np.unique(np.repeat(of_text, n) * width + flat[places], return_counts=True)
+        return (*np.divmod(pairs, width), counts, tokens)
 
     def pieces(self, token: str) -> int:
         """Tokens that one pre-token is split into."""
         if token.startswith(" "):
             return 1
+        if self.pattern is not None and _PLAIN.fullmatch(token):
+            return len(self.model.tokenize(token))
         return sum(len(self.model.tokenize(piece)) for piece, _ in self.pre.pre_tokenize_str(token))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
-    for value in batch.column("text").cast(pa.binary()):
-        yield value.as_py() or b""
-
-
 def _vocabulary_batches(params: TokenCountParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = WordCutter(params.vocabulary, params.remembered)
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "n_docs"])
-            seen.clear()
-            return out
-
+        cutter = WordCutter(params.vocabulary)
         for batch in batches:
-            for text in _texts(batch):
-                seen.update(cutter.frequencies(text).keys())
-                if len(seen) >= params.remembered:
-                    yield flush()
-        if seen:
-            yield flush()
+            for _, texts, _ in text_slices(batch):
+                words, at, _ = split_words(texts)
+                tokens, flat, first, n = cutter.cut_all(words)
+                times = np.bincount(at, minlength=len(words))
+                places = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                totals = np.zeros(len(tokens), np.int64)
+                np.add.at(totals, flat[places], np.repeat(times, n))
+                yield pa.RecordBatch.from_arrays([tokens, pa.array(totals)], names=["token", "n"])
 
     return run
 
@@ -186,26 +211,26 @@ def _piece_batches(path: str):
 
 
 def vocabulary_pieces(docs: DataFrame, params: TokenCountParams, text_col: str = "text") -> DataFrame:
-    """(token, n_docs, pieces) for every distinct pre-token of the texts; stored.
+    """(token, n, pieces) for every distinct pre-token of the texts; stored.
 
-    ``n_docs``: documents that hold it. A task combines what it has seen before the
+    ``n``: times it occurs. A task combines a slice of texts before the
     shuffle; each distinct pre-token reaches the tokenizer once.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    seen = texts.mapInArrow(_vocabulary_batches(params), "token string, n_docs bigint")
-    distinct = seen.groupBy("token").agg(F.sum("n_docs").alias("n_docs"))
-    counted = distinct.mapInArrow(_piece_batches(params.vocabulary), "token string, n_docs bigint, pieces bigint")
+    seen = texts.mapInArrow(_vocabulary_batches(params), "token string, n bigint")
+    distinct = seen.groupBy("token").agg(F.sum("n").alias("n"))
+    counted = distinct.mapInArrow(_piece_batches(params.vocabulary), "token string, n bigint, pieces bigint")
     return stored(counted, "pre-tokens")
 
 
-def _least_documents(vocabulary: DataFrame, params: TokenCountParams) -> int:
-    """The smallest number of documents that at most ``frequent`` short pre-tokens reach.
+def _least_occurrences(vocabulary: DataFrame, params: TokenCountParams) -> int:
+    """The smallest number of occurrences that at most ``frequent`` short pre-tokens reach.
 
-    A histogram of a few hundred rows decides: exact up to 64 documents, eight steps per doubling above.
+    A histogram of a few hundred rows decides: exact up to 64 occurrences, eight steps per doubling above.
     """
-    level = F.when(F.col("n_docs") <= 64, F.col("n_docs")).otherwise(F.floor(F.log2("n_docs") * 8) + 64)
+    level = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.log2("n") * 8) + 64)
     short = vocabulary.where(F.octet_length("token") <= params.frequent_bytes)
-    levels = short.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("n_docs").alias("least")).collect()
+    levels = short.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("n").alias("least")).collect()
     least, total = 1 << 62, 0
     for row in sorted(levels, key=lambda r: -r["level"]):
         total += row["n"]
@@ -215,43 +240,30 @@ def _least_documents(vocabulary: DataFrame, params: TokenCountParams) -> int:
     return least
 
 
-def _frequency_batches(params: TokenCountParams, id_type: pa.DataType | None = None):
+def _frequency_batches(params: TokenCountParams):
+    names = ["row", "id", "n_bytes", "token", "n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = WordCutter(params.vocabulary, params.remembered)
+        cutter = WordCutter(params.vocabulary)
         row = TaskContext.get().partitionId() << 40
-
         for batch in batches:
             ids = batch.column("id")
-            rows, tokens, counts, heads, sizes = [], [], [], [], []
-
-            def flush(first: int, last: int) -> Iterator[pa.RecordBatch]:
+            for first, texts, sizes in text_slices(batch):
                 # One row per document carries its id and size, the others a pre-token each.
-                none = pa.nulls(len(tokens), pa.int64())
+                heads = pa.array(row + np.arange(len(texts)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(heads, pa.int64()), ids.slice(first, last - first), pa.array(sizes, pa.int64()),
-                     pa.nulls(len(heads), pa.string()), pa.nulls(len(heads), pa.int64())],
-                    names=["row", "id", "n_bytes", "token", "n"],
-                )
-                if tokens:
+                    [heads, ids.slice(first, len(texts)), pa.array(sizes), pa.nulls(len(texts), pa.string()), pa.nulls(len(texts), pa.int64())],
+                    names=names,
+                )
+                of_text, at, counts, tokens = cutter.frequencies(texts)
+                for i in range(0, len(at), ROWS_SENT):
+                    part = slice(i, i + ROWS_SENT)
+                    n = len(at[part])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows, pa.int64()), pa.nulls(len(tokens), ids.type), none, pa.array(tokens, pa.string()), pa.array(counts, pa.int64())],
-                        names=["row", "id", "n_bytes", "token", "n"],
+                        [pa.array(row + of_text[part]), pa.nulls(n, ids.type), pa.nulls(n, pa.int64()), tokens.take(pa.array(at[part])), pa.array(counts[part])],
+                        names=names,
                     )
-                for done in (rows, tokens, counts, heads, sizes):
-                    done.clear()
-
-            first = 0
-            for i, text in enumerate(_texts(batch)):
-                found = cutter.frequencies(text)
-                heads.append(row)
-                sizes.append(len(text))
-                rows.extend([row] * len(found))
-                tokens.extend(found)
-                counts.extend(found.values())
-                row += 1
-                if len(tokens) >= 200_000 or i + 1 == batch.num_rows:
-                    yield from flush(first, i + 1)
-                    first = i + 1
+                row += len(texts)
 
     return run
 
@@ -272,13 +284,13 @@ def token_counts(docs: DataFrame, params: TokenCountParams, id_col: str = "doc_i
 
     The count is that of the library for the whole text: no begin, end or padding,
     special strings inside texts one token each. A null text is empty (0 bytes, 0
-    tokens). Repeated rows and equal or null ids give a row each. A text of any
-    length is cut in slices; only its distinct pre-tokens are held. An empty table
+    tokens). Repeated rows and equal or null ids give a row each. Texts
+    are split in slices of bounded size, a longer one by itself. An empty table
     gives no rows. Other columns are not read, whatever their names.
     """
     vocabulary = vocabulary_pieces(docs, params, text_col)
-    least = _least_documents(vocabulary, params)
-    often = (F.col("n_docs") >= least) & (F.octet_length("token") <= params.frequent_bytes)
+    least = _least_occurrences(vocabulary, params)
+    often = (F.col("n") >= least) & (F.octet_length("token") <= params.frequent_bytes)
     frequent, rare = vocabulary.where(often).select("token", "pieces"), vocabulary.where(~often).select("token", "pieces")
     met = pretoken_frequencies(docs, params, id_col, text_col).join(F.broadcast(frequent), "token", "left")
     # What is known collapses to one row per document; a rare pre-token keeps its own.

@@ -5,17 +5,18 @@ from __future__ import annotations
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from riskloom.llm import token_counts as counting
-from riskloom.llm.token_counts import TokenCountParams, WordCutter, token_counts, word_counts
+from riskloom.llm.token_counts import TokenCountParams, WordCutter, text_slices, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-CUTTER = WordCutter(PATH, 20)
+CUTTER = WordCutter(PATH)
 TEXTS = [
     None, "", " \t\n\x0b ", "Hello, hello HELLO world!", "it's they're I'M 'tis o'clock ''s 'S 'Re", "café café STRASSE Straße ÉÀ ŸŽ",
     "a b\u0085c d　e", "<|endoftext|> x<|startoftext|>y <|ENDOFTEXT|> <|endoftext|><|endoftext|>.<|endof", "3.14 1,000 x2y ¼² ٣",
@@ -29,7 +30,8 @@ def library(text):
 
 
 def summed(text):
-    return sum(n * CUTTER.pieces(t) for t, n in CUTTER.frequencies((text or "").encode()).items())
+    _, at, counts, tokens = CUTTER.frequencies(pa.array([text or ""], pa.string()))
+    return sum(int(n) * CUTTER.pieces(tokens[int(t)].as_py()) for t, n in zip(at, counts, strict=True))
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -56,7 +58,7 @@ def test_every_way_gives_the_library_count(spark, frequent):
     texts = TEXTS + [" ".join(rng.choice(["tor", "Mole,", "éa", "zz9"]) + str(rng.randint(0, 30)) for _ in range(900)) for _ in range(20)]
     rows = [(None if i % 7 == 0 else i % 11, t, "x", i) for i, t in enumerate(texts)] + [(3, "Hello", None, None)] * 4
     want = sorted((i, len((t or "").encode()), library(t), library(t) > 2048) for i, t, *_ in rows if i is not None)
-    got = rows_of(spark, rows, frequent=frequent, frequent_bytes=40, remembered=50)
+    got = rows_of(spark, rows, frequent=frequent, frequent_bytes=40)
     assert sorted(r for r in got if r[0] is not None) == want
     assert sorted(r[1:] for r in got if r[0] is None) == sorted(
         (len((t or "").encode()), library(t), library(t) > 2048) for i, t, *_ in rows if i is None
@@ -67,8 +69,14 @@ def test_empty_table_and_long_text(spark, monkeypatch):
     assert rows_of(spark, []) == []
     text = ("some words, and more; " * 400_000) + "end"
     assert rows_of(spark, [(1, text, "", 0)]) == [(1, len(text), 400_000 * library("some words, and more;") + 1, True)]
-    monkeypatch.setattr(counting, "SLICE", 5)
-    assert word_counts(b" aa b  ccccccccc aa\n\nb") == {b"aa": 2, b"b": 2, b"ccccccccc": 1}
+    monkeypatch.setattr(counting, "SLICE", 6)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["aaa b", None, "", "ccccccccc", "d", "e f\n"])})
+    slices = [(first, texts.to_pylist(), sizes.tolist()) for first, texts, sizes in text_slices(batch)]
+    assert slices == [(0, ["aaa b", "", ""], [5, 0, 0]), (3, ["ccccccccc"], [9]), (4, ["d", "e f\n"], [1, 4])]
+    of_text, at, counts, tokens = CUTTER.frequencies(pa.array(["b a,  a\n", "", "a b b"]))
+    assert sorted((int(i), tokens[int(t)].as_py(), int(n)) for i, t, n in zip(of_text, at, counts, strict=True)) == [
+        (0, ",", 1), (0, "a", 2), (0, "b", 1), (2, "a", 1), (2, "b", 2),
+    ]
 
 
 def test_refuses_tokenizers_that_keep_white_space():
