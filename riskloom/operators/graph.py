@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from riskloom.operators.structure import ast_nodes, distinct_sources
 from riskloom.session import fresh_path
 from riskloom.sources.tables import write_table
 
@@ -36,19 +40,71 @@ def _usable(min_nodes: int, max_nodes: int | None) -> Column:
     return (size >= min_nodes) if max_nodes is None else size.between(min_nodes, max_nodes)
 
 
-def graphs_left_out(nodes: DataFrame, min_nodes: int = MIN_NODES, max_nodes: int | None = None) -> DataFrame:
-    """How many graphs the bounds leave out, and how many stay: one row."""
-    usable = _usable(min_nodes, max_nodes)
-    return _graph_totals(nodes).agg(
-        F.count_if(usable).alias("graphs"), F.count_if(~usable).alias("graphs_left_out")
+def _all_sizes(nodes: DataFrame) -> DataFrame:
+    linked = F.col("n_children") + F.col("parent_idx").isNotNull().cast("int")
+    return nodes.groupBy("digest").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum(linked).alias("n_edges"))
+
+
+def graph_sizes(nodes: DataFrame, min_nodes: int = MIN_NODES, max_nodes: int | None = None) -> DataFrame:
+    """Nodes and directed edges per usable graph, in one aggregation."""
+    return _all_sizes(nodes).filter(_usable(min_nodes, max_nodes))
+
+
+@dataclass(frozen=True)
+class GraphDataset:
+    """Rows of the files that can be trained on, and one row that says what became of all files."""
+
+    rows: DataFrame
+    counts: DataFrame
+
+
+#: What can become of a file, in the order it is decided.
+OUTCOMES = ("unlabeled", "unparsed", "out_of_bounds", "kept")
+
+
+def build_graph_dataset(
+    sources: DataFrame,
+    labels: DataFrame,
+    keys: Sequence[str] = ("repo_name", "file_path"),
+    min_nodes: int = MIN_NODES,
+    max_nodes: int | None = None,
+) -> GraphDataset:
+    """``digest, n_nodes, n_edges, is_buggy`` of every labeled file whose text gives a usable graph.
+
+    ``sources`` holds one ``source_code`` per file, ``labels`` one ``is_buggy``. The
+    pass that writes the rows also counts the files without a label, with a text that
+    does not parse (or none) and with a graph outside the bounds. Texts of unlabeled
+    files are not parsed, equal texts are parsed once, and nothing is parsed again.
+    """
+    spark = sources.sparkSession
+    marked = sources.select(*keys, "source_code").join(labels.select(*keys, "is_buggy"), list(keys), "left")
+    text = F.when(F.col("is_buggy").isNotNull(), F.col("source_code"))
+    marked = write_table(
+        marked.select(*keys, "is_buggy", F.sha2(text, 256).alias("digest"), text.alias("source_code")), fresh_path(spark, "labeled-sources")
     )
+    sizes = _all_sizes(ast_nodes(distinct_sources(marked)))
+    outcome = (
+        F.when(F.col("is_buggy").isNull(), "unlabeled").when(F.col("n_nodes").isNull(), "unparsed")
+        .when(~_usable(min_nodes, max_nodes), "out_of_bounds").otherwise("kept")
+    )
+    decided = marked.drop("source_code").join(sizes, "digest", "left").withColumn("outcome", outcome)
+    seen = Observation("graph dataset")
+    observed = decided.observe(seen, F.count(F.lit(1)).alias("files"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])
+    kept = observed.filter("outcome = 'kept'").select(*keys, "digest", "n_nodes", "n_edges", "is_buggy")
+    rows = write_table(kept, fresh_path(spark, "graph-dataset"))
+    # A table without rows is planned away together with its metrics.
+    found = dict.fromkeys(("files", *OUTCOMES), 0) if marked.isEmpty() else seen.get
+    counts = spark.createDataFrame(
+        [tuple(found[c] for c in ("files", *OUTCOMES))], ", ".join(f"{c} bigint" for c in ("files", *OUTCOMES))
+    )
+    return GraphDataset(rows, counts)
 
 
 def graph_nodes(nodes: DataFrame, min_nodes: int = MIN_NODES, max_nodes: int | None = None) -> DataFrame:
     """Nodes of usable graphs with depth and child count scaled to their graph.
 
     Graphs below ``min_nodes`` have no shape worth embedding; an upper bound is the
-    caller's choice. :func:`graphs_left_out` counts what the bounds leave out. The
+    caller's choice. ``nodes`` is read twice, so it should be a stored table. The
     totals are combined before their shuffle and joined back.
     """
     sized = nodes.select("digest", "idx", "parent_idx", "type", "depth", "n_children").join(
@@ -149,10 +205,3 @@ def graph_embedding(nodes: DataFrame, hops: int = HOPS, dim: int = EMBEDDING_DIM
     return model.transform(vectors).select(
         "digest", vector_to_array("projected", "float32").alias("embedding")
     )
-
-
-def graph_sizes(nodes: DataFrame) -> DataFrame:
-    """Nodes and directed edges per usable graph."""
-    return graph_nodes(nodes).groupBy("digest").agg(
-        F.count(F.lit(1)).alias("n_nodes"), F.sum("degree").alias("n_edges")
-    )

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.text import base_name, not_blank
+from riskloom.functions.text import base_name
 from riskloom.functions.timing import plus_days
+from riskloom.operators.history import BLANK, KEYS, History
 
 
 def match_modules_to_history(modules: DataFrame, log: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def _newest_until(
     both = (
         log.filter(F.col("commit_date").isNotNull() & F.col(payload).isNotNull())
         .select(
-            *keys,
+            *[F.col(k).alias(k) for k in keys],
             F.col("commit_date").alias("at"),
             F.lit(0).alias("is_ref"),
             F.struct("commit_date", payload).alias("found"),
@@ -84,52 +85,40 @@ def _newest_until(
     )
 
 
-def source_as_of(
-    refs: DataFrame, log: DataFrame, match_names: bool = False, text: str = "source_code"
-) -> DataFrame:
-    """Newest source text at or before each ref; blank text becomes null.
+def source_digest_as_of(refs: DataFrame, history: History, match_names: bool = False) -> DataFrame:
+    """``digest`` of the newest source text at or before each ref; null if there is none or it is blank.
 
     ``refs`` holds ``repo_name, file_path, window_end`` and, optionally,
     ``has_git_match`` (false skips the lookup). With ``match_names`` a revision of
-    the same bare file name also counts and the newer one wins. Only a digest of
-    the text goes through the as-of step; texts are fetched by digest at the end.
+    the same bare file name also counts and the newer one wins. No text is read.
     """
-    hashed = log.select(
-        "repo_name",
-        "file_path",
-        base_name(F.col("file_path")).alias("__name"),
-        "commit_date",
-        F.sha2(text, 256).alias("digest"),
-    )
+    keys = list(KEYS)
+    revisions = history.changes
     wanted = refs
     if "has_git_match" in refs.columns:
         wanted = refs.filter("has_git_match")
-    wanted = wanted.select("repo_name", "file_path", "window_end").distinct()
-    found = _newest_until(wanted, hashed, ["repo_name", "file_path"], "digest")
+    wanted = history.placed(wanted.select(*keys, "window_end").distinct())
+    found = _newest_until(wanted, revisions, keys, "digest")
     if match_names:
         named_refs = wanted.withColumn("__name", base_name(F.col("file_path")))
-        by_name = _newest_until(named_refs, hashed, ["repo_name", "__name"], "digest")
+        named = revisions.withColumn("__name", base_name(F.col("file_path")))
+        by_name = _newest_until(named_refs, named, ["repo_name", "__name"], "digest")
         found = (
-            named_refs.join(found, ["repo_name", "file_path", "window_end"], "left")
-            .join(
-                by_name.withColumnRenamed("found", "found_name"),
-                ["repo_name", "__name", "window_end"],
-                "left",
-            )
+            named_refs.join(found, [*keys, "window_end"], "left")
+            .join(by_name.withColumnRenamed("found", "found_name"), ["repo_name", "__name", "window_end"], "left")
             .withColumn("found", F.greatest("found", "found_name"))
             .drop("__name", "found_name")
         )
-    texts = (
-        log.filter(not_blank(F.col(text)))
-        .select(F.sha2(text, 256).alias("digest"), F.col(text).alias("source_code"))
-        .dropDuplicates(["digest"])
-    )
-    resolved = found.withColumn("digest", F.col("found.digest")).drop("found")
-    return (
-        refs.join(resolved, ["repo_name", "file_path", "window_end"], "left")
-        .join(texts, "digest", "left")
-        .withColumn("digest", F.when(F.col("source_code").isNotNull(), F.col("digest")))
-    )
+    digest = F.nullif(F.col("found.digest"), F.lit(BLANK))
+    return refs.join(found.withColumn("digest", digest).drop("found"), [*keys, "window_end"], "left")
+
+
+def source_as_of(refs: DataFrame, history: History, match_names: bool = False) -> DataFrame:
+    """Newest source text at or before each ref, with its digest; blank text becomes null.
+
+    Only digests go through the as-of step; the texts found are fetched at the end.
+    """
+    return history.fetched(source_digest_as_of(refs, history, match_names))
 
 
 def assemble_matrix(
@@ -268,17 +257,3 @@ def at_risk_with_attributions(
         ids, "feature", "attribution"
     )
     return top.join(wanted, ids, "left")
-
-
-def build_graph_dataset(
-    graphs: DataFrame, labels: DataFrame, keys: Sequence[str] = ("repo_name", "file_path")
-) -> DataFrame:
-    """Graphs of labeled files; unlabeled and unparseable files drop out."""
-    return graphs.join(labels.select(*keys, "is_buggy"), list(keys))
-
-
-def as_literal_map(values: Mapping[str, float]) -> Column:
-    entries: list[Column] = []
-    for key, value in values.items():
-        entries += [F.lit(key), F.lit(float(value))]
-    return F.create_map(*entries)

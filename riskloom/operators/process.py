@@ -105,9 +105,8 @@ def lifetime_metrics(
     author_rows = F.when(F.col("author_email").isNotNull(), F.sum("rows").over(by_author))
     asked = refs.select(*KEYS, "ref", F.lit(1).alias("wanted"), *carry)
     merged = (
-        slotted.withColumn("author_rows", author_rows)
-        .drop("author_email")
-        .withColumn("wanted", F.lit(0))
+        # Keys under new names of their own let the union keep how both sides are dealt out.
+        slotted.select(*[F.col(k).alias(k) for k in KEYS], "ref", "rows", "fixes", "newest", author_rows.alias("author_rows"), F.lit(0).alias("wanted"))
         .unionByName(asked, allowMissingColumns=True)
         .groupBy(*KEYS, "ref")
         .agg(
@@ -221,7 +220,7 @@ def next_ref(rows: DataFrame, refs: DataFrame) -> DataFrame:
     Changes and refs are ordered together per (file, day); the next later day
     with a ref comes from a summary with one row per file and day.
     """
-    both = rows.withColumn("at", F.col("commit_date")).unionByName(
+    both = rows.select(*[F.col(c).alias(c) if c in KEYS else c for c in rows.columns], F.col("commit_date").alias("at")).unionByName(
         refs.select(*KEYS, "ref", F.col("ref").alias("at")), allowMissingColumns=True
     )
     tagged = both.withColumn("day", F.to_date("at"))

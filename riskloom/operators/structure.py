@@ -10,7 +10,7 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import not_blank
@@ -97,23 +97,19 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _as_batch(rows)
 
 
-def distinct_sources(sources: DataFrame, text: str = "source_code") -> DataFrame:
-    """Each distinct non-blank text once: ``digest, source_code``.
-
-    Copies collapse before the first shuffle. The distinct texts are then spread
-    by count, because parsing is far slower than reading: partitions merged by
-    their bytes would leave most cores idle.
-    """
-    spark = sources.sparkSession
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts dealt out by count: parsing is far slower than reading, so partitions merged by bytes would idle cores."""
+    spark = texts.sparkSession
     wide = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
     )
-    return (
-        sources.filter(not_blank(F.col(text)))
-        .select(F.sha2(text, 256).alias("digest"), F.col(text).alias("source_code"))
-        .dropDuplicates(["digest"])
-        .repartition(wide)
-    )
+    return texts.repartition(wide)
+
+
+def distinct_sources(sources: DataFrame, text: str = "source_code") -> DataFrame:
+    """Each distinct non-blank text once: ``digest, source_code``; copies collapse before the first shuffle."""
+    texts = sources.filter(not_blank(F.col(text))).select(F.sha2(text, 256).alias("digest"), F.col(text).alias("source_code"))
+    return spread(texts.dropDuplicates(["digest"]))
 
 
 def ast_nodes(distinct: DataFrame) -> DataFrame:
@@ -156,24 +152,33 @@ METRIC_NAMES = (
 )
 
 
-def structure_for(
-    rows: DataFrame, text: str = "source_code", variant: str = "nesting", missing: str = "null"
-) -> DataFrame:
-    """Metrics for every row of ``rows``, parsing each distinct text once.
+def _filled(joined: DataFrame, metrics: DataFrame, usable: Column, missing: str) -> DataFrame:
+    filled = {}
+    for name in METRIC_NAMES:
+        zero = F.lit(0).cast(metrics.schema[name].dataType)
+        value = F.coalesce(F.col(name), zero)
+        filled[name] = value if missing == "zero" else F.when(usable, value)
+    return joined.withColumns(filled)
+
+
+def structure_by_digest(rows: DataFrame, texts: DataFrame, variant: str = "nesting", missing: str = "null") -> DataFrame:
+    """Metrics for rows that name their text by ``digest``; ``texts`` holds each text once.
 
     ``missing``: ``null`` keeps rows without a text empty and gives zeros to texts
-    that do not parse; ``zero`` gives zeros to both.
+    that do not parse; ``zero`` gives zeros to both. The rows never carry a text.
     """
+    metrics = structure_metrics(ast_nodes(spread(texts)), variant)
+    return _filled(rows.join(metrics, "digest", "left"), metrics, F.col("digest").isNotNull(), missing)
+
+
+def structure_for(
+    rows: DataFrame, text: str = "source_code", variant: str = "nesting", missing: str = "null"
+) -> DataFrame:
+    """Metrics for every row of ``rows``, parsing each distinct text once."""
     keyed = rows.withColumn("digest", F.sha2(text, 256))
     metrics = structure_metrics(ast_nodes(distinct_sources(rows, text)), variant)
-    joined = keyed.join(metrics, "digest", "left")
     usable = F.coalesce(not_blank(F.col(text)), F.lit(False))
-    filled = {}
-    for name in METRIC_NAMES:
-        zero = F.lit(0).cast(metrics.schema[name].dataType)
-        value = F.coalesce(F.col(name), zero)
-        filled[name] = value if missing == "zero" else F.when(usable, value)
-    return joined.withColumns(filled).drop("digest")
+    return _filled(keyed.join(metrics, "digest", "left"), metrics, usable, missing).drop("digest")
 
 
 def nodes_summary(nodes: DataFrame) -> DataFrame:

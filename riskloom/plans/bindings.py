@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.labels import date_span, windowed_labels
+from riskloom.operators.history import History, store_history
+from riskloom.operators.labels import windowed_labels
 from riskloom.operators.process import process_features
 from riskloom.session import fresh_path
 from riskloom.sources.tables import table, write_table
@@ -115,6 +116,15 @@ def log_with_source(spark: SparkSession, folder: str) -> DataFrame:
     return change_log(spark, folder, [source_text().alias("source_code")])
 
 
+def history(spark: SparkSession, folder: str) -> History:
+    """The change log without texts, its three tables joined once."""
+    return store_history(change_log(spark, folder))
+
+
+def history_with_source(spark: SparkSession, folder: str) -> History:
+    return store_history(log_with_source(spark, folder), "source_code")
+
+
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     return windowed_labels(change_log(spark, folder))
 
@@ -124,14 +134,13 @@ def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
     Every labeled file has two changes in its window, so no label row is lost.
     """
-    log = change_log(spark, folder)
-    span = date_span(log)
-    marked = windowed_labels(log, span=span).withColumn(
+    past = history(spark, folder)
+    marked = windowed_labels(past.changes, span=past.span).withColumn(
         "is_buggy", F.col("is_buggy").cast("int")
     )
     carried = ["is_buggy", "commits_in_window", "bug_fix_commits_in_window"]
-    metrics = process_features(marked, log, span, carry=carried)
-    return metrics.withColumn("window_start", span.at(F.col("window_no") * 90))
+    metrics = process_features(marked, past.changes, past.span, carry=carried)
+    return metrics.withColumn("window_start", past.span.at(F.col("window_no") * 90))
 
 
 def stored_matrix(spark: SparkSession, folder: str) -> DataFrame:

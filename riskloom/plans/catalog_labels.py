@@ -224,11 +224,10 @@ for _name, _columns in _METRICS.items():
     sql("fm", "SELECT repo_name, file_path, window_no, is_buggy, window_end, code_churn_30d, code_churn_90d, commit_count_30d, commit_count_90d, author_count_90d, bug_fix_count_90d, fix_density, days_since_last_change, commit_burst_30d, ownership_score FROM fm"),
 )
 def process_features(spark, folder):
-    log = bind.change_log(spark, folder)
-    span = date_span(log)
-    marked = labels.windowed_labels(log, span=span)
+    past = bind.history(spark, folder)
+    marked = labels.windowed_labels(past.changes, span=past.span)
     marked = marked.withColumn("is_buggy", F.col("is_buggy").cast("int"))
-    return process.process_features(marked, log, span)
+    return process.process_features(marked, past.changes, past.span)
 
 
 @query(
@@ -241,11 +240,11 @@ def process_features(spark, folder):
     ),
 )
 def process_features_pairs(spark, folder):
-    log = bind.change_log(spark, folder)
-    pairs = labels.windowed_labels(log).select(
+    past = bind.history(spark, folder)
+    pairs = labels.windowed_labels(past.changes, span=past.span).select(
         "repo_name", "file_path", plus_days(F.col("window_end"), -7).alias("window_end")
     )
-    return process.process_features_pairs(pairs, log)
+    return process.process_features_pairs(pairs, past.changes)
 
 
 @query(
@@ -345,8 +344,8 @@ def _yearly_refs(log):
 
 @query("source_as_of", _as_of_check("s.file_path = rf.file_path"))
 def source_as_of(spark, folder):
-    log = bind.log_with_source(spark, folder)
-    return joins.source_as_of(_yearly_refs(log), log)
+    past = bind.history_with_source(spark, folder)
+    return joins.source_as_of(_yearly_refs(past.changes), past)
 
 
 @query(
@@ -354,8 +353,8 @@ def source_as_of(spark, folder):
     _as_of_check("s.file_path = rf.file_path OR s.filename = rf.filename"),
 )
 def source_as_of_by_name(spark, folder):
-    log = bind.log_with_source(spark, folder)
-    return joins.source_as_of(_yearly_refs(log), log, match_names=True)
+    past = bind.history_with_source(spark, folder)
+    return joins.source_as_of(_yearly_refs(past.changes), past, match_names=True)
 
 
 @query(

@@ -24,6 +24,7 @@ from riskloom.operators import (
     topk,
     training,
 )
+from riskloom.operators.history import store_history
 from riskloom.plans import bindings as bind
 from riskloom.plans import flows
 from riskloom.plans.registry import query
@@ -586,6 +587,7 @@ def _closed_form(nesting: str, arguments: str, places: int, usable: str) -> str:
         "num_classes": "c",
         "avg_function_length": length,
         "num_imports": "1 + i",
+        "ast_node_count": "7 + 2 * i + 15 * f + 21 * c + 12 * t",
         "has_try_except": "t",
         "max_args_per_function": arguments,
     }
@@ -593,6 +595,7 @@ def _closed_form(nesting: str, arguments: str, places: int, usable: str) -> str:
 
 
 _NESTING = "CAST(CASE WHEN c > 0 THEN 5 WHEN f > 0 THEN 2 ELSE t END AS BIGINT)"
+_DEPTH = "CAST(CASE WHEN c > 0 THEN 7 WHEN f + t > 0 THEN 5 ELSE 3 END AS BIGINT)"
 _ALL_ARGS = "CAST(CASE WHEN f > 0 THEN 3 WHEN c > 0 THEN 2 ELSE 0 END AS BIGINT)"
 _PLAIN_ARGS = "CAST(CASE WHEN f > 0 OR c > 0 THEN 2 ELSE 0 END AS BIGINT)"
 _REVISION = ["repo_name", "file_path", "commit_hash", "line_no"]
@@ -601,9 +604,7 @@ _REVISION = ["repo_name", "file_path", "commit_hash", "line_no"]
 def _structure(spark, folder, variant, missing):
     log = bind.log_with_source(spark, folder).select(*_REVISION, "source_code")
     rows = structure.structure_for(log, "source_code", variant, missing)
-    return rows.select(
-        *_REVISION, *[n for n in structure.METRIC_NAMES if n != "ast_node_count"]
-    )
+    return rows.select(*_REVISION, *structure.METRIC_NAMES)
 
 
 @query(
@@ -619,13 +620,11 @@ def structure_metrics(spark, folder):
     more(
         "src",
         _PARTS,
-        "SELECT * EXCLUDE (max_nesting_depth) FROM (SELECT repo_name, file_path, commit_hash, line_no, "
-        + _closed_form("0", _PLAIN_ARGS, 2, "true")
-        + " FROM k)",
+        f"SELECT repo_name, file_path, commit_hash, line_no, {_closed_form(_DEPTH, _PLAIN_ARGS, 2, 'true')} FROM k",
     ),
 )
 def structure_metrics_tree(spark, folder):
-    return _structure(spark, folder, "tree", "zero").drop("max_nesting_depth")
+    return _structure(spark, folder, "tree", "zero")
 
 
 def _latest(spark, folder):
@@ -633,7 +632,9 @@ def _latest(spark, folder):
 
 
 def _nodes(spark, folder):
-    return structure.ast_nodes(structure.distinct_sources(_latest(spark, folder)))
+    """Node rows of the newest texts, stored because graphs read them more than once."""
+    nodes = structure.ast_nodes(structure.distinct_sources(_latest(spark, folder)))
+    return write_table(nodes, fresh_path(spark, "ast-nodes"))
 
 
 @query(
@@ -657,7 +658,20 @@ def ast_nodes(spark, folder):
     )
 
 
-@query("graph_tables")
+# The newest text of each file and, if it parses, the nodes of its tree in closed form.
+_GRAPHS = """rv AS (SELECT *, row_number() OVER (PARTITION BY repo_name, file_path ORDER BY commit_date DESC, commit_hash DESC, source_code DESC) AS rn
+    FROM src WHERE source_code IS NOT NULL AND trim(source_code) <> ''),
+  gr AS (SELECT repo_name, file_path, sha256(source_code) AS digest, source_code LIKE 'import%' AS parses,
+      7 + 2 * len(regexp_extract_all(source_code, 'import mod')) + 15 * len(regexp_extract_all(source_code, 'def f'))
+        + 21 * len(regexp_extract_all(source_code, 'class C')) + 12 * len(regexp_extract_all(source_code, 'try:')) AS n_nodes
+    FROM rv WHERE rn = 1),
+  lb AS (SELECT repo_name, file_path, max(CAST(is_buggy AS INTEGER)) AS is_buggy FROM lab GROUP BY ALL)"""
+
+
+@query(
+    "graph_tables",
+    more("src", _GRAPHS.split(",\n  lb AS")[0], "SELECT DISTINCT digest, n_nodes, 2 * (n_nodes - 1) AS n_edges FROM gr WHERE parses"),
+)
 def graph_tables(spark, folder):
     return graph.graph_sizes(_nodes(spark, folder))
 
@@ -693,13 +707,36 @@ def graph_embedding(spark, folder):
     )
 
 
-@query("build_graph_dataset")
-def build_graph_dataset(spark, folder):
-    latest = _latest(spark, folder).withColumn("digest", F.sha2("source_code", 256))
-    graphs = graph.graph_sizes(structure.ast_nodes(structure.distinct_sources(latest)))
-    per_file = latest.select(*FILE_KEYS, "digest").join(graphs, "digest")
+def _graph_dataset(spark, folder, **bounds):
     marked = labels.collapse_any(bind.labels(spark, folder))
-    return joins.build_graph_dataset(per_file, marked)
+    return graph.build_graph_dataset(_latest(spark, folder), marked, **bounds)
+
+
+@query(
+    "build_graph_dataset",
+    more(
+        "src lab",
+        _GRAPHS,
+        "SELECT repo_name, file_path, digest, n_nodes, 2 * (n_nodes - 1) AS n_edges, is_buggy FROM gr JOIN lb USING (repo_name, file_path) WHERE parses",
+    ),
+)
+def build_graph_dataset(spark, folder):
+    return _graph_dataset(spark, folder).rows
+
+
+@query(
+    "graph_dataset_counts",
+    more(
+        "src lab",
+        _GRAPHS,
+        """SELECT count(*) AS files, count(*) FILTER (is_buggy IS NULL) AS unlabeled, count(*) FILTER (is_buggy IS NOT NULL AND NOT parses) AS unparsed,
+  count(*) FILTER (is_buggy IS NOT NULL AND parses AND NOT n_nodes BETWEEN 20 AND 90) AS out_of_bounds,
+  count(*) FILTER (is_buggy IS NOT NULL AND parses AND n_nodes BETWEEN 20 AND 90) AS kept FROM gr LEFT JOIN lb USING (repo_name, file_path)""",
+    ),
+)
+def graph_dataset_counts(spark, folder):
+    """What became of every file, with bounds that leave small and large graphs out."""
+    return _graph_dataset(spark, folder, min_nodes=20, max_nodes=90).counts
 
 
 @query(
@@ -717,10 +754,10 @@ FROM fm LEFT JOIN st USING (repo_name, file_path)""",
 )
 def assemble_matrix(spark, folder):
     log = bind.log_with_source(spark, folder)
-    span = labels.date_span(log)
-    marked = labels.windowed_labels(log, span=span)
+    past = store_history(log)
+    marked = labels.windowed_labels(past.changes, span=past.span)
     marked = marked.withColumn("is_buggy", F.col("is_buggy").cast("int"))
-    activity = process.process_features(marked, log, span).withColumn(
+    activity = process.process_features(marked, past.changes, past.span).withColumn(
         "is_buggy", F.lit(-1)
     )
     shapes = joins.rename_structure_columns(

@@ -24,6 +24,7 @@ from riskloom.operators import (
     structure,
     training,
 )
+from riskloom.operators.history import store_history
 from riskloom.operators.predicates import align_features
 from riskloom.schema import LEAKY_FOR_MATRIX, feature_columns
 from riskloom.session import fresh_path
@@ -36,19 +37,20 @@ ROW_KEYS = [*FILE_KEYS, "window_no"]
 
 def windowed_matrix(log: DataFrame, window_days: int = 90, horizon_days: int = 90) -> DataFrame:
     """Windowed labels with activity and structure as of each window end."""
-    span = labels.date_span(log)
-    marked = labels.windowed_labels(log, window_days, horizon_days, span=span)
+    past = store_history(log, "source_code")
+    marked = labels.windowed_labels(past.changes, window_days, horizon_days, span=past.span)
     marked = marked.withColumn("is_buggy", F.col("is_buggy").cast("int"))
     activity = process.process_features(
-        marked, log, span, window_days, ["is_buggy", "commits_in_window"]
+        marked, past.changes, past.span, window_days, ["is_buggy", "commits_in_window"]
     )
-    refs = activity.select(*FILE_KEYS, "window_end")
-    shapes = joins.rename_structure_columns(
-        structure.structure_for(joins.source_as_of(refs, log).drop("digest"), missing="zero")
-    ).drop("source_code")
-    fresh = [c for c in shapes.columns if c not in activity.columns]
+    activity = write_table(activity, fresh_path(log.sparkSession, "activity"))
+    # Texts are parsed once each and never meet the rows: both sides know the digest.
+    found = joins.source_digest_as_of(activity.select(*FILE_KEYS, "window_end"), past)
+    found = write_table(found, fresh_path(log.sparkSession, "source-digests"))
+    texts = past.fetched(found.select("digest").where(F.col("digest").isNotNull()).distinct())
+    shapes = joins.rename_structure_columns(structure.structure_by_digest(found, texts, missing="zero"))
     keys = [*FILE_KEYS, "window_end"]
-    return activity.join(shapes.select(*keys, *fresh), keys, "left")
+    return activity.join(shapes.drop("digest"), keys, "left")
 
 
 def training_matrix(

@@ -29,6 +29,8 @@ def build_session(app: str = "riskloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Tables dealt out by file meet on file and date without another shuffle.
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
         # Recording the Python call site of every column makes building plans slow.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import cleaning, joins, topk
+from riskloom.operators.history import store_history
 from riskloom.schema import require_columns
 from riskloom.sources import benchmark, change_log, dumps
 
@@ -142,8 +143,11 @@ def test_source_as_of_against_a_plain_join(spark):
         [("r", f"d{d}/f{f}.py", datetime(2024, 1, day, 12)) for d in (0, 1) for f in range(4) for day in (1, 5, 5, 19, 28)],
         "repo_name string, file_path string, window_end timestamp_ntz",
     ).distinct()
-    for by_name in (False, True):
-        got = joins.source_as_of(refs, log, match_names=by_name).collect()
+    # Stored by file, and as a log with a file that is too large for that.
+    for by_name, file_rows in ((False, 1000), (True, 1000), (False, 3), (True, 3)):
+        past = store_history(log, "source_code", file_rows=file_rows)
+        assert (past.buckets is None) == (file_rows == 3) and "source_code" not in past.changes.columns
+        got = joins.source_as_of(refs, past, match_names=by_name).collect()
         assert len(got) == refs.count()
         for row in got:
             name = row["file_path"].split("/")[-1]
@@ -161,7 +165,8 @@ def test_source_as_of_against_a_plain_join(spark):
 def test_unmatched_modules_skip_the_lookup(spark):
     log = spark.createDataFrame([("r", "a.py", datetime(2024, 1, 1), "x=1")], "repo_name string, file_path string, commit_date timestamp_ntz, source_code string")
     refs = spark.createDataFrame([("r", "a.py", datetime(2024, 2, 1), False)], "repo_name string, file_path string, window_end timestamp_ntz, has_git_match boolean")
-    assert joins.source_as_of(refs, log).first()["source_code"] is None
+    row = joins.source_as_of(refs, store_history(log, "source_code")).first()
+    assert row["source_code"] is None and row["digest"] is None
 
 
 def test_repair_dates(spark):

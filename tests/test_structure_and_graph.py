@@ -98,3 +98,23 @@ def test_edges_go_both_ways_and_tiny_graphs_drop(spark):
     assert graph.graph_sizes(nodes).first()["n_edges"] == 2 * (n - 1)
     width = graph.node_features(usable).select(F.size("features")).distinct().collect()
     assert [r[0] for r in width] == [len(graph.NODE_TYPES) + 2]
+
+
+def test_graph_dataset_counts_what_it_leaves_out(spark):
+    texts = {"a": "x = 1\nif x:\n    y = 2\n", "b": "x", "c": "def broken(:", "d": "import os\n", "e": None, "f": "x = 1\nif x:\n    y = 2\n", "g": "z = 3\n"}
+    sources = spark.createDataFrame([("r", f, t) for f, t in texts.items()], "repo_name string, file_path string, source_code string")
+    marks = spark.createDataFrame([("r", f, int(f in "ab")) for f in "abcef"] + [("other", "d", 1)], "repo_name string, file_path string, is_buggy int")
+    found = graph.build_graph_dataset(sources, marks)
+    assert found.counts.first().asDict() == {"files": 7, "unlabeled": 2, "unparsed": 2, "out_of_bounds": 1, "kept": 2}
+    rows = {r.file_path: (r.n_nodes, r.n_edges, r.is_buggy) for r in found.rows.collect()}
+    size = sum(1 for _ in ast.walk(ast.parse(texts["a"])))
+    assert rows == {"a": (size, 2 * size - 2, 1), "f": (size, 2 * size - 2, 0)}
+    nothing = graph.build_graph_dataset(sources.limit(0), marks)
+    assert nothing.rows.count() == 0 and set(nothing.counts.first()) == {0}
+
+
+def test_graph_dataset_parses_once(spark):
+    sources = spark.createDataFrame([("r", "a", "x = 1\ny = 2\n")], "repo_name string, file_path string, source_code string")
+    nodes = structure.ast_nodes(structure.distinct_sources(sources))
+    plan = graph.graph_sizes(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
