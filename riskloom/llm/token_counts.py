@@ -42,8 +42,8 @@ class TokenCountParams:
 
 
 #: Bytes of text that are split at a time; a longer text is split by itself.
-SLICE = 16 * 2**20
-ROWS_SENT = 100_000
+SLICE = 6 * 2**20
+ROWS_SENT = 50_000
 #: Composed letters and marks that a lower-casing normaliser maps one by one.
 _LATIN = "^[!-~¡-ÿ]+$"
 #: Fixed value: the splitting pattern of tokenizers with word ends.
