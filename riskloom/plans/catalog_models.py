@@ -15,6 +15,7 @@ from riskloom.operators import (
     joins,
     labels,
     metrics,
+    neighbors,
     process,
     reports,
     runs,
@@ -289,6 +290,38 @@ def mutual_information(spark, folder):
     return statistics.mutual_information(bind.stored_matrix(spark, folder), _MI_FEATURES)
 
 
+# By definition: distances to up to three neighbours on each side, then rows of any class in the open interval.
+_NEIGHBORS = (
+    "u AS ("
+    + union_all(f"SELECT '{c}' AS feature, is_buggy AS y, CAST({c} AS DOUBLE) AS x FROM fm WHERE {c} IS NOT NULL" for c in bind.FEATURES)
+    + """), v AS (SELECT feature, y, x, count(*) AS n FROM u GROUP BY ALL),
+  z AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY feature, y) AS ny FROM v) WHERE ny > 1),
+  a AS (SELECT *, least(3, ny - 1) AS k, list_filter([lag({'x': x, 'n': n}, 1) OVER s, lag({'x': x, 'n': n}, 2) OVER s, lag({'x': x, 'n': n}, 3) OVER s,
+      lead({'x': x, 'n': n}, 1) OVER s, lead({'x': x, 'n': n}, 2) OVER s, lead({'x': x, 'n': n}, 3) OVER s], lambda p: p IS NOT NULL) AS near
+    FROM z WINDOW s AS (PARTITION BY feature, y ORDER BY x)),
+  nb AS (SELECT feature, y, x, n, ny, k, unnest(near) AS p FROM a),
+  d AS (SELECT feature, y, x, n, k, abs(p.x - x) AS d, sum(p.n) OVER (PARTITION BY feature, y, x ORDER BY abs(p.x - x)) AS reached FROM nb),
+  r AS (SELECT feature, y, x, min(d) AS r FROM d WHERE n - 1 + reached >= k GROUP BY ALL),
+  q AS (SELECT a.feature, a.y, a.x, a.n, a.ny, CASE WHEN n > k THEN n ELSE k END AS k, CASE WHEN n > k THEN CAST(0 AS DOUBLE) ELSE r.r END AS r
+    FROM a LEFT JOIN r ON r.feature = a.feature AND r.y = a.y AND r.x = a.x),
+  nw AS (SELECT feature, x, sum(n) AS n FROM z GROUP BY ALL),
+  m AS (SELECT q.feature, q.y, q.x, q.n, q.ny, q.k, CAST(sum(w.n) AS BIGINT) AS m FROM q JOIN nw w ON w.feature = q.feature
+      AND CASE WHEN q.r = 0 THEN w.x = q.x ELSE w.x > q.x - q.r AND w.x < q.x + q.r END GROUP BY ALL),
+  h AS (SELECT i, sum(CASE WHEN i = 1 THEN 0 ELSE 1 / CAST(i - 1 AS DOUBLE) END) OVER (ORDER BY i) - 0.5772156649015329 AS psi
+    FROM (SELECT unnest(range(1, (SELECT 1 + count(*) FROM fm))) AS i)),
+  t AS (SELECT m.feature, sum(m.n) AS n, sum(m.n * (hk.psi - hy.psi - hm.psi)) AS s FROM m JOIN h hk ON hk.i = m.k JOIN h hy ON hy.i = m.ny
+    JOIN h hm ON hm.i = m.m GROUP BY ALL)"""
+)
+
+
+@query(
+    "neighbor_information",
+    more("fm", _NEIGHBORS, "SELECT feature, round(greatest(psi + s / t.n, 0), 6) AS information FROM t JOIN h ON h.i = t.n"),
+)
+def neighbor_information(spark, folder):
+    return neighbors.neighbor_information(bind.stored_matrix(spark, folder), bind.FEATURES)
+
+
 @query(
     "class_balance",
     sql(
