@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import not_blank
-from riskloom.operators.labels import Span, date_span
+from riskloom.operators.labels import Span
 from riskloom.session import fresh_path
 from riskloom.sources.tables import write_table
 
@@ -35,8 +35,7 @@ class History:
     changes: DataFrame
     span: Span
     buckets: int | None = None
-    log: DataFrame | None = None
-    text: str | None = None
+    whole: DataFrame | None = None
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """``rows`` dealt out by file like the changes, so that both meet without another shuffle."""
@@ -45,10 +44,10 @@ class History:
     def fetched(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the ``source_code`` of their ``digest``.
 
-        Only texts that are asked for leave the log, each once per task and once in all.
+        Only texts that are asked for are shuffled, each once per task and once in all.
         """
         asked = rows.select("digest").where(F.col("digest").isNotNull()).distinct()
-        texts = self.log.filter(not_blank(F.col(self.text))).select(F.sha2(self.text, 256).alias("digest"), F.col(self.text).alias("source_code"))
+        texts = self.whole.select("digest", "source_code").where(F.col("digest") != BLANK)
         wanted = texts.join(asked, "digest", "left_semi").dropDuplicates(["digest"])
         return rows.join(wanted, "digest", "left")
 
@@ -60,21 +59,25 @@ def _text_digest(text: str) -> Column:
 def store_history(log: DataFrame, text: str | None = None, buckets: int | None = None, file_rows: int = FILE_ROWS) -> History:
     """Run the plan of ``log`` once and keep its narrow columns, by file.
 
-    ``text`` names the column of source texts; only digests of it are stored.
+    ``text`` names the column of source texts. They are stored beside the changes in the
+    same pass, with their digests; only the digests are dealt out by file.
     """
     spark = log.sparkSession
-    columns = [c for c in NARROW if c in log.columns] + ([_text_digest(text).alias("digest")] if text else [])
-    narrow = write_table(log.select(*columns), fresh_path(spark, "history"))
-    per_file = narrow.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    size = per_file.agg(F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    span = date_span(narrow)
-    if size["largest"] > file_rows:
-        return History(narrow, span, None, log, text)
+    columns = [c for c in NARROW if c in log.columns]
+    with_text = [_text_digest(text).alias("digest"), F.col(text).alias("source_code")] if text else []
+    whole = write_table(log.select(*columns, *with_text), fresh_path(spark, "history"))
+    narrow = whole.drop("source_code")
+    dates = F.min("commit_date").alias("lo"), F.max("commit_date").alias("hi")
+    per_file = narrow.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *dates)
+    size = per_file.agg(F.max("n").alias("largest"), F.sum("n").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    span = Span.of(size["lo"], size["hi"])
+    if (size["largest"] or 0) > file_rows:
+        return History(narrow, span, None, whole)
     if buckets is None:
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        buckets = min(max(least, size["rows"] // BUCKET_ROWS), MOST_BUCKETS)
+        buckets = min(max(least, (size["rows"] or 0) // BUCKET_ROWS), MOST_BUCKETS)
     name = f"history_{uuid.uuid4().hex}"
     dealt = narrow.repartition(buckets, *KEYS).sortWithinPartitions(*KEYS)
     writer = dealt.write.format("parquet").bucketBy(buckets, *KEYS).sortBy(*KEYS)
     writer.option("path", fresh_path(spark, "history-by-file")).saveAsTable(name)
-    return History(spark.table(name), span, buckets, log, text)
+    return History(spark.table(name), span, buckets, whole)

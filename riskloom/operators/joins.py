@@ -38,17 +38,19 @@ def match_modules_to_history(modules: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def _newest_until(
-    refs: DataFrame, log: DataFrame, keys: Sequence[str], payload: str
+    refs: DataFrame, log: DataFrame, keys: Sequence[str], payload: str, bounded: bool = False
 ) -> DataFrame:
-    """Per (keys, ref date): the newest ``payload`` dated at or before the ref.
+    """Per (keys, ref date): the newest ``payload`` dated at or before the ref, as ``found``.
 
-    As-of join without pairing rows: refs and revisions are ordered together per
+    As-of join without pairing rows: refs and revisions are ordered together. With
+    ``bounded`` keys one window holds a key; else refs and revisions are ordered per
     (keys, day), and the last revision of earlier days comes from a summary with
-    one row per day. A key with very many revisions is split by day.
+    one row per day, so a key with very many revisions is split by day.
     """
     both = (
         log.filter(F.col("commit_date").isNotNull() & F.col(payload).isNotNull())
         .select(
+            # Keys under new names of their own let the union keep how both sides are dealt out.
             *[F.col(k).alias(k) for k in keys],
             F.col("commit_date").alias("at"),
             F.lit(0).alias("is_ref"),
@@ -58,13 +60,15 @@ def _newest_until(
             refs.select(*keys, F.col("window_end").alias("at"), F.lit(1).alias("is_ref")).distinct(),
             allowMissingColumns=True,
         )
-        .withColumn("day", F.to_date("at"))
-    )
-    inside = (
-        Window.partitionBy(*keys, "day")
-        .orderBy("at", "is_ref", "found")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    so_far = Window.orderBy("at", "is_ref", "found").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if bounded:
+        newest = F.last("found", ignorenulls=True).over(so_far.partitionBy(*keys))
+        return both.select(*keys, "at", "is_ref", newest.alias("found")).filter("is_ref = 1").select(
+            *keys, F.col("at").alias("window_end"), "found"
+        )
+    both = both.withColumn("day", F.to_date("at"))
+    inside = so_far.partitionBy(*keys, "day")
     earlier = (
         Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -98,7 +102,7 @@ def source_digest_as_of(refs: DataFrame, history: History, match_names: bool = F
     if "has_git_match" in refs.columns:
         wanted = refs.filter("has_git_match")
     wanted = history.placed(wanted.select(*keys, "window_end").distinct())
-    found = _newest_until(wanted, revisions, keys, "digest")
+    found = _newest_until(wanted, revisions, keys, "digest", bounded=history.buckets is not None)
     if match_names:
         named_refs = wanted.withColumn("__name", base_name(F.col("file_path")))
         named = revisions.withColumn("__name", base_name(F.col("file_path")))

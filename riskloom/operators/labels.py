@@ -39,6 +39,12 @@ class Span:
     lo: datetime
     hi: datetime
 
+    @classmethod
+    def of(cls, lo: datetime | None, hi: datetime | None) -> Span:
+        """A log without dates has an empty span."""
+        epoch = datetime(1970, 1, 1)
+        return cls(lo or epoch, hi or epoch)
+
     @staticmethod
     def _micros(at: datetime) -> int:
         return (at - datetime(1970, 1, 1)) // timedelta(microseconds=1)
@@ -57,10 +63,8 @@ class Span:
 
 
 def date_span(log: DataFrame, date: str = "commit_date") -> Span:
-    """One aggregate job; a log without dates gives an empty span."""
-    row = log.agg(F.min(date), F.max(date)).first()
-    epoch = datetime(1970, 1, 1)
-    return Span(row[0] or epoch, row[1] or epoch)
+    """First and last date of a log, by one aggregate job."""
+    return Span.of(*log.agg(F.min(date), F.max(date)).first())
 
 
 def label_windows(log: DataFrame, window_days: int = 90) -> DataFrame:

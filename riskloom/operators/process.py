@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.timing import DAY_MICROS, micros, plus_days, whole_days
+from riskloom.operators.history import KEYS, History
 from riskloom.operators.labels import Span
 
 SHORT_DAYS = 30
@@ -17,11 +18,13 @@ MIN_ROWS_FOR_FEATURES = 2
 MIN_ROWS_FOR_SNAPSHOT = 3
 CHURN_PROXY_PER_ROW = 10
 
-KEYS = ("repo_name", "file_path")
-
 
 def _rows(log: DataFrame) -> DataFrame:
-    return log.filter(F.col("commit_date").isNotNull()).select(
+    """Dated changes of a file; a change without repository or path belongs to none."""
+    known = F.col("commit_date").isNotNull()
+    for key in KEYS:
+        known = known & F.col(key).isNotNull()
+    return log.filter(known).select(
         *KEYS,
         "commit_hash",
         "author_email",
@@ -214,21 +217,25 @@ def metrics_on_grid(
     )
 
 
-def next_ref(rows: DataFrame, refs: DataFrame) -> DataFrame:
+def next_ref(rows: DataFrame, refs: DataFrame, bounded: bool = False) -> DataFrame:
     """Add ``slot``: the file's first ref at or after each change.
 
-    Changes and refs are ordered together per (file, day); the next later day
-    with a ref comes from a summary with one row per file and day.
+    With ``bounded`` files one window holds a file. Else changes and refs are ordered
+    together per (file, day); the next later day with a ref comes from a summary with
+    one row per file and day.
     """
-    both = rows.select(*[F.col(c).alias(c) if c in KEYS else c for c in rows.columns], F.col("commit_date").alias("at")).unionByName(
+    own = [F.col(c).alias(c) if c in KEYS else c for c in rows.columns]
+    both = rows.select(*own, F.col("commit_date").alias("at")).unionByName(
         refs.select(*KEYS, "ref", F.col("ref").alias("at")), allowMissingColumns=True
     )
-    tagged = both.withColumn("day", F.to_date("at"))
-    inside = (
-        Window.partitionBy(*KEYS, "day")
-        .orderBy(F.desc("at"), F.desc_nulls_last("ref"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    backwards = Window.orderBy(F.desc("at"), F.desc_nulls_last("ref")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
+    if bounded:
+        slotted = both.withColumn("slot", F.min("ref").over(backwards.partitionBy(*KEYS)))
+        return slotted.filter(F.col("ref").isNull()).drop("ref", "at")
+    tagged = both.withColumn("day", F.to_date("at"))
+    inside = backwards.partitionBy(*KEYS, "day")
     later = (
         Window.partitionBy(*KEYS)
         .orderBy(F.desc("day"))
@@ -249,10 +256,12 @@ def next_ref(rows: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def metrics_as_of(
-    refs: DataFrame, log: DataFrame, short_days: int = SHORT_DAYS, long_days: int = LONG_DAYS
+    refs: DataFrame, log: DataFrame, short_days: int = SHORT_DAYS, long_days: int = LONG_DAYS, bounded: bool = False
 ) -> DataFrame:
     """All metrics for arbitrary refs: distinct ``(repo_name, file_path, window_end)``.
 
+    ``bounded``: no file has more changes than one task may order.
+
     A change can only serve refs of its own long-window bucket or the next one,
     so changes and refs meet in an equi-join that stays local in time.
     """
@@ -274,7 +283,7 @@ def metrics_as_of(
     )
     # Changes after a file's last ref still count towards its total history.
     after_all = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
-    slotted = _per_author_and_slot(next_ref(rows, asked), F.coalesce("slot", after_all))
+    slotted = _per_author_and_slot(next_ref(rows, asked, bounded), F.coalesce("slot", after_all))
     lifetime = lifetime_metrics(asked, slotted)
     return _finish(lifetime, trailing_metrics(served), F.col("ref")).drop("ref")
 
@@ -298,11 +307,11 @@ def process_features(
     )
 
 
-def process_features_pairs(pairs: DataFrame, log: DataFrame) -> DataFrame:
+def process_features_pairs(pairs: DataFrame, history: History) -> DataFrame:
     """Metrics per distinct (file, date) pair of files with any change."""
-    refs = pairs.select(*KEYS, "window_end").distinct()
+    refs = history.placed(pairs.select(*KEYS, "window_end")).distinct()
     return (
-        metrics_as_of(refs, log)
+        metrics_as_of(refs, history.changes, bounded=history.buckets is not None)
         .filter(F.col("rows_ever") >= 1)
         .drop("rows_ever", "bug_fix_count_90d")
     )

@@ -244,7 +244,7 @@ def process_features_pairs(spark, folder):
     pairs = labels.windowed_labels(past.changes, span=past.span).select(
         "repo_name", "file_path", plus_days(F.col("window_end"), -7).alias("window_end")
     )
-    return process.process_features_pairs(pairs, past.changes)
+    return process.process_features_pairs(pairs, past)
 
 
 @query(

@@ -37,7 +37,7 @@ def everything(past):
     activity = process.process_features(marked, past.changes, past.span)
     pairs = marked.select(*KEYS, (F.col("window_end") + F.expr("interval -7 days")).alias("window_end"))
     texts = joins.source_as_of(pairs, past, match_names=False)
-    return {"activity": activity, "pairs": process.process_features_pairs(pairs, past.changes), "texts": texts}
+    return {"activity": activity, "pairs": process.process_features_pairs(pairs, past), "texts": texts}
 
 
 def rows_of(df):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import text
 from riskloom.operators import labels, predicates, process, splits
+from riskloom.operators.history import store_history
 from riskloom.operators.labels import date_span
 
 LOG = (
@@ -34,7 +35,7 @@ def test_closed_window_ends(spark):
         change(REF - timedelta(days=90) - micro, 4),
     ]
     pairs = spark.createDataFrame([("r", "f", REF)], "repo_name string, file_path string, window_end timestamp_ntz")
-    row = process.process_features_pairs(pairs, log_of(spark, rows)).first()
+    row = process.process_features_pairs(pairs, store_history(log_of(spark, rows))).first()
     assert row["commit_count_30d"] == 2
     assert row["commit_count_90d"] == 3
     assert row["days_since_last_change"] == 0
@@ -46,7 +47,7 @@ def test_whole_days_are_elapsed_24_hours(spark):
     pairs = spark.createDataFrame(
         [("r", "f", datetime(2024, 1, 3, 1))], "repo_name string, file_path string, window_end timestamp_ntz"
     )
-    assert process.process_features_pairs(pairs, log_of(spark, rows)).first()["days_since_last_change"] == 1
+    assert process.process_features_pairs(pairs, store_history(log_of(spark, rows))).first()["days_since_last_change"] == 1
 
 
 def _random_log(spark, seed, n=600):
