@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.plans import catalog_inputs, catalog_labels, catalog_models  # noqa: F401
+from riskloom.plans import catalog_checks, catalog_inputs, catalog_labels, catalog_models  # noqa: F401
 from riskloom.plans.registry import QUERIES, Runner
 
 
