@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskloom.sources.committed import write_committed
+
 RUN_SCHEMA = (
     "run_id string, experiment string, run_name string, kind string, name string, "
     "value double, text string, logged_at timestamp_ntz"
@@ -33,9 +35,12 @@ def run_rows(
 
 
 def log_run(rows: DataFrame, path: str) -> DataFrame:
-    """Append to the run-log table and return the whole table."""
-    rows.write.mode("append").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """Add runs to the run-log table and return the whole table.
+
+    A run is one partition of a committed table: logging it again replaces it, and a
+    run that fails while it is logged leaves the table as it was.
+    """
+    return write_committed(rows, path, "run_id")
 
 
 def metrics_wide(log: DataFrame) -> DataFrame:
