@@ -73,9 +73,12 @@ def risk_report(
     model_used: str,
     model_auc: Column,
     report_id: str,
-    wanted_model: str = "hybrid",
+    wanted_model: str | None = None,
 ) -> DataFrame:
-    """One nested row: totals, ranked rows, model and warnings."""
+    """One nested row: totals, ranked rows, model and warnings.
+
+    ``wanted_model`` is the model the caller asked for; the report warns if another one was used.
+    """
     totals = scored.agg(
         F.count(F.lit(1)).alias("total_files_analyzed"),
         F.count_if(F.col("score") >= F.lit(float(threshold))).alias("buggy_files_predicted"),
@@ -85,7 +88,7 @@ def risk_report(
     notes = F.array(
         F.when(F.col("__changes") < FEW_CHANGES, F.lit("Few changes found; results may be unreliable.")),
         F.when(F.col("buggy_files_predicted") == 0, F.lit("No file is above the threshold.")),
-        F.lit("Vectors unavailable - using the tabular model." if wanted_model != model_used else None).cast("string"),
+        F.lit("Vectors unavailable - using the tabular model." if wanted_model not in (None, model_used) else None).cast("string"),
     )
     return counted.select(
         F.lit(report_id).alias("report_id"),

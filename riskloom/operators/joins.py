@@ -172,6 +172,16 @@ def lookup_vector_or_zero(
     return joined.withColumn("hybrid", F.concat(tabular, F.col("embedding")))
 
 
+def widened_vectors(
+    rows: DataFrame, vectors: DataFrame, keys: Sequence[str], features: Sequence[str], names: Sequence[str]
+) -> DataFrame:
+    """Tabular values as the hybrid model sees them, then one column per vector dimension in ``names``."""
+    joined = lookup_vector_or_zero(rows, vectors, keys, len(names))
+    tabular = {c: F.col(c).cast("float").cast("double") for c in features}
+    wide = {name: F.col("embedding")[i].cast("double") for i, name in enumerate(names)}
+    return joined.withColumns({**tabular, **wide}).drop("embedding")
+
+
 def repair_dates(
     df: DataFrame,
     history: DataFrame,

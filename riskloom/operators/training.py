@@ -29,6 +29,8 @@ class TreeParams:
     subsample: float = 0.8
     min_child_weight: int = 5
     min_gain: float = 0.0
+    #: Share of the features that each split may choose from.
+    column_share: float = 0.8
     early_stopping_tol: float = 0.01
     positive_weight: float | None = None
     seed: int = 42
@@ -61,6 +63,7 @@ def fit_trees(
         subsamplingRate=params.subsample,
         minInstancesPerNode=params.min_child_weight,
         minInfoGain=params.min_gain,
+        featureSubsetStrategy="all" if params.column_share >= 1 else str(params.column_share),
         validationTol=params.early_stopping_tol,
         seed=params.seed,
     )

@@ -6,12 +6,15 @@ runs the operator over the whole tables and returns what SQL can say about every
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.operators import graph, joins, training
 from riskloom.plans import bindings as bind
 from riskloom.plans import catalog_models as models
+from riskloom.plans import flows
 from riskloom.plans.registry import query
 from riskloom.plans.sqltext import sql
 from riskloom.session import fresh_path
@@ -218,6 +221,39 @@ def risk_report_checks(spark, folder):
     )
 
 
+@query(
+    "hybrid_report",
+    models.more(
+        "src",
+        """ls AS (SELECT DISTINCT repo_name, file_path FROM src WHERE commit_date <= TIMESTAMP '2001-06-01' AND source_code IS NOT NULL AND trim(source_code) <> '')""",
+        """SELECT 'hybrid' AS model_used, count(*) AS total_files_analyzed, CAST(least(20, count(*)) AS INTEGER) AS rows, true AS ranks_follow_scores,
+  true AS known_features, true AS not_warned FROM ls""",
+    ),
+)
+def hybrid_report(spark, folder):
+    """The report scored by the model on tabular columns and vectors; contributions may name both."""
+    matrix = bind.stored_matrix(spark, folder)
+    vectors = write_table(models._file_embeddings(spark, folder), fresh_path(spark, "embeddings"))
+    model, _ = training.hybrid_train(matrix, bind.FEATURES, vectors, FILE_KEYS, graph.EMBEDDING_DIM, models.SMALL_TREES)
+    names = training.hybrid_names(bind.FEATURES, graph.EMBEDDING_DIM)
+    own = names[len(bind.FEATURES) :]
+    log = bind.log_with_source(spark, folder)
+    report, rows = flows.analyze(
+        log, model, bind.FEATURES, datetime(2001, 6, 1), vectors=vectors, vector_names=own, wanted_model="hybrid"
+    )
+    ranked = Window.orderBy("rank")
+    seen = rows.select(
+        (F.coalesce(F.lag("score").over(ranked), F.lit(1.0)) >= F.col("score")).alias("falls"),
+        F.forall("top_features", lambda f: f["feature"].isin(*names)).alias("known"),
+        F.col("score").between(0, 1).alias("bounded"),
+    ).agg(F.min("falls").alias("falls"), F.min("known").alias("known"), F.min("bounded").alias("bounded"))
+    return report.select(
+        "model_used", "total_files_analyzed", F.size("top_k_results").alias("rows"), seen.select("falls").scalar().alias("ranks_follow_scores"),
+        seen.select("known").scalar().alias("known_features"),
+        (seen.select("bounded").scalar() & ~F.exists("warnings", lambda w: w.contains("Vectors"))).alias("not_warned"),
+    )
+
+
 @query("training_flow_checks", "SELECT true AS in_bounds, true AS f1_is_harmonic")
 def training_flow_checks(spark, folder):
     row = write_table(models.training_flow(spark, folder), fresh_path(spark, "flow-summary"))

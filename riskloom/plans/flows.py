@@ -26,7 +26,7 @@ from riskloom.operators import (
 )
 from riskloom.operators.history import store_history
 from riskloom.operators.predicates import align_features
-from riskloom.schema import LEAKY_FOR_MATRIX, feature_columns
+from riskloom.schema import LEAKY_FOR_MATRIX, feature_columns, nan_to_null
 from riskloom.session import fresh_path
 from riskloom.sources.snapshots import latest_source_snapshot
 from riskloom.sources.tables import write_table
@@ -59,8 +59,11 @@ def training_matrix(
     default_cap: float | None = None,
     ids: Sequence[str] = ("file_path",),
 ) -> tuple[DataFrame, list[str]]:
-    """Event date, no leaky columns, labels capped if asked for, no gaps; with the feature names."""
-    dated = joins.choose_event_date(matrix)
+    """Event date, no leaky columns, labels capped if asked for, no gaps; with the feature names.
+
+    NaN is a gap like null.
+    """
+    dated = nan_to_null(joins.choose_event_date(matrix))
     kept = cleaning.drop_leaky_columns(dated, LEAKY_FOR_MATRIX)
     features = feature_columns(kept, extra_drop=[*ids, "window_start", "window_no"])
     capped = labels.cap_positive_rate(kept, caps, default_cap, ids)
@@ -124,8 +127,16 @@ def analyze(
     threshold: float = 0.5,
     report_id: str = "report-1",
     model_auc: float | None = None,
+    vectors: DataFrame | None = None,
+    vector_names: Sequence[str] = (),
+    wanted_model: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """On-demand report as of ``ref``: the nested report and its ranked rows."""
+    """On-demand report as of ``ref``: the nested report and its ranked rows.
+
+    With ``vectors`` (an ``embedding`` per file) and a name for each of its dimensions,
+    ``model`` is one fitted on ``features`` and vectors together; a file without a
+    vector counts as zeros. Contributions then name vector dimensions too.
+    """
     spark = log.sparkSession
     past = log.filter(F.col("commit_date") <= F.lit(ref).cast("timestamp_ntz"))
     sources = latest_source_snapshot(past)
@@ -140,7 +151,11 @@ def analyze(
         fresh_path(spark, "report-features"),
     )
     aligned = align_features(files, features, keep=FILE_KEYS)
-    scores = training.score_batch(model, aligned, features).select(*FILE_KEYS, "score")
+    names = list(features)
+    if vectors is not None:
+        aligned = joins.widened_vectors(aligned, vectors, FILE_KEYS, features, vector_names)
+        names += vector_names
+    scores = training.score_batch(model, aligned, names).select(*FILE_KEYS, "score")
     ident = F.concat_ws("/", *FILE_KEYS)
     details = files.select(
         *FILE_KEYS,
@@ -154,7 +169,7 @@ def analyze(
     # Contributions are computed for the report's rows only.
     top = stored.orderBy(F.desc("score"), "id").limit(top_k).select(*FILE_KEYS)
     chosen = aligned.join(F.broadcast(top), FILE_KEYS, "left_semi").withColumn("id", ident)
-    long = attribution.tree_attributions(chosen, model, features, ["id"])
+    long = attribution.tree_attributions(chosen, model, names, ["id"])
     rows = write_table(
         explain.report_rows(
             stored,
@@ -173,7 +188,8 @@ def analyze(
         F.col("commit_date") >= plus_days(F.lit(ref).cast("timestamp_ntz"), -since_days)
     )
     changes = recent.limit(explain.FEW_CHANGES).agg(F.count(F.lit(1))).scalar()
+    used = "baseline" if vectors is None else "hybrid"
     report = explain.risk_report(
-        stored, rows, changes, threshold, "baseline", F.lit(model_auc).cast("double"), report_id
+        stored, rows, changes, threshold, used, F.lit(model_auc).cast("double"), report_id, wanted_model
     )
     return report, rows

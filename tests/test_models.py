@@ -111,7 +111,7 @@ def test_report_flow_on_a_small_log(spark):
     ready, names = flows.training_matrix(flows.windowed_matrix(log), {}, 0.9, ["repo_name", "file_path", "window_no"])
     assert "fix_density" in names and "num_functions" in names and "bug_fix_count_90d" not in names
     model = training.train_boosted_trees(ready, names, PARAMS)
-    report, ranked = flows.analyze(log, model, names, datetime(2023, 9, 1), top_k=5)
+    report, ranked = flows.analyze(log, model, names, datetime(2023, 9, 1), top_k=5, wanted_model="hybrid")
     row = report.first()
     assert row["total_files_analyzed"] == 8 and len(row["top_k_results"]) == 5
     assert [r["rank"] for r in row["top_k_results"]] == [1, 2, 3, 4, 5]
