@@ -65,3 +65,14 @@ def test_keyed_and_repeatable(spark):
     texts = [replace_entities(docs, SurrogateParams(secret=s)).first()["text"] for s in ("a", "a", "b")]
     assert texts[0] == texts[1] != texts[2]
     assert replace_entities(docs.limit(0)).count() == 0
+
+
+def test_long_tokens_and_hosts_end_soon(spark):
+    texts = ["x" * 1_000_000 + " @", "a." * 200_000 + "@", "me@" + "hh." * 20_000 + "org", "7" * 300_000, "a@b.com-x, ..c.d@e.co.x 9@1.org9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in replace_entities(docs).collect()}
+    assert out[0] == texts[0] and out[1] == texts[1] and out[3] == texts[3]
+    # Beyond 127 labels a host is none: what an address can hold is replaced, the rest stays.
+    assert not out[2].startswith("me@hh.") and out[2].endswith("hh.org")
+    found = spark.createDataFrame([(texts[4],)], "t string").select(surrogates.mentions(F.col("t"))).first()[0]
+    assert found == ["a@b.com", "c.d@e.co", "9@1.org"]
