@@ -88,6 +88,16 @@ def test_summary_text(spark):
     assert "nothing stands out" in row[1]
 
 
+def test_numbers_are_printed_as_c_prints_them(spark):
+    from riskloom.functions.text import fixed
+
+    values = [i / 1000 + 0.0005 * j for i in range(-1300, 1300, 7) for j in (0, 1)] + [0.125, 0.375, 0.145, 0.585, 2.675, 1e-9, -1e-9, 0.0, 12345.675, 3e9 + 0.125]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for r in df.select("v", fixed(F.col("v"), 2).alias("two"), fixed(F.col("v"), 3, "+").alias("three")).collect():
+        if r["v"] is not None:
+            assert (r["two"], r["three"]) == (f"{r['v']:.2f}", f"{r['v']:+.3f}")
+
+
 def test_run_log_appends(spark, tmp_path):
     path = str(tmp_path / "runs")
     for name, auc in (("one", 0.7), ("two", 0.8)):
