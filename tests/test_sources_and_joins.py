@@ -162,6 +162,19 @@ def test_source_as_of_against_a_plain_join(spark):
             assert row["source_code"] in want
 
 
+def test_blank_text_takes_part_in_ties(spark):
+    import hashlib
+
+    day, blank = datetime(2024, 1, 1), "   "
+    below = next(t for t in (f"x={i}" for i in range(99)) if hashlib.sha256(t.encode()).digest() < hashlib.sha256(blank.encode()).digest())
+    above = next(t for t in (f"x={i}" for i in range(99)) if hashlib.sha256(t.encode()).digest() > hashlib.sha256(blank.encode()).digest())
+    rows = [("r", name, day, text) for name, own in (("low", below), ("high", above)) for text in (own, blank)]
+    log = spark.createDataFrame(rows, "repo_name string, file_path string, commit_date timestamp_ntz, source_code string")
+    refs = log.select("repo_name", "file_path", F.col("commit_date").alias("window_end")).distinct()
+    got = {r["file_path"]: (r["source_code"], r["digest"]) for r in joins.source_as_of(refs, store_history(log, "source_code")).collect()}
+    assert got == {"low": (None, None), "high": (above, hashlib.sha256(above.encode()).hexdigest())}
+
+
 def test_unmatched_modules_skip_the_lookup(spark):
     log = spark.createDataFrame([("r", "a.py", datetime(2024, 1, 1), "x=1")], "repo_name string, file_path string, commit_date timestamp_ntz, source_code string")
     refs = spark.createDataFrame([("r", "a.py", datetime(2024, 2, 1), False)], "repo_name string, file_path string, window_end timestamp_ntz, has_git_match boolean")

@@ -118,3 +118,22 @@ def test_graph_dataset_parses_once(spark):
     nodes = structure.ast_nodes(structure.distinct_sources(sources))
     plan = graph.graph_sizes(nodes)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_texts_that_differ_in_whole_numbers_are_parsed_once(spark):
+    texts = [f"x = {n}\n" for n in range(1, 40)] + ["x = 0\n", "x = 1_0\n", "x = 9\ny = 8\n", None, "  ", "def ("]
+    df = spark.createDataFrame([(t,) for t in texts], "source_code string")
+    assert structure.distinct_shapes(df).count() == 5
+    got = {r["source_code"]: r["ast_node_count"] for r in structure.structure_for(df).collect()}
+    want = {t: sum(1 for _ in ast.walk(ast.parse(t))) for t in texts if t and t.strip() and t != "def ("}
+    assert got == {**want, None: None, "  ": None, "def (": 0}
+
+
+def test_shape_texts_have_the_same_tree(spark):
+    texts = [
+        "a = 12\nb2 = 0x12 + 1e12 + 1.25 + 12j + 1_2\n", "s = '\\101 \\x41 \\N{VARIATION SELECTOR-12} 77'\nf = f'{a:12.3f}{12}'\n",
+        "x = " + "9" * 5000 + "\n", "x = 007\n", "def é12(é3, é4): return 5 if é3 else -6\n", "print(5if x else 6)\n", "x = 12.real\n", "x = 12 .real\n",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", structure.shape_text(F.col("t")).alias("shape")).collect():
+        assert [r[2:] for r in structure._node_rows("d", row["t"])] == [r[2:] for r in structure._node_rows("d", row["shape"])]
