@@ -191,14 +191,19 @@ def pooled_features(graph: DataFrame, hops: int = HOPS) -> DataFrame:
     return sums.select("digest", *[(F.col(c) / F.col("n_nodes")).alias(c) for c in names])
 
 
-def graph_embedding(nodes: DataFrame, hops: int = HOPS, dim: int = EMBEDDING_DIM) -> DataFrame:
+def graph_embedding(
+    nodes: DataFrame, hops: int = HOPS, dim: int = EMBEDDING_DIM, named: DataFrame | None = None
+) -> DataFrame:
     """``digest, embedding``: pooled graph features projected to ``dim`` numbers.
 
-    The pooled table is stored once, because fitting and projecting both read it.
+    The pooled table is stored once, because fitting and projecting both read it. With
+    ``named(digest, shape)``, ``nodes`` holds the trees that the shapes name: each is pooled
+    once, and every digest counts in the fit.
     """
-    pooled = write_table(
-        pooled_features(graph_nodes(nodes), hops), fresh_path(nodes.sparkSession, "pooled")
-    )
+    spark = nodes.sparkSession
+    pooled = write_table(pooled_features(graph_nodes(nodes), hops), fresh_path(spark, "pooled"))
+    if named is not None:
+        pooled = named.select("digest", "shape").join(pooled.withColumnRenamed("digest", "shape"), "shape").drop("shape")
     names = [c for c in pooled.columns if c != "digest"]
     vectors = VectorAssembler(inputCols=names, outputCol="pooled").transform(pooled)
     model = PCA(k=min(dim, len(names)), inputCol="pooled", outputCol="projected").fit(vectors)

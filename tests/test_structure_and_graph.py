@@ -137,3 +137,16 @@ def test_shape_texts_have_the_same_tree(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for row in df.select("t", structure.shape_text(F.col("t")).alias("shape")).collect():
         assert [r[2:] for r in structure._node_rows("d", row["t"])] == [r[2:] for r in structure._node_rows("d", row["shape"])]
+
+
+def test_embedding_by_tree_equals_embedding_by_text(spark):
+    texts = [f"{t}x = {n}\n" for t in (OK, NESTED, "if a:\n    b = 1\n") for n in (1, 2, 3)] + ["def ("]
+    df = spark.createDataFrame([(t,) for t in texts], "source_code string")
+    df = df.withColumns({"digest": F.sha2("source_code", 256), "shape": structure.shape_digest(F.col("source_code"))})
+    shapes = structure.ast_nodes(structure.distinct_shapes(df))
+    assert shapes.select("digest").distinct().count() == 3
+    one = graph.graph_embedding(structure.ast_nodes(structure.distinct_sources(df)), dim=2)
+    two = graph.graph_embedding(shapes, dim=2, named=df.select("digest", "shape").distinct())
+    want, got = ({r["digest"]: r["embedding"] for r in e.collect()} for e in (one, two))
+    assert want.keys() == got.keys() and len(got) == 9
+    assert all(np.allclose(got[d], want[d], atol=1e-6) for d in want)
