@@ -213,9 +213,8 @@ def replace_entities(
         ),
         "lookup",
     )
-    # Null texts get keys of their own, so that they do not meet in one task.
-    key = F.coalesce(F.md5("text"), F.concat(F.lit("-"), F.col("id").cast("string")), F.lit("-"))
-    joined = rows.withColumn("print", key).join(lookup, "print", "left")
+    # The lookup grows with the table, so it is no table to broadcast; only texts with a mention are dealt out.
+    joined = some.withColumn("print", F.md5("text")).join(lookup.hint("merge"), "print", "left")
     between = F.split("text", ANY, -1)
     new = F.concat(
         F.element_at(between, 1),
@@ -223,9 +222,12 @@ def replace_entities(
             F.transform(F.col("found"), lambda e, i: F.concat(F.element_at("own", e), F.get(between, i + 1))), ""
         ),
     )
-    return joined.select(
+    told = joined.select(
         F.col("id").alias(id_col),
-        F.when(F.size("found") > 0, new).otherwise(F.col("text")).alias("text"),
+        new.alias("text"),
         F.size("found").cast("bigint").alias("n_entities"),
         F.size(F.array_distinct("found")).cast("bigint").alias("n_distinct"),
     )
+    none = F.lit(0).cast("bigint")
+    silent = rows.where(F.coalesce(F.size("found"), F.lit(0)) <= 0)
+    return told.unionByName(silent.select(F.col("id").alias(id_col), "text", none.alias("n_entities"), none.alias("n_distinct")))

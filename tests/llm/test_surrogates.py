@@ -76,3 +76,13 @@ def test_long_tokens_and_hosts_end_soon(spark):
     assert not out[2].startswith("me@hh.") and out[2].endswith("hh.org")
     found = spark.createDataFrame([(texts[4],)], "t string").select(surrogates.mentions(F.col("t"))).first()[0]
     assert found == ["a@b.com", "c.d@e.co", "9@1.org"]
+
+
+def test_only_texts_with_a_mention_are_dealt_out(spark):
+    docs = spark.createDataFrame([(i, "plain words " * 500) for i in range(50)] + [(50, TEXTS[0]), (51, None), (52, "")], "doc_id long, text string")
+    out = replace_entities(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "strategy=merge" in plan
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == 53 and got[3].text == "plain words " * 500 and got[51].text is None and got[52].text == ""
+    assert got[50].text != TEXTS[0] and got[50].n_entities > 0 and got[3].n_entities == got[51].n_entities == 0
