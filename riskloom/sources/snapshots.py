@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.ordering import null_safe_join
 from riskloom.functions.text import not_blank
 
 # Names a source-text column may have, in order of preference.
@@ -25,14 +26,16 @@ def latest_source_snapshot(
     keys: Sequence[str] = ("repo_name", "file_path"),
     order: Sequence[str] = ("commit_date", "commit_hash"),
 ) -> DataFrame:
-    """Newest non-blank source per file.
+    """Newest non-blank source per file; of equal places in ``order`` the largest text counts.
 
-    ``max_by`` combines before the shuffle, so each task sends one text per file
-    however many revisions it holds.
+    The newest place of each file is found on narrow rows. Revisions meet it in a hash join
+    that holds the places only, so texts pass by unsorted, and few are left to compare.
     """
     text = source_column(log)
-    return (
-        log.filter(not_blank(F.col(text)))
-        .groupBy(*keys)
-        .agg(F.max_by(F.col(text), F.struct(*order, text)).alias("source_code"))
-    )
+    usable = log.filter(not_blank(F.col(text)))
+    places = {f"__at{i}": F.col(c) for i, c in enumerate(order)}
+    newest = usable.groupBy(*keys).agg(F.max(F.struct(*order)).alias("__at"))
+    newest = newest.select(*keys, *[F.col(f"__at.{c}").alias(n) for c, n in zip(order, places)])
+    revisions = usable.select(*keys, *[c.alias(n) for n, c in places.items()], F.col(text).alias("source_code"))
+    found = null_safe_join(revisions, newest.hint("shuffle_hash"), [*keys, *places])
+    return found.groupBy(*keys).agg(F.max("source_code").alias("source_code"))

@@ -221,3 +221,24 @@ def test_cosine_neighbors_skip_zero_vectors(spark):
     near = {r["id"]: r["neighbors"] for r in topk.cosine_neighbors(ranked, vectors).collect()}
     assert near["a"] == ["c", "b"]
     assert near["z"] == []
+
+
+def test_newest_texts_are_not_sorted(spark):
+    from riskloom.sources.snapshots import latest_source_snapshot
+
+    first, second = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    rows = [
+        ("r", "a", first, 1, "old"), ("r", "a", second, 2, "tie one"), ("r", "a", second, 2, "tie two"), ("r", "a", second, 3, "  "),
+        ("r", "b", None, 1, "undated"), ("r", "c", None, 9, "undated"), ("r", "c", first, None, "dated"),
+        (None, "a", first, 1, "no repository"), (None, "a", None, 2, "older"), ("r", "d", first, 1, None),
+    ]
+    log = spark.createDataFrame(
+        rows, "repo_name string, file_path string, commit_date timestamp_ntz, commit_hash bigint, source_code string"
+    )
+    newest = latest_source_snapshot(log)
+    found = {(r["repo_name"], r["file_path"]): r["source_code"] for r in newest.collect()}
+    assert found == {("r", "a"): "tie two", ("r", "b"): "undated", ("r", "c"): "dated", (None, "a"): "no repository"}
+    plan = newest._jdf.queryExecution().sparkPlan().toString()
+    # Texts are aggregated after revisions that are not the newest have dropped out.
+    assert "ShuffledHashJoin" in plan and plan.index("max(source_code") < plan.index("ShuffledHashJoin")
+    assert "max_by" not in plan and "struct(commit_date" in plan
