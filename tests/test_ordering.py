@@ -104,3 +104,16 @@ def test_buckets_keep_order(spark, values):
 def test_one_value_needs_no_buckets(spark):
     df = spark.createDataFrame([(None,), (None,)], "value double")
     assert with_value_bucket(df, "value", "b").select("b").distinct().count() == 1
+
+
+def test_rows_of_few_groups_stay_where_they_are(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, "f").otherwise("g").alias("feature"), F.col("id").cast("double").alias("value"))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+        medians = exact_quantiles(rows, ["feature"], [0.5])
+        plan = medians._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(tuple(r) for r in medians.collect()) == [("f", 0.5, 99_999.0), ("g", 0.5, 100_000.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
