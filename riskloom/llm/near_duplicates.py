@@ -114,28 +114,112 @@ def linked_components(hits: DataFrame, texts: DataFrame) -> DataFrame:
     )
     open_ = stored(_of_several(placed), "open")
     rows = stored(_shingle_rows(open_, texts), "shingles")
-    shared = stored(_foreign_shingles(rows), "shared")
-    # Twice, because small members without hope keep up the hopes of larger ones.
-    open_ = stored(_of_several(_hopeful(open_, shared)).drop("n", "least"), "open")
-    open_ = stored(_of_several(_hopeful(open_, shared)), "open")
+    open_ = stored(_of_several(_hopeful(open_, stored(_foreign_shingles(rows), "shared"))), "open")
+    drawn = stored(_compared(_drawn_pairs(open_), texts), "drawn").where(LINKED).select("a", "b")
+    links = links.unionByName(drawn)
+    open_ = stored(_of_several(_merged(open_.select("key", "id", "component"), drawn)), "open")
+    # Again, because small members without hope keep up the hopes of larger ones, and components have grown.
+    rows = stored(_renamed(rows, open_), "shingles")
+    open_ = stored(_of_several(_hopeful(open_, stored(_foreign_shingles(rows), "shared"))), "open")
 
     members = open_.select("id", "component", "n", "least").distinct()
     apart = tested.where(f"not ({LINKED})").select("a", F.col("b").alias("id"), "both").join(members, "id")
     apart = stored(apart.where(f"{100 + PERCENT} * both < {PERCENT} * (n + least)"), "apart")
     beyond = _beyond_center(apart, rows, texts)
-
-    others = _of_several(open_.join(apart.select("id"), "id", "left_anti"))
-    left = others.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    right = others.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    near = F.expr(f"a < b and ca <> cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    rest = left.join(right, "key").where(near).select("a", "b").unionByName(beyond).distinct()
+    others = stored(_of_several(open_.join(apart.select("id"), "id", "left_anti")), "others")
+    rest = stored(_between_components(others, rows).unionByName(beyond).distinct(), "rest")
     more = stored(_compared(rest.join(first, ["a", "b"], "left_anti"), texts), "tested")
     return components(links.unionByName(more.where(LINKED).select("a", "b")))
 
 
+def _drawn_pairs(open_: DataFrame) -> DataFrame:
+    """(a, b): one drawn member of each component of a bucket with one drawn member of the bucket.
+
+    Linear in the rows of ``open_``; most components that have a link meet here.
+    """
+    draw = F.struct(F.xxhash64("key", "id").alias("draw"), "id", "n", "component")
+    heads = open_.groupBy("key", "component").agg(F.min(draw).alias("x"))
+    pivots = heads.groupBy("key").agg(F.min("x").alias("y"))
+    near = f"x.component <> y.component and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
+    return heads.join(pivots, "key").where(near).select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+    ).distinct()
+
+
+def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``placed(key, id, component)`` with the components that ``links(a, b)`` join under one name."""
+    names = placed.select("id", "component").distinct()
+    one, other = names.toDF("a", "ca"), names.toDF("b", "cb")
+    joined = links.join(one, "a").join(other, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return placed.join(components(joined).toDF("component", "root"), "component", "left").select(
+        "key", "id", F.coalesce("root", "component").alias("component")
+    )
+
+
+def _renamed(rows: DataFrame, open_: DataFrame) -> DataFrame:
+    """The shingle rows of the members of ``open_``, under its components."""
+    names = open_.select("id", "component").distinct()
+    return rows.drop("component").join(names, "id").select("id", "component", "shingle", "n")
+
+
+def _rarest(rows: DataFrame, need: Column) -> DataFrame:
+    """The rows that whatever shares ``need`` of an id's shingles cannot miss: all but the ``need - 1`` most frequent ones.
+
+    ``rows`` has ``id``, ``shingle`` and the shingle's ``frequency``; ties go by the shingle, the same way for all ids.
+    ``room`` counts the id's shingles from this one on: two sets share no more if this is the first one they share.
+    """
+    own = Window.partitionBy("id")
+    ranked = rows.withColumn("__place", F.row_number().over(own.orderBy("frequency", "shingle"))).withColumn(
+        "__there", F.count("*").over(own)
+    )
+    ranked = ranked.withColumn("room", F.col("__there") - F.col("__place") + 1)
+    return ranked.where(F.col("room") >= need).drop("__place", "__there", "frequency")
+
+
+def _frequencies(rows: DataFrame) -> DataFrame:
+    """(shingle, frequency) of those that occur in several components."""
+    seen = rows.groupBy("shingle").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("frequency")
+    )
+    return seen.where("low < high").select("shingle", "frequency")
+
+
+def _need(sizes: str) -> Column:
+    """The fewest shingles that linked sets share, if ``sizes`` is the sum of their sizes."""
+    return F.expr(f"({PERCENT} * ({sizes}) + {100 + PERCENT - 1}) div {100 + PERCENT}")
+
+
+def _between_components(others: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) that may be linked, of ``others(key, id, component, n, least)`` of buckets with several components.
+
+    Components that share a bucket are paired, not their members. A member of the
+    smaller one stays if one of its rarest shingles occurs in the larger one at all.
+    Only then it meets members of the larger one: those that have one of the rarest
+    shingles of both, early enough in both to share as many as a link needs.
+    """
+    counts = others.select("id", "component").distinct().groupBy("component").agg(F.count("*").alias("members"))
+    here = others.groupBy("key", "component").agg(F.min("n").alias("low"), F.max("n").alias("high")).join(counts, "component")
+    small = here.select("key", F.col("component").alias("small"), F.struct("members", "component").alias("x"), F.col("low").alias("l1"), F.col("high").alias("h1"))
+    large = here.select("key", F.col("component").alias("large"), F.struct("members", "component").alias("y"), F.col("low").alias("l2"), F.col("high").alias("h2"))
+    near = f"x < y and 100 * h1 >= {PERCENT} * l2 and 100 * h2 >= {PERCENT} * l1"
+    meet = small.join(large, "key").where(near).select("small", "large").distinct()
+
+    members = others.select("id", "n", "least").distinct()
+    own = rows.join(members.select("id", "least"), "id")
+    rare = stored(_rarest(own.join(_frequencies(own), "shingle"), _need("n + least")), "rare")
+    held = stored(own.select(F.col("component").alias("large"), "shingle").distinct(), "held")
+    tried = rare.withColumnRenamed("component", "small").join(meet, "small")
+    hopes = tried.join(held, ["large", "shingle"]).select("id", "large").distinct()
+    ours = rare.join(hopes, "id").select("shingle", "large", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("room").alias("rx"))
+    theirs = rare.select("shingle", F.col("component").alias("large"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("room").alias("ry"))
+    near = F.expr(f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)") & (F.least("rx", "ry") >= _need("nx + ny"))
+    met = ours.join(theirs, ["shingle", "large"]).where(near)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _outside_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of each text_b that its text_a does not have."""
-    carried = ["id", "component", "n", "both"]
+    carried = ["id", "component", "n", "least", "both"]
     for batch in batches:
         sets = [
             np.setdiff1d(shingle_set(lower_words(b.as_py())), shingle_set(lower_words(a.as_py())), assume_unique=True)
@@ -149,18 +233,21 @@ def _outside_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _beyond_center(apart: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) that may be linked although a or b is not similar to its center.
 
-    ``apart(a, id, component, n, both)``: texts that share ``both`` shingles with
+    ``apart(a, id, component, n, least, both)``: texts that share ``both`` shingles with
     their center a, too few for a link to any member of their buckets. Whatever
-    they are linked to shares the missing ones outside the center: those are rare,
-    where the shingles of the center may be in very many texts.
+    they are linked to shares the missing ones outside the center, so it has one
+    of the rarest of those that other components have at all.
     """
     kind = texts.schema["id"].dataType.simpleString()
-    outside = _with_texts(apart.withColumn("b", F.col("id")), texts).select("id", "component", "n", "both", "text_a", "text_b")
-    outside = outside.mapInArrow(_outside_batches, f"id {kind}, component {kind}, n bigint, both bigint, shingle bigint")
+    outside = _with_texts(apart.withColumn("b", F.col("id")), texts).select("id", "component", "n", "least", "both", "text_a", "text_b")
+    outside = outside.mapInArrow(
+        _outside_batches, f"id {kind}, component {kind}, n bigint, least bigint, both bigint, shingle bigint"
+    )
+    rare = _rarest(outside.join(_frequencies(rows), "shingle"), _need("n + least") - F.col("both"))
     there = rows.select("shingle", F.col("id").alias("other"), F.col("component").alias("theirs"), F.col("n").alias("m"))
-    shared = outside.join(there, "shingle").where("component <> theirs").groupBy("id", "other", "n", "m", "both").agg(F.count("*").alias("k"))
-    enough = shared.where(f"{100 + PERCENT} * (both + k) >= {PERCENT} * (n + m)")
-    return enough.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    near = F.expr(f"component <> theirs and 100 * least(n, m) >= {PERCENT} * greatest(n, m)")
+    near &= F.col("both") + F.col("room") >= _need("n + m")
+    return rare.join(there, "shingle").where(near).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
 
 def _of_several(placed: DataFrame) -> DataFrame:

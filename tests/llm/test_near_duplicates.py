@@ -7,6 +7,7 @@ import random
 import numpy as np
 from helpers import component_ids, shingles, similar
 
+from riskloom.llm import near_duplicates as module
 from riskloom.llm.components import components
 from riskloom.llm.near_duplicates import PERMUTATIONS, min_max_signature, near_duplicates, without_near_duplicates
 
@@ -101,3 +102,30 @@ def test_copies_around_a_center(spark):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["id"]: r["component_id"] for r in got} == want
     assert 2 < len(set(want.values())) < 100
+
+
+def test_two_groups_in_the_same_buckets(spark, monkeypatch):
+    """Members of two groups that are not linked share all buckets: their pairs are ruled out without being compared."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    other = [*base[:50], *(f"c{i}" for i in range(20)), *base[70:]]
+    rows = []
+    for i in range(120):
+        own = list(base if i % 2 == 0 else other)
+        own[rng.choice([*range(40), *range(80, 120)])] = f"y{i}"
+        rows.append((i, " ".join(own)))
+    sets = {i: shingles(t) for i, t in rows}
+    want = component_ids(sets, [(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])])
+    assert set(want.values()) == {0, 1}
+    compared = []
+    plain = module._compared
+
+    def counted(pairs, texts):
+        compared.append(pairs.count())
+        return plain(pairs, texts)
+
+    monkeypatch.setattr(module, "_compared", counted)
+    hits = spark.createDataFrame([(k, i, 0) for k in range(8) for i, _ in rows], "key long, id long, center long")
+    got = module.linked_components(hits, spark.createDataFrame(rows, "id long, text string")).collect()
+    assert {r["node"]: r["component"] for r in got} == want
+    assert sum(compared) < 1200
