@@ -199,6 +199,11 @@ def path_overlap(spark, folder):
     return change_log.path_overlap(log.filter("is_bug_fix"), log.filter("not is_bug_fix"))
 
 
+def n_dump_lines(spark, folder):
+    """At most so many: every change has a file."""
+    return 2 * table(spark, folder, "lineitem").count()
+
+
 def dump_lines(spark, folder, header):
     """Dump lines made from the log: a header per change, then its files.
 
@@ -247,7 +252,7 @@ def parse_change_dump(spark, folder):
         F.concat(F.col("at").cast("string"), F.lit(" +02:00")),
         F.concat(F.coalesce("subject", F.lit("none")), F.lit(" | more")),
     )
-    return dumps.parse_change_dump(dump_lines(spark, folder, header))
+    return dumps.parse_change_dump(dump_lines(spark, folder, header), n_dump_lines(spark, folder))
 
 
 @query(
@@ -261,7 +266,7 @@ FROM cl JOIN h USING (repo_name, commit_hash) WHERE line_no <> 4 GROUP BY ALL"""
 )
 def parse_date_dump(spark, folder):
     header = F.concat(F.col("at").cast("string"), F.lit(" +0000"))
-    return dumps.parse_date_dump(dump_lines(spark, folder, header))
+    return dumps.parse_date_dump(dump_lines(spark, folder, header), n_dump_lines(spark, folder))
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.timing import as_naive_utc
+from riskloom.sources.tables import deal_out
 
 
 def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -24,9 +25,15 @@ def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def carry_headers(lines: DataFrame, header: Column) -> DataFrame:
-    """Add ``header``: the latest header at or before each line of its dump."""
-    tagged = lines.withColumn("__own", header)
+def carry_headers(lines: DataFrame, header: Column, n_lines: int | None = None) -> DataFrame:
+    """Add ``header``: the latest header at or before each line of its dump.
+
+    ``n_lines`` says about how many lines there are (default: they are counted); many are
+    dealt out by split, so that a task's share does not grow with the dump.
+    """
+    if n_lines is None:
+        n_lines = lines.count()
+    tagged = deal_out(lines.withColumn("__own", header), n_lines, "dump_id", "chunk")
     inside = (
         Window.partitionBy("dump_id", "chunk")
         .orderBy("pos")
@@ -49,7 +56,7 @@ def carry_headers(lines: DataFrame, header: Column) -> DataFrame:
     )
 
 
-def parse_change_dump(lines: DataFrame) -> DataFrame:
+def parse_change_dump(lines: DataFrame, n_lines: int | None = None) -> DataFrame:
     """``hash|author|date|subject`` headers and source paths to change rows.
 
     The subject may itself hold bars; paths before any header are dropped.
@@ -58,7 +65,7 @@ def parse_change_dump(lines: DataFrame) -> DataFrame:
     bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
     is_header = bars >= 2
     parts = F.split("header", r"\|", 4)
-    carried = carry_headers(lines, F.when(is_header, text))
+    carried = carry_headers(lines, F.when(is_header, text), n_lines)
     return carried.filter(
         F.col("header").isNotNull() & ~is_header & F.endswith(text, F.lit(".py"))
     ).select(
@@ -71,17 +78,21 @@ def parse_change_dump(lines: DataFrame) -> DataFrame:
     )
 
 
-def parse_date_dump(lines: DataFrame) -> DataFrame:
+def parse_date_dump(lines: DataFrame, n_lines: int | None = None) -> DataFrame:
     """Date lines followed by paths, newest first: first date seen per path.
 
     ``chunk`` and ``pos`` order the dump, so "first seen" is the smallest pair.
     """
     text = F.trim("line")
     is_date = text.rlike(r"^.{4}-.{2}-.{3,}") & F.substring(text, 1, 19).try_cast("timestamp").isNotNull()
-    carried = carry_headers(lines, F.when(is_date, F.substring(text, 1, 10)))
+    if n_lines is None:
+        n_lines = lines.count()
+    carried = carry_headers(lines, F.when(is_date, F.substring(text, 1, 10)), n_lines)
+    paths = carried.filter(F.col("header").isNotNull() & ~is_date & F.endswith(text, F.lit(".py")))
+    paths = paths.select("dump_id", text.alias("file_path"), "header", "chunk", "pos")
     return (
-        carried.filter(F.col("header").isNotNull() & ~is_date & F.endswith(text, F.lit(".py")))
-        .groupBy("dump_id", text.alias("file_path"))
+        deal_out(paths, n_lines, "dump_id", "file_path")
+        .groupBy("dump_id", "file_path")
         .agg(F.min_by("header", F.struct("chunk", "pos")).alias("__d"))
         .select("dump_id", "file_path", F.col("__d").cast("date").cast("timestamp_ntz").alias("last_seen"))
     )

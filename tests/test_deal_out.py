@@ -6,9 +6,10 @@ import re
 
 import pytest
 from compare import connect, difference
+from pyspark.sql import functions as F
 
 from riskloom.plans import bindings, catalog
-from riskloom.sources import tables
+from riskloom.sources import dumps, tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -42,3 +43,20 @@ def test_few_changes_stay_as_they_are(spark):
 @pytest.mark.parametrize("name", ["top_churned_files", "load_change_log"])
 def test_dealt_out_changes_give_the_same(spark, small_tasks, name):
     assert difference(catalog.queries()[name](spark, FOLDER), connect(FOLDER), catalog.checks()[name]) is None
+
+
+@pytest.mark.parametrize("name", ["parse_change_dump", "parse_date_dump"])
+def test_dumps_are_dealt_out_by_count(spark, small_tasks, name):
+    parsed = catalog.queries()[name](spark, FOLDER)
+    tasks = -(-2 * tables.table(spark, FOLDER, "lineitem").count() // 500)
+    assert tasks in dealt(parsed, "dump_id", "chunk")
+    assert difference(parsed, connect(FOLDER), catalog.checks()[name]) is None
+
+
+def test_dump_lines_are_counted_if_nobody_says_how_many(spark, small_tasks, tmp_path):
+    lines = [line for i in range(700) for line in (f"c{i}|a@e.org|2024-01-01 00:00:00 +0000|m", f"src/f{i}.py", f"src/g{i}.py")]
+    (tmp_path / "dump.txt").write_text("\n".join(lines))
+    parsed = dumps.parse_change_dump(dumps.read_dump_lines(spark, str(tmp_path)))
+    assert 5 in dealt(parsed, "dump_id", "chunk")
+    assert parsed.count() == 1400
+    assert parsed.filter(F.substring("commit_hash", 2, 9) != F.regexp_extract("file_path", r"(\d+)", 1)).count() == 0
