@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.structure import ast_nodes, distinct_sources
 from riskloom.session import fresh_path
-from riskloom.sources.tables import write_table
+from riskloom.sources.tables import deal_out, write_table
 
 # Node types that get their own feature column.
 NODE_TYPES = (
@@ -104,9 +104,11 @@ def graph_nodes(nodes: DataFrame, min_nodes: int = MIN_NODES, max_nodes: int | N
     """Nodes of usable graphs with depth and child count scaled to their graph.
 
     Graphs below ``min_nodes`` have no shape worth embedding; an upper bound is the
-    caller's choice. ``nodes`` is read twice, so it should be a stored table. The
-    totals are combined before their shuffle and joined back.
+    caller's choice. ``nodes`` is read three times, so it should be a stored table. The
+    totals are combined before their shuffle and joined back. Many nodes are dealt out
+    by graph, so that a task's share does not grow with them.
     """
+    nodes = deal_out(nodes, nodes.count(), "digest")
     sized = nodes.select("digest", "idx", "parent_idx", "type", "depth", "n_children").join(
         _graph_totals(nodes), "digest"
     )

@@ -8,6 +8,7 @@ import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
 
+from riskloom.operators import graph, structure
 from riskloom.plans import bindings, catalog
 from riskloom.sources import dumps, tables
 
@@ -60,3 +61,17 @@ def test_dump_lines_are_counted_if_nobody_says_how_many(spark, small_tasks, tmp_
     assert 5 in dealt(parsed, "dump_id", "chunk")
     assert parsed.count() == 1400
     assert parsed.filter(F.substring("commit_hash", 2, 9) != F.regexp_extract("file_path", r"(\d+)", 1)).count() == 0
+
+
+def test_graph_nodes_are_dealt_out_by_count(spark, small_tasks, tmp_path):
+    texts = spark.range(160).select(F.concat(F.lit("x = 1\n" * 5), F.lit("y = "), F.col("id").cast("string")).alias("source_code"))
+    nodes = tables.write_table(structure.ast_nodes(structure.distinct_sources(texts)), str(tmp_path / "nodes"))
+    found = graph.graph_nodes(nodes)
+    tasks = -(-nodes.count() // 500)
+    assert tasks > 4 and tasks in dealt(found, "digest")
+    assert found.count() == nodes.count()
+
+
+def test_dealt_out_graphs_give_the_same_checks(spark, small_tasks):
+    for name in ("graph_edge_checks", "graph_feature_checks"):
+        assert difference(catalog.queries()[name](spark, FOLDER), connect(FOLDER), catalog.checks()[name]) is None
