@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.timing import plus_days
 from riskloom.operators import cleaning, joins, labels, predicates, process
+from riskloom.operators.history import store_history
 from riskloom.operators.labels import date_span
 from riskloom.plans import bindings as bind
 from riskloom.plans import sqltext
@@ -353,7 +354,8 @@ def source_as_of(spark, folder):
     _as_of_check("s.file_path = rf.file_path OR s.filename = rf.filename"),
 )
 def source_as_of_by_name(spark, folder):
-    past = bind.history_with_source(spark, folder)
+    log = bind.log_with_source(spark, folder)
+    past = store_history(log.select("repo_name", "file_path", "commit_date", "source_code"), "source_code")
     return joins.source_as_of(_yearly_refs(past.changes), past, match_names=True)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from datetime import datetime, timedelta
 
@@ -81,3 +82,26 @@ def _check_plans(spark, log):
 def test_empty_log(spark, log):
     past = store_history(log.limit(0), "source_code")
     assert past.changes.count() == 0 and all(df.count() == 0 for df in everything(past).values())
+
+
+def test_only_files_that_share_a_name_are_looked_up_by_name(spark):
+    day = [datetime(2024, 1, d) for d in range(1, 9)]
+    rows = [("r", "a/x.py", day[0], "x = 1"), ("r", "b/x.py", day[2], "x = 2"), ("r", "c/y.py", day[1], "y = 1"), ("s", "c/z.py", day[1], "z = 1"), ("r", "e/w.py", day[1], "  ")]
+    log = spark.createDataFrame(rows, "repo_name string, file_path string, commit_date timestamp_ntz, source_code string")
+    asked = [("r", "a/x.py", day[4]), ("r", "a/x.py", day[1]), ("r", "c/y.py", day[4]), ("r", "d/y.py", day[4]), ("s", "c/z.py", day[4]), ("r", "z.py", day[4]), ("r", "e/w.py", day[4])]
+    refs = spark.createDataFrame(asked, "repo_name string, file_path string, window_end timestamp_ntz")
+    want = dict(zip(asked, ["x = 2", "x = 1", "y = 1", "y = 1", "z = 1", None, None]))
+    for past in (store_history(log, "source_code"), store_history(log, "source_code", file_rows=0)):
+        shared = joins._files_sharing_a_name(past.changes, refs)
+        assert {tuple(r) for r in shared.collect()} == {("r", "a/x.py"), ("r", "b/x.py"), ("r", "c/y.py"), ("r", "d/y.py")}
+        got = {tuple(r)[:3]: r["source_code"] for r in joins.source_as_of(refs, past, match_names=True).collect()}
+        assert got == want
+
+
+def test_digests_are_stored_as_bytes_and_texts_without_them(spark):
+    log = spark.createDataFrame([("r", "a.py", datetime(2024, 1, 1), "x = 1"), ("r", "b.py", datetime(2024, 1, 1), " "), ("r", "c.py", datetime(2024, 1, 1), None)],
+                                "repo_name string, file_path string, commit_date timestamp_ntz, source_code string")
+    past = store_history(log, "source_code")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {r["file_path"]: r["digest"] for r in past.changes.collect()} == {"a.py": sha("x = 1"), "b.py": sha(" ") + "-", "c.py": None}
+    assert "digest" not in past.whole.columns
