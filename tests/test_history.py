@@ -94,7 +94,7 @@ def test_only_files_that_share_a_name_are_looked_up_by_name(spark):
     for past in (store_history(log, "source_code"), store_history(log, "source_code", file_rows=0)):
         shared = joins._files_sharing_a_name(past.changes, refs)
         assert {tuple(r) for r in shared.collect()} == {("r", "a/x.py"), ("r", "b/x.py"), ("r", "c/y.py"), ("r", "d/y.py")}
-        got = {tuple(r)[:3]: r["source_code"] for r in joins.source_as_of(refs, past, match_names=True).collect()}
+        got = {(r["repo_name"], r["file_path"], r["window_end"]): r["source_code"] for r in joins.source_as_of(refs, past, match_names=True).collect()}
         assert got == want
 
 
