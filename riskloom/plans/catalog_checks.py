@@ -232,12 +232,12 @@ def risk_report_checks(spark, folder):
 )
 def hybrid_report(spark, folder):
     """The report scored by the model on tabular columns and vectors; contributions may name both."""
-    matrix = bind.stored_matrix(spark, folder)
-    vectors = write_table(models._file_embeddings(spark, folder), fresh_path(spark, "embeddings"))
+    log = bind.stored_log(spark, folder)
+    matrix = bind.stored_matrix(spark, folder, log)
+    vectors = write_table(models._file_embeddings(spark, folder, log), fresh_path(spark, "embeddings"))
     model, _ = training.hybrid_train(matrix, bind.FEATURES, vectors, FILE_KEYS, graph.EMBEDDING_DIM, models.SMALL_TREES)
     names = training.hybrid_names(bind.FEATURES, graph.EMBEDDING_DIM)
     own = names[len(bind.FEATURES) :]
-    log = bind.log_with_source(spark, folder)
     report, rows = flows.analyze(
         log, model, bind.FEATURES, datetime(2001, 6, 1), vectors=vectors, vector_names=own, wanted_model="hybrid"
     )
