@@ -19,7 +19,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["hybrid_report"])
+@pytest.mark.parametrize("name", ["risk_report", "hybrid_report"])
 def test_reports_join_the_tables_once(spark, monkeypatch, name):
     built, make = [], bindings.change_log
     monkeypatch.setattr(bindings, "change_log", lambda *a, **k: built.append(1) or make(*a, **k))
