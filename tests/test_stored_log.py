@@ -28,6 +28,10 @@ def test_reports_join_the_tables_once(spark, monkeypatch, name):
     assert found.count() == 1
 
 
+def test_matrix_reads_the_stored_log(spark):
+    assert "lineitem" not in plan(catalog.queries()["assemble_matrix"](spark, FOLDER))
+
+
 def test_stored_log_without_texts_is_not_written_again(spark, monkeypatch):
     log = bindings.stored_log(spark, FOLDER)
     assert log.columns == [*history.NARROW, "source_code"]
